@@ -1,13 +1,25 @@
 """Every query by name: (spark, folder of the input tables) -> DataFrame."""
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions import bands as B
+from .functions import checksum as C
+from .functions import dates as D
+from .functions import qr as Q
+from .functions import reply as RP
 from .functions import text as X
+from .functions.parse import extract_name as name_of
 from .operators import classify as cls
-from .plans.extract import clean_and_classify, extract_documents
-from .schemas import DOC_TYPES, FIELDS
+from .operators import copymove, crosscheck, layout, names, ocr, qr as QR, report, risk, stats, validate
+from .plans import verify as plan
+from .plans.extract import clean_and_classify, extract_documents as extract_plan
+from .schemas import DOC_TYPES
 from .sources.fixtures import fixture
 
+AS_OF = datetime.date(2025, 1, 1)
+
 QUERIES = {}
 
 
@@ -25,7 +37,7 @@ def classified(spark, sf):
 
 
 def with_fields(spark, sf):
-    return extract_documents(fixture(spark, sf, "corpus").withColumn("confidence", F.lit(1.0)))
+    return extract_plan(fixture(spark, sf, "corpus").withColumn("confidence", F.lit(1.0)))
 
 
 def fields_of(spark, sf, types, names):
@@ -108,5 +120,456 @@ def extract_address(spark, sf):
     return fields_of(spark, sf, ["aadhaar"], ["address"])
 
 
+
+@query
+def extract_name(spark, sf):
+    return classified(spark, sf).select("doc_id", name_of(F.col("text")).alias("name"))
+
+
+@query
+def valid_name(spark, sf):
+    t = F.col("text")
+    return fixture(spark, sf, "page_lines").select(
+        "doc_id", "ord", X.valid_name(t).alias("valid"),
+        X.valid_name(t, max_words=6, min_alpha=0.75).alias("plausible"))
+
+
+@query
+def rank_names(spark, sf):
+    lines = fixture(spark, sf, "page_lines").select("doc_id", "ord", F.col("text").alias("name"))
+    return names.rank_names(lines)
+
+
+@query
+def parse_fields(spark, sf):
+    f = F.col("fields")
+    shown = [n for n in f_names() if n not in ("skills", "education", "experience")]
+    return with_fields(spark, sf).select(
+        "doc_id", "document_type", *[f[n].alias(n) for n in shown], F.array_join(f["skills"], "; ").alias("skills"))
+
+
+def f_names():
+    from .schemas import FIELDS
+    return [n for n in FIELDS.names if n not in ("given_names", "degree")]
+
+
+# --- single values -------------------------------------------------------------------------
+
+@query
+def parse_date(spark, sf):
+    return fixture(spark, sf, "dates").select("doc_id", D.parse_date(F.col("written")).cast("string").alias("parsed"))
+
+
+@query
+def normalise_date_digits(spark, sf):
+    w = F.col("written")
+    return fixture(spark, sf, "dates").select(
+        "doc_id", D.date_digits(w).alias("date_key"), D.date_without_separators(w).alias("loose_key"))
+
+
+@query
+def verhoeff_check(spark, sf):
+    return fixture(spark, sf, "numbers").withColumn("v", C.verhoeff_check(F.col("number"))).select("doc_id", "v.*")
+
+
+@query
+def verhoeff_append(spark, sf):
+    full = C.verhoeff_append(F.col("stem"))
+    return fixture(spark, sf, "numbers").select("doc_id", full.alias("number"), C.verhoeff_check(full)["valid"].alias("valid"))
+
+
+@query
+def luhn_check(spark, sf):
+    return fixture(spark, sf, "numbers").select("doc_id", C.luhn_check(F.col("number")).alias("luhn_ok"))
+
+
+@query
+def mask_id(spark, sf):
+    return fixture(spark, sf, "numbers").select("doc_id", X.mask_id(F.col("number")).alias("masked"))
+
+
+@query
+def token_match(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    return fixture(spark, sf, "name_pairs").select(
+        "doc_id", X.token_match(a, b, 0.55).alias("deep"), X.token_match(a, b, 0.6).alias("quick"))
+
+
+@query
+def trigram_similarity(spark, sf):
+    a = fixture(spark, sf, "scan_lines").select("doc_id", "ord", F.col("text").alias("a"))
+    b = fixture(spark, sf, "primary_lines").select("doc_id", "ord", F.col("text").alias("b"))
+    sim = X.trigram_similarity(F.col("a"), F.col("b"))
+    return a.join(b, ["doc_id", "ord"]).select(
+        "doc_id", "ord", F.bround(sim, 6).alias("similarity"), (sim >= 0.75).alias("near_duplicate"))
+
+
+# --- replies -------------------------------------------------------------------------------
+
+def replies(spark, sf):
+    return fixture(spark, sf, "replies").withColumn(
+        "parts", F.when(F.col("part_1").isNotNull(), F.array("part_1", "part_2"))).drop("part_1", "part_2")
+
+
+@query
+def parse_model_json(spark, sf):
+    texts = replies(spark, sf).select("doc_id", RP.reply_text(
+        F.col("content"), F.col("reasoning"), F.col("reasoning_content"), F.col("parts")).alias("reply_text"))
+    j = F.col("reply_json")
+    return RP.parse_model_json(texts).select(
+        "doc_id", "reply_error", j["vlm_confidence"].alias("vlm_confidence"),
+        j["overall_assessment"].alias("overall_assessment"), j["visible_tampering"].alias("visible_tampering"),
+        j["suggested_risk_adjustment"].cast("int").alias("delta"), j["reasoning"].alias("reasoning"))
+
+
+def reply_columns(df):
+    r = F.col("reply")
+    return df.select(
+        "doc_id", "quarantine_reason", r["vlm_available"].alias("available"),
+        r["vlm_confidence"].alias("vlm_confidence"), r["overall_assessment"].alias("overall_assessment"),
+        r["layout_authenticity"].alias("layout_authenticity"), r["font_consistency"].alias("font_consistency"),
+        r["visible_tampering"].alias("visible_tampering"), r["seal_signature_present"].alias("seal_signature_present"),
+        r["reasoning"].alias("reasoning"), r["suggested_risk_adjustment"].alias("delta"),
+        F.array_join(F.transform(r["fraud_signals"], lambda s: F.concat_ws("/", s["signal"], s["severity"])), ";").alias("signals"),
+        F.array_join(r["logical_inconsistencies"], "; ").alias("inconsistencies"))
+
+
+@query
+def coalesce_model_reply(spark, sf):
+    return reply_columns(RP.coalesce_model_reply(replies(spark, sf)))
+
+
+@query
+def attach_model_reply(spark, sf):
+    return reply_columns(RP.attach_model_reply(fixture(spark, sf, "corpus").select("doc_id"), replies(spark, sf)))
+
+
+# --- QR ------------------------------------------------------------------------------------
+
+def decoded(spark, sf):
+    return Q.decode_qr(fixture(spark, sf, "qr"))
+
+
+def payload_columns(df):
+    return df.select("doc_id", *[
+        F.array_join("qr.fields_found", ",").alias(n) if n == "fields_found" else F.col(f"qr.{n}").alias(n)
+        for n in Q.PAYLOAD_FIELDS])
+
+
+@query
+def qr_payload_type(spark, sf):
+    return fixture(spark, sf, "qr").select("doc_id", Q.payload_type(F.col("payload")).alias("kind"))
+
+
+@query
+def decode_qr(spark, sf):
+    return payload_columns(decoded(spark, sf))
+
+
+@query
+def parse_qr_xml(spark, sf):
+    return payload_columns(decoded(spark, sf).where(F.col("qr.qr_type").isin("xml_signed", "xml_plain")))
+
+
+@query
+def parse_qr_text(spark, sf):
+    return payload_columns(decoded(spark, sf).where(F.col("qr.qr_type") == "text_plain"))
+
+
+@query
+def parse_qr_parts(spark, sf):
+    return payload_columns(decoded(spark, sf).where(F.col("qr.qr_type") == "secure_v2"))
+
+
+def match_columns(df):
+    m = F.col("match")
+    return df.select(
+        "doc_id", m["status"].alias("status"), m["penalty"].alias("penalty"), m["qr_type"].alias("qr_type"),
+        F.array_join(m["matches"], ",").alias("matches"), F.array_join(m["mismatches"], "; ").alias("mismatches"),
+        m["summary"].alias("summary"))
+
+
+@query
+def reconcile_qr_ocr(spark, sf):
+    return match_columns(QR.reconcile_qr_ocr(fixture(spark, sf, "readings"), decoded(spark, sf)))
+
+
+@query
+def correct_from_qr(spark, sf):
+    df = QR.correct_from_qr(QR.reconcile_qr_ocr(fixture(spark, sf, "readings"), decoded(spark, sf)))
+    fill = lambda k: F.try_element_at("corrections", F.lit(k)).alias(f"filled_{k}")
+    return df.select("doc_id", "corrected_name", "corrected_dob", fill("name"), fill("dob"))
+
+
+@query
+def qr_quick_verdict(spark, sf):
+    return QR.qr_quick_verdict(fixture(spark, sf, "readings"), decoded(spark, sf)).select("doc_id", "qr_quick", "quick_name")
+
+
+# --- image signals -------------------------------------------------------------------------
+
+def imaged(spark, sf):
+    return fixture(spark, sf, "corpus").select("doc_id").join(fixture(spark, sf, "signals"), "doc_id", "left")
+
+
+@query
+def metadata_verdict(spark, sf):
+    c = F.col
+    return fixture(spark, sf, "signals").select("doc_id", B.metadata_verdict(
+        c("suffix"), c("exif_state"), c("software"), c("datetime"), c("datetime_original")).alias("metadata"))
+
+
+@query
+def ela_band(spark, sf):
+    s = F.col("ela_score")
+    return fixture(spark, sf, "signals").select("doc_id", B.ela_band(s).alias("ela"), B.ela_value(s).alias("ela_score"))
+
+
+@query
+def blur_band(spark, sf):
+    s = F.col("blur_score")
+    return fixture(spark, sf, "signals").select("doc_id", B.blur_band(s).alias("blur"), B.blur_value(s).alias("blur_score"))
+
+
+@query
+def synthetic_vote(spark, sf):
+    c = F.col
+    return fixture(spark, sf, "signals").select("doc_id", B.synthetic_vote(
+        c("dct_mid_ratio"), c("noise_uniformity"), c("edge_density")).alias("ai_artifacts"))
+
+
+@query
+def layout_verdict(spark, sf):
+    df = layout.layout_verdict(classified(spark, sf).join(imaged(spark, sf), "doc_id"))
+    return df.select("doc_id", "layout_validation", F.array_join("layout_violations", "; ").alias("violations"))
+
+
+@query
+def card_layout_score(spark, sf):
+    cards = with_fields(spark, sf).where(F.col("document_type") == "aadhaar").select(
+        "doc_id", "text", F.col("fields.aadhaar_number").alias("aadhaar_number"))
+    df = layout.card_layout_score(cards.join(fixture(spark, sf, "signals"), "doc_id", "left"))
+    return df.select("doc_id", "card_layout.status", "card_layout.penalty",
+                     F.array_join("card_layout.issues", "; ").alias("issues"), "card_layout.detail")
+
+
+# --- statistics ----------------------------------------------------------------------------
+
+@query
+def text_block_filter(spark, sf):
+    return stats.text_block_filter(fixture(spark, sf, "blocks"))
+
+
+@query
+def dispersion_profile(spark, sf):
+    blocks = stats.text_block_filter(fixture(spark, sf, "blocks"))
+    df = stats.dispersion_profile(blocks, "doc_id", "hf_ratio")
+    return df.select("doc_id", "n", *[F.bround(c, 9).alias(c) for c in ("mean", "sd", "cv")], "outliers", "enough")
+
+
+@query
+def font_verdict(spark, sf):
+    df = stats.font_consistency(fixture(spark, sf, "blocks"), fixture(spark, sf, "tiles"))
+    return df.select("doc_id", "font.*")
+
+
+@query
+def blockiness_flag(spark, sf):
+    return stats.blockiness_flag(fixture(spark, sf, "tiles"))
+
+
+@query
+def noise_uniformity(spark, sf):
+    df = stats.noise_uniformity(fixture(spark, sf, "tiles"), "doc_id", "cell", "residual")
+    return df.select("doc_id", "cells", F.bround("uniformity", 9).alias("uniformity"))
+
+
+@query
+def top_blocks(spark, sf):
+    return stats.top_blocks(fixture(spark, sf, "blocks"))
+
+
+@query
+def copy_move_pairs(spark, sf):
+    return copymove.copy_move_pairs(fixture(spark, sf, "descriptors"))
+
+
+@query
+def copy_move_verdict(spark, sf):
+    return copymove.copy_move_verdict(fixture(spark, sf, "descriptors"), min_pairs=1)
+
+
+# --- OCR boxes -----------------------------------------------------------------------------
+
+def lines_of_tokens(spark, sf):
+    return ocr.merge_tokens(ocr.assign_lines(fixture(spark, sf, "tokens")))
+
+
+def secondary_lines(spark, sf):
+    return lines_of_tokens(spark, sf).select(
+        "doc_id", "page_no", F.col("line_no").alias("ord"), "text", F.bround("confidence", 6).alias("confidence"))
+
+
+@query
+def scan_boxes(spark, sf):
+    return fixture(spark, sf, "tokens").where(F.col("confidence") >= 0.3).groupBy("doc_id", "page_no").agg(
+        F.count("*").alias("boxes"), F.min("x0").alias("left"), F.max("x1").alias("right"))
+
+
+@query
+def pages_to_document(spark, sf):
+    df = ocr.pages_to_document(fixture(spark, sf, "page_lines"))
+    return df.select("doc_id", "text", F.bround("confidence", 9).alias("confidence"), "page_count")
+
+
+@query
+def assign_lines(spark, sf):
+    return ocr.assign_lines(fixture(spark, sf, "tokens")).select("doc_id", "page_no", "line", "word", "line_no")
+
+
+@query
+def merge_tokens(spark, sf):
+    return lines_of_tokens(spark, sf).withColumn("confidence", F.bround("confidence", 6))
+
+
+@query
+def fuse_ocr(spark, sf):
+    return ocr.fuse_ocr(fixture(spark, sf, "primary_lines"), secondary_lines(spark, sf))
+
+
+@query
+def secondary_only_lines(spark, sf):
+    second = secondary_lines(spark, sf)
+    return ocr.secondary_only_lines(ocr.fuse_ocr(fixture(spark, sf, "primary_lines"), second), second)
+
+
+@query
+def label_regions(spark, sf):
+    return ocr.label_regions(fixture(spark, sf, "page_lines"))
+
+
+# --- rules and risk ------------------------------------------------------------------------
+
+@query
+def validate_fields(spark, sf):
+    return validate.validate_fields(with_fields(spark, sf), F.lit(AS_OF))
+
+
+@query
+def validation_report(spark, sf):
+    return validate.validation_report(validate.validate_fields(with_fields(spark, sf), F.lit(AS_OF)))
+
+
+def verified(spark, sf, build=plan.verify_documents):
+    boxes = fixture(spark, sf, "page_lines")
+    return build(
+        ocr.pages_to_document(boxes), fixture(spark, sf, "signals"), fixture(spark, sf, "qr"), replies(spark, sf),
+        fixture(spark, sf, "blocks"), fixture(spark, sf, "tiles"), fixture(spark, sf, "descriptors"), F.lit(AS_OF))
+
+
+@query
+def penalty_lookup(spark, sf):
+    df = verified(spark, sf)
+    long = df.unpivot(["doc_id", "document_type"], risk.SIGNALS, "signal", "value")
+    return risk.penalty_lookup(long).select("doc_id", "signal", "value", "points")
+
+
+@query
+def signal_levels(spark, sf):
+    return risk.signal_levels(verified(spark, sf))
+
+
+@query
+def base_risk(spark, sf):
+    df = verified(spark, sf)
+    return risk.base_risk(risk.signals_long(df), df.select("doc_id", "document_type", "ela_score")).select("doc_id", "base_score")
+
+
+@query
+def card_verification(spark, sf):
+    c = F.col("card")
+    return verified(spark, sf).where(c.isNotNull()).select(
+        "doc_id", c["verhoeff_valid"].alias("verhoeff_valid"), c["verhoeff_reason"].alias("verhoeff_reason"),
+        c["total_penalty"].alias("total_penalty"), c["risk_level"].alias("risk_level"),
+        c["checks_passed"].alias("checks_passed"), c["checks_failed"].alias("checks_failed"), c["summary"].alias("summary"))
+
+
+@query
+def final_risk(spark, sf):
+    return verified(spark, sf).select("doc_id", "base_score", "risk_score")
+
+
+@query
+def status_band(spark, sf):
+    return verified(spark, sf).groupBy("document_type", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def cross_document_check(spark, sf):
+    f = F.col("fields")
+    docs = with_fields(spark, sf).select(
+        "doc_id", "document_type", F.coalesce(f["name"], f["surname"], f["student_name"]).alias("name"), f["dob"].alias("dob"))
+    return crosscheck.cross_document_check(docs.join(fixture(spark, sf, "subjects"), "doc_id"))
+
+
+# --- whole plans and outputs ---------------------------------------------------------------
+
+@query
+def extract_documents(spark, sf):
+    df = extract_plan(ocr.pages_to_document(fixture(spark, sf, "page_lines")))
+    f = F.col("fields")
+    return df.select("doc_id", "document_type", "type_confidence", "confidence", "page_count",
+                     f["name"].alias("name"), f["dob"].alias("dob"), f["address"].alias("address"),
+                     f["institution"].alias("institution"), f["email"].alias("email"))
+
+
+VERDICT = ["doc_id", "document_type", "type_confidence", "ela", "ela_score", "blur", "blur_score", "metadata",
+           "duplicate_regions", "layout_validation", "qr_validation", "ai_artifacts", "base_score",
+           "risk_score", "status"]
+
+
+def verdict_columns(df):
+    return df.select(
+        *VERDICT, "quarantine_reason", F.col("reply.vlm_available").alias("reply_available"),
+        F.col("card.total_penalty").alias("card_penalty"), F.col("report.critical_failures").alias("critical_failures"),
+        F.col("report.validation_score").alias("validation_score"), F.col("report.summary").alias("validation_summary"))
+
+
+@query
+def verify_documents(spark, sf):
+    return verdict_columns(verified(spark, sf))
+
+
+@query
+def analyze_documents(spark, sf):
+    return verified(spark, sf, plan.analyze_documents).select("doc_id", "risk_score", "status", "human_summary")
+
+
+@query
+def human_summary(spark, sf):
+    return verified(spark, sf, plan.analyze_documents).select("doc_id", "human_summary")
+
+
+@query
+def audit_stages(spark, sf):
+    stages = report.audit_stages(F.col("document_type"))
+    return classified(spark, sf).select("doc_id", F.array_join(stages, ",").alias("stages"), F.size(stages).alias("stage_count"))
+
+
+@query
+def verdict_json(spark, sf):
+    df = report.verdict_json(verdict_columns(verified(spark, sf)))
+    get = lambda k: F.get_json_object("json", f"$.{k}").alias(k)
+    return df.select("doc_id", get("document_type"), get("status"), get("risk_score"), get("qr_validation"))
+
+
 def flagship(spark, sf):
-    return classified(spark, sf).groupBy("document_type").agg(F.count("*").alias("n"))
+    """Verdicts and mean risk by document type: the whole plan on every document."""
+    return verified(spark, sf).groupBy("document_type").agg(
+        F.count("*").alias("documents"), F.bround(F.avg("risk_score"), 4).alias("mean_risk"),
+        F.count_if(F.col("status") == "Likely Genuine").alias("genuine"),
+        F.count_if(F.col("status") == "Suspicious").alias("suspicious"),
+        F.count_if(F.col("status") == "Likely Fake / Tampered").alias("fake"))
+
+
+QUERIES["risk_by_type"] = flagship

@@ -31,4 +31,7 @@ def render(sql: str) -> str:
         visit(name)
     if not order:
         return sql
+    own = re.match(r"\s*WITH RECURSIVE (.*)", sql, re.S)
+    if own:
+        return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order) + ",\n" + own.group(1)
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order) + "\n" + sql

@@ -1,7 +1,11 @@
 """The SQL of each query, by the query's name."""
 
 from . import render
+from . import evidence_views as ev
+from . import page_views  # noqa: F401  (registers its views)
 from . import text_views as tv
+from ..operators.report import CARD_STAGE, STAGES
+from ..operators.risk import LEVELS, SIGNALS
 from ..schemas import DOC_TYPES
 
 _SQL: dict[str, str] = {}
@@ -37,4 +41,146 @@ for _name, _types, _cols in (
 ):
     _SQL[_name] = f"SELECT doc_id, {_cols} FROM fields WHERE document_type IN ({_types})"
 
+
+_SQL["extract_name"] = "SELECT doc_id, plain_name AS name FROM names"
+_SQL["valid_name"] = (f"SELECT doc_id, ord, {tv.valid_name('text')} AS valid, "
+                      f"{tv.valid_name('text', 6, 0.75)} AS plausible FROM page_lines")
+_SQL["rank_names"] = f"""
+SELECT doc_id, name, candidates FROM (SELECT doc_id, text AS name, count(*) OVER (PARTITION BY doc_id) AS candidates,
+  row_number() OVER (PARTITION BY doc_id ORDER BY len({tv.words('text')}) DESC, length(text) DESC, ord) AS rn
+  FROM page_lines WHERE {tv.valid_name('text')}) r WHERE rn = 1"""
+_SQL["parse_fields"] = "SELECT * EXCLUDE (skills), array_to_string(skills, '; ') AS skills FROM fields"
+
+_SQL["parse_date"] = f"SELECT doc_id, CAST({ev.parse_date('written')} AS VARCHAR) AS parsed FROM dates"
+_SQL["normalise_date_digits"] = ("SELECT doc_id, regexp_replace(written, '[^0-9]', '', 'g') AS date_key, "
+                                 "regexp_replace(written, '[/\\-\\s]', '', 'g') AS loose_key FROM dates")
+_v = ev.verhoeff_parts("c")
+_SQL["verhoeff_check"] = (f"SELECT doc_id, {_v['valid']} AS valid, c AS clean_number, {_v['reason']} AS reason, "
+                          f"{_v['penalty']} AS penalty FROM (SELECT doc_id, {ev.digits('number')} AS c FROM numbers) n")
+_SQL["verhoeff_append"] = (
+    f"SELECT doc_id, number, {ev.verhoeff_parts('number')['valid']} AS valid FROM (SELECT doc_id, stem || "
+    f"{ev._INVERSE}[{ev.verhoeff_fold('s0')} + 1] AS number FROM (SELECT *, stem || '0' AS s0 FROM numbers) a) b")
+_SQL["luhn_check"] = f"SELECT doc_id, {ev.luhn('c')} AS luhn_ok FROM (SELECT doc_id, {ev.digits('number')} AS c FROM numbers) n"
+_SQL["mask_id"] = "SELECT doc_id, '****' || right(number, 4) AS masked FROM numbers"
+_SQL["token_match"] = (f"SELECT doc_id, {tv.token_match('a', 'b', 0.55)} AS deep, "
+                       f"{tv.token_match('a', 'b', 0.6)} AS quick FROM name_pairs")
+_sim = tv.trigram_similarity("a.text", "b.text")
+_SQL["trigram_similarity"] = (
+    f"SELECT doc_id, ord, round_even(s, 6) AS similarity, s >= 0.75 AS near_duplicate FROM (SELECT a.doc_id, a.ord, {_sim} AS s "
+    "FROM scan_lines a JOIN primary_lines b ON a.doc_id = b.doc_id AND a.ord = b.ord) t")
+
+_SQL["parse_model_json"] = """
+SELECT doc_id, reply_error, CAST(j->>'$.vlm_confidence' AS DOUBLE) AS vlm_confidence, j->>'$.overall_assessment' AS overall_assessment,
+  CAST(j->>'$.visible_tampering' AS BOOLEAN) AS visible_tampering, CAST(j->>'$.suggested_risk_adjustment' AS INTEGER) AS delta,
+  j->>'$.reasoning' AS reasoning FROM reply_json"""
+_reply = ("reason AS quarantine_reason, available, vlm_confidence, overall_assessment, layout_authenticity, font_consistency, "
+          "visible_tampering, seal_signature_present, reasoning, delta, signals, inconsistencies")
+_SQL["coalesce_model_reply"] = f"SELECT doc_id, {_reply} FROM reply_used"
+_SQL["attach_model_reply"] = """
+SELECT c.doc_id, CASE WHEN r.doc_id IS NULL THEN 'no reply' ELSE reason END AS quarantine_reason, coalesce(available, false) AS available,
+  coalesce(vlm_confidence, 0.0) AS vlm_confidence, coalesce(overall_assessment, 'unknown') AS overall_assessment,
+  coalesce(layout_authenticity, 'unknown') AS layout_authenticity, coalesce(font_consistency, 'unknown') AS font_consistency,
+  coalesce(visible_tampering, false) AS visible_tampering, coalesce(seal_signature_present, false) AS seal_signature_present,
+  coalesce(reasoning, 'VLM analysis skipped') AS reasoning, coalesce(delta, 0) AS delta, coalesce(signals, '') AS signals,
+  coalesce(inconsistencies, '') AS inconsistencies FROM corpus c LEFT JOIN reply_used r ON c.doc_id = r.doc_id"""
+
+_SQL["qr_payload_type"] = """
+SELECT doc_id, CASE WHEN payload IS NULL OR payload = '' THEN 'not_found'
+  WHEN starts_with(trim(payload), '<') AND contains(payload, '>') THEN 'xml'
+  WHEN regexp_matches(substr(payload, 1, 50), '\\d') THEN 'text' ELSE 'unknown' END AS kind FROM qr"""
+_SQL["decode_qr"] = "SELECT * FROM qr_decoded"
+_SQL["parse_qr_xml"] = "SELECT * FROM qr_decoded WHERE qr_type IN ('xml_signed', 'xml_plain')"
+_SQL["parse_qr_text"] = "SELECT * FROM qr_decoded WHERE qr_type = 'text_plain'"
+_SQL["parse_qr_parts"] = "SELECT * FROM qr_decoded WHERE qr_type = 'secure_v2'"
+_SQL["reconcile_qr_ocr"] = "SELECT doc_id, status, penalty, qr_type, matches, mismatches, summary FROM readings_match"
+_SQL["correct_from_qr"] = """
+SELECT r.doc_id, coalesce(CASE WHEN m.name_ok THEN m.q_name END, r.name, CASE WHEN ok THEN m.q_name END) AS corrected_name,
+  coalesce(r.dob, CASE WHEN ok THEN m.q_dob END) AS corrected_dob,
+  CASE WHEN r.name IS NULL AND ok THEN m.q_name END AS filled_name, CASE WHEN r.dob IS NULL AND ok THEN m.q_dob END AS filled_dob
+FROM readings r JOIN (SELECT *, status IN ('verified', 'partial_match') AS ok FROM readings_match) m ON r.doc_id = m.doc_id"""
+_SQL["qr_quick_verdict"] = "SELECT doc_id, qr_quick, quick_name FROM readings_quick"
+
+_bands = "SELECT doc_id, {} FROM " + "(" + ev.VIEWS["signal_bands"].replace("FROM imaged", "FROM signals") + ") b"
+_SQL["metadata_verdict"] = _bands.format("metadata")
+_SQL["ela_band"] = _bands.format("ela, ela_score")
+_SQL["blur_band"] = _bands.format("blur, blur_score")
+_SQL["synthetic_vote"] = _bands.format("ai_artifacts")
+_SQL["layout_verdict"] = "SELECT doc_id, layout_validation, violations FROM layouts"
+_SQL["card_layout_score"] = """
+SELECT doc_id, status, penalty, issues, 'Layout ' || status || ': ' || n || ' issue(s), penalty=' || points || '. ' ||
+  CASE WHEN issues = '' THEN 'All checks passed.' ELSE issues END AS detail FROM card_layouts"""
+
+_SQL["text_block_filter"] = "SELECT * FROM text_blocks"
+_SQL["dispersion_profile"] = ("SELECT doc_id, n, round_even(mean, 9) AS mean, round_even(sd, 9) AS sd, "
+                              "round_even(cv, 9) AS cv, outliers, enough FROM profile")
+_SQL["font_verdict"] = "SELECT doc_id, status, variance_ratio, penalty, outliers AS suspicious_blocks FROM fonts"
+_SQL["blockiness_flag"] = "SELECT * FROM blockiness"
+_SQL["noise_uniformity"] = """
+SELECT i.doc_id, i.cells, CASE WHEN o.sd >= 1e-3 THEN round_even(i.c / (o.sd + 1e-9), 9) END AS uniformity
+FROM (SELECT doc_id, avg(s) AS c, count(*) AS cells FROM (SELECT doc_id, cell, stddev_pop(residual) AS s FROM tiles GROUP BY doc_id, cell) a GROUP BY doc_id) i
+JOIN (SELECT doc_id, stddev_pop(residual) AS sd FROM tiles GROUP BY doc_id) o ON i.doc_id = o.doc_id"""
+_SQL["top_blocks"] = """
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY hf_ratio DESC, y, x, block_id) AS INTEGER) AS rank FROM blocks) b WHERE rank <= 5"""
+_SQL["copy_move_pairs"] = "SELECT * FROM copy_pairs"
+_SQL["copy_move_verdict"] = ("SELECT doc_id, pairs, CASE WHEN pairs >= 1 THEN 'detected' ELSE 'not_detected' END "
+                             "AS duplicate_regions FROM copy_verdicts")
+
+_SQL["scan_boxes"] = ("SELECT doc_id, page_no, count(*) AS boxes, min(x0) AS \"left\", max(x1) AS \"right\" "
+                      "FROM tokens WHERE confidence >= 0.3 GROUP BY doc_id, page_no")
+_SQL["pages_to_document"] = "SELECT doc_id, text, round_even(confidence, 9) AS confidence, page_count FROM docs"
+_SQL["assign_lines"] = "SELECT doc_id, page_no, line, word, line_no FROM token_lines"
+_SQL["merge_tokens"] = "SELECT * FROM merged_lines"
+_SQL["fuse_ocr"] = "SELECT doc_id, page_no, ord, text, confidence, engine FROM fused"
+_SQL["secondary_only_lines"] = """
+SELECT doc_id, page_no, ord, text, confidence, engine FROM fused WHERE confidence >= 0.3 AND text <> ''
+UNION ALL
+SELECT doc_id, page_no, ord, text, confidence, 'secondary_only' FROM secondary_kept WHERE confidence >= 0.3"""
+_SQL["label_regions"] = """
+SELECT doc_id, region, page_no, ord, text, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, region ORDER BY ord DESC) AS rn
+  FROM (SELECT *, CASE WHEN contains(lower(text), 'roll') THEN 'roll_number' WHEN contains(lower(text), 'name') THEN 'student_name'
+    WHEN contains(lower(text), 'year') THEN 'year' END AS region FROM page_lines) a WHERE region IS NOT NULL) b WHERE rn = 1"""
+
+_SQL["validate_fields"] = "SELECT * FROM checks"
+_SQL["validation_report"] = "SELECT * FROM report"
+_long = " UNION ALL ".join(
+    f"SELECT doc_id, '{s}' AS signal, {s} AS value, CAST("
+    + ("CASE WHEN document_type = 'aadhaar' THEN " + ev.points(s, s) + " ELSE 0 END" if s == "qr_validation" else ev.points(s, s))
+    + " AS INTEGER) AS points FROM fraud" for s in SIGNALS)
+_SQL["penalty_lookup"] = _long
+_level = "CASE value " + " ".join(f"WHEN '{v}' THEN '{l}'" for v, l in LEVELS.items()) + " ELSE 'none' END"
+_SQL["signal_levels"] = f"SELECT doc_id, signal, value, {_level} AS level FROM ({_long}) l"
+_SQL["base_risk"] = "SELECT doc_id, base_score FROM base_scores"
+_SQL["card_verification"] = ("SELECT doc_id, verhoeff_valid, verhoeff_reason, total_penalty, risk_level, "
+                             "checks_passed, checks_failed, summary FROM cards")
+_SQL["final_risk"] = "SELECT doc_id, base_score, risk_score FROM verdicts"
+_SQL["status_band"] = "SELECT document_type, status, count(*) AS n FROM verdicts GROUP BY document_type, status"
+_ord = "CASE f.document_type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(DOC_TYPES)) + " END"
+_SQL["cross_document_check"] = f"""
+WITH RECURSIVE s AS (SELECT u.subject_id, f.doc_id, f.document_type, coalesce(f.name, f.surname, f.student_name) AS name, f.dob,
+    row_number() OVER (PARTITION BY u.subject_id ORDER BY {_ord}, f.doc_id) AS rn
+  FROM fields f JOIN subjects u ON f.doc_id = u.doc_id
+  WHERE f.document_type <> 'unknown' AND coalesce(f.name, f.surname, f.student_name, f.dob) IS NOT NULL)
+SELECT s.subject_id, a.doc_id AS anchor_id, a.document_type AS anchor_type, s.doc_id, s.document_type,
+  CASE WHEN a.name IS NOT NULL AND s.name IS NOT NULL THEN {tv.token_match('a.name', 's.name', 0.6)} END AS name_agrees,
+  CASE WHEN a.dob IS NOT NULL AND s.dob IS NOT NULL THEN {ev.digits('a.dob')} = {ev.digits('s.dob')} END AS dob_agrees
+FROM s JOIN s a ON s.subject_id = a.subject_id AND a.rn = 1 AND s.rn > 1"""
+
+_SQL["extract_documents"] = """
+SELECT c.doc_id, c.document_type, c.type_confidence, d.confidence, d.page_count, f.name, f.dob, f.address, f.institution, f.email
+FROM classified c JOIN fields f ON c.doc_id = f.doc_id JOIN docs_rounded d ON c.doc_id = d.doc_id"""
+_SQL["verify_documents"] = "SELECT * FROM verdicts"
+_SQL["analyze_documents"] = ("SELECT v.doc_id, v.risk_score, v.status, s.human_summary FROM verdicts v "
+                             "JOIN summaries s ON v.doc_id = s.doc_id")
+_SQL["human_summary"] = "SELECT doc_id, human_summary FROM summaries"
+_before = ",".join(STAGES[:STAGES.index(CARD_STAGE)])
+_after = ",".join(STAGES[STAGES.index(CARD_STAGE) + 1:])
+_SQL["audit_stages"] = (
+    f"SELECT doc_id, CASE WHEN document_type = 'aadhaar' THEN '{_before},{CARD_STAGE},{_after}' ELSE '{_before},{_after}' END AS stages, "
+    f"CAST(CASE WHEN document_type = 'aadhaar' THEN {len(STAGES)} ELSE {len(STAGES) - 1} END AS INTEGER) AS stage_count FROM classified")
+_SQL["verdict_json"] = ("SELECT doc_id, document_type, status, CAST(risk_score AS VARCHAR) AS risk_score, qr_validation FROM verdicts")
+_SQL["risk_by_type"] = """
+SELECT document_type, count(*) AS documents, round_even(avg(risk_score), 4) AS mean_risk,
+  count(*) FILTER (status = 'Likely Genuine') AS genuine, count(*) FILTER (status = 'Suspicious') AS suspicious,
+  count(*) FILTER (status = 'Likely Fake / Tampered') AS fake FROM verdicts GROUP BY document_type"""
+
 ORACLE = {name: render(sql) for name, sql in _SQL.items()}

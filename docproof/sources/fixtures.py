@@ -175,6 +175,44 @@ SUBJECTS = """
 SELECT k AS doc_id, CAST(FLOOR(k / 7) AS BIGINT) AS subject_id FROM {people} p
 """
 
+#: OCR readings to hold against the QR: some names garbled or absent, some dates lost.
+READINGS = """
+SELECT k AS doc_id,
+  CASE WHEN k % 16 = 3 THEN NULL WHEN k % 16 = 5 THEN 'x1' WHEN k % 16 = 7 THEN split_part(nm, ' ', 1) || ' Ghosh'
+       ELSE nm END AS name,
+  CASE WHEN k % 15 = 4 THEN NULL ELSE dob END AS dob,
+  CASE WHEN k % 14 = 5 THEN NULL ELSE uid END AS aadhaar_number,
+  CASE WHEN k % 17 = 6 THEN 'Male' WHEN k % 17 = 7 THEN NULL ELSE gender END AS gender
+FROM {people} p
+"""
+
+#: Pairs of names: equal, reordered, shortened, different, blank.
+NAME_PAIRS = """
+SELECT k AS doc_id, nm AS a,
+  CASE CAST(k % 6 AS INT) WHEN 0 THEN upper(nm) WHEN 1 THEN split_part(nm, ' ', 2) || '  ' || split_part(nm, ' ', 1)
+    WHEN 2 THEN split_part(nm, ' ', 1) WHEN 3 THEN split_part(nm, ' ', 1) || ' Bose' WHEN 4 THEN ''
+    ELSE 'Vikram ' || split_part(nm, ' ', 2) || ' Kumar' END AS b
+FROM {people} p
+"""
+
+#: Numbers as printed: whole, grouped, short, wrong start.
+NUMBERS = """
+SELECT k AS doc_id,
+  CASE CAST(k % 7 AS INT) WHEN 1 THEN substr(uid, 1, 11) WHEN 2 THEN '0' || substr(uid, 2, 11)
+    WHEN 3 THEN substr(uid, 1, 4) || ' ' || substr(uid, 5, 4) || '-' || substr(uid, 9, 4)
+    WHEN 4 THEN '' ELSE uid END AS number,
+  substr(uid, 1, 11) AS stem
+FROM {people} p
+"""
+
+#: Dates in the accepted layouts and in others.
+DATES = """
+SELECT k AS doc_id,
+  CASE CAST(k % 5 AS INT) WHEN 1 THEN substr(dob, 7, 4) || '-' || substr(dob, 4, 2) || '-' || substr(dob, 1, 2)
+    WHEN 2 THEN ' ' || replace(dob, '/', '-') || ' ' WHEN 3 THEN substr(dob, 1, 8) ELSE dob END AS written
+FROM {people} p
+"""
+
 #: Engines where the row generator differs: (Spark text, DuckDB text).
 PAGE_LINES = (
     """
@@ -251,6 +289,10 @@ RECIPES = {
     "tiles": (TILES, ["lineitem"]),
     "replies": (REPLIES, ["customer"]),
     "subjects": (SUBJECTS, ["people"]),
+    "readings": (READINGS, ["people"]),
+    "name_pairs": (NAME_PAIRS, ["people"]),
+    "numbers": (NUMBERS, ["people"]),
+    "dates": (DATES, ["people"]),
     "page_lines": (PAGE_LINES, ["corpus"]),
     "scan_lines": (SCAN_LINES, ["page_lines"]),
     "tokens": (TOKENS, ["scan_lines"]),
