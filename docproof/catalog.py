@@ -16,7 +16,10 @@ from .operators import copymove, crosscheck, layout, names, ocr, qr as QR, repor
 from .plans import verify as plan
 from .plans.extract import clean_and_classify, extract_documents as extract_plan
 from .schemas import DOC_TYPES
+from .session import scratch_path
+from .sources import files
 from .sources.fixtures import fixture
+from .streaming import intake
 
 AS_OF = datetime.date(2025, 1, 1)
 
@@ -47,6 +50,59 @@ def fields_of(spark, sf, types, names):
         for n in names])
 
 
+# --- files and sinks -----------------------------------------------------------------------
+
+SIZE_LIMIT = 4096  # small enough that the prose documents fall on both sides
+
+
+@query
+def scan_files(spark, sf):
+    """The documents written out as files, then scanned as whole files."""
+    path = scratch_path(spark, "files")
+    fixture(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    return files.scan_files(spark, path).select("doc_id", "suffix", "is_pdf", "length")
+
+
+@query
+def validate_files(spark, sf):
+    df = files.validate_files(files.with_file_columns(fixture(spark, sf, "files")), SIZE_LIMIT)
+    return df.select("doc_id", "path", "suffix", "is_pdf", "length", "mime", "verdict", "message")
+
+
+@query
+def sink_extracted(spark, sf):
+    path = scratch_path(spark, "extracted")
+    files.write_extracted(with_fields(spark, sf).select("doc_id", "document_type", "confidence", "fields"), path)
+    return spark.read.parquet(path).where(F.col("document_type") == "passport").select(
+        "doc_id", "document_type", F.col("fields.passport_number").alias("passport_number"))
+
+
+@query
+def sink_verdicts(spark, sf):
+    path = scratch_path(spark, "verdicts")
+    files.write_verdicts(verified(spark, sf), path)
+    return verdict_columns(spark.read.parquet(path))
+
+
+@query
+def stream_verify(spark, sf):
+    """The documents as an arriving stream; rows equal those of the batch plan."""
+    into, out, marks = (scratch_path(spark, n) for n in ("arrivals", "streamed", "marks"))
+    ocr.pages_to_document(fixture(spark, sf, "page_lines")).write.parquet(into)
+    side = evidence(spark, sf)
+    intake.stream_verify(spark, into, out, marks, lambda batch: verdict_columns(
+        plan.verify_documents(batch, *side, F.lit(AS_OF)))).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query
+def stream_extract(spark, sf):
+    into, out, marks = (scratch_path(spark, n) for n in ("arrivals", "streamed", "marks"))
+    ocr.pages_to_document(fixture(spark, sf, "page_lines")).write.parquet(into)
+    intake.stream_extract(spark, into, out, marks).awaitTermination()
+    return extract_columns(spark.read.parquet(out))
+
+
 # --- text and classification ---------------------------------------------------------------
 
 @query
@@ -460,11 +516,14 @@ def validation_report(spark, sf):
     return validate.validation_report(validate.validate_fields(with_fields(spark, sf), F.lit(AS_OF)))
 
 
+def evidence(spark, sf):
+    return [fixture(spark, sf, "signals"), fixture(spark, sf, "qr"), replies(spark, sf),
+            *(fixture(spark, sf, n) for n in ("blocks", "tiles", "descriptors"))]
+
+
 def verified(spark, sf, build=plan.verify_documents):
-    boxes = fixture(spark, sf, "page_lines")
-    return build(
-        ocr.pages_to_document(boxes), fixture(spark, sf, "signals"), fixture(spark, sf, "qr"), replies(spark, sf),
-        fixture(spark, sf, "blocks"), fixture(spark, sf, "tiles"), fixture(spark, sf, "descriptors"), F.lit(AS_OF))
+    docs = ocr.pages_to_document(fixture(spark, sf, "page_lines"))
+    return build(docs, *evidence(spark, sf), F.lit(AS_OF))
 
 
 @query
@@ -516,7 +575,10 @@ def cross_document_check(spark, sf):
 
 @query
 def extract_documents(spark, sf):
-    df = extract_plan(ocr.pages_to_document(fixture(spark, sf, "page_lines")))
+    return extract_columns(extract_plan(ocr.pages_to_document(fixture(spark, sf, "page_lines"))))
+
+
+def extract_columns(df):
     f = F.col("fields")
     return df.select("doc_id", "document_type", "type_confidence", "confidence", "page_count",
                      f["name"].alias("name"), f["dob"].alias("dob"), f["address"].alias("address"),

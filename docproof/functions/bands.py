@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from ..schemas import FAKE, GENUINE, SUSPICIOUS
+from .text import round_exact
 
 # --- fixed values: limits --------------------------------------------------------------
 ELA_SUSPICIOUS, ELA_TAMPERED, ELA_FAILED = 30.0, 60.0, 50.0
@@ -25,7 +26,7 @@ def ela_band(score: Column) -> Column:
 
 
 def ela_value(score: Column) -> Column:
-    return F.coalesce(F.bround(score, 2), F.lit(ELA_FAILED))
+    return F.coalesce(round_exact(score, 2), F.lit(ELA_FAILED))
 
 
 def blur_band(score: Column) -> Column:
@@ -34,7 +35,7 @@ def blur_band(score: Column) -> Column:
 
 
 def blur_value(score: Column) -> Column:
-    return F.coalesce(F.bround(score, 2), F.lit(BLUR_FAILED))
+    return F.coalesce(round_exact(score, 2), F.lit(BLUR_FAILED))
 
 
 def metadata_verdict(suffix: Column, exif_state: Column, software: Column,
@@ -68,7 +69,7 @@ def status_band(score: Column, low: int = RISK_LOW, medium: int = RISK_MEDIUM) -
 
 def font_verdict(cv_block: Column, cv_edge: Column, compression: Column) -> Column:
     """Struct (status, ratio, penalty) from two coefficients of variation and a flag."""
-    ratio = F.bround(F.least(F.lit(1.0), cv_block * 0.6 + cv_edge * 0.4), 4)
+    ratio = round_exact(F.least(F.lit(1.0), cv_block * 0.6 + cv_edge * 0.4), 4)
     bonus = (F.when(cv_edge > SHARPNESS_ANOMALY, 0.15).otherwise(0.0)
              + F.when(compression, 0.10).otherwise(0.0))
     total = ratio + bonus

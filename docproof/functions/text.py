@@ -126,6 +126,11 @@ def mask_id(c: Column) -> Column:
     return F.concat(F.lit("****"), F.right(c, F.lit(4)))
 
 
+def round_exact(c: Column, places: int) -> Column:
+    """Round half-even on the exact binary value, as a double."""
+    return F.replace(F.format_number(c, places), F.lit(","), F.lit("")).cast("double")
+
+
 def fixed2(c: Column) -> Column:
     """A double with two decimals, rounded half-even on its exact value."""
     return F.replace(F.format_number(c, 2), F.lit(","), F.lit(""))

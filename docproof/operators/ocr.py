@@ -19,10 +19,19 @@ REGION_KEYS = [("roll", "roll_number"), ("name", "student_name"), ("year", "year
 PAGE = ["doc_id", "page_no"]
 
 
-def _joined_in_order(order: list[str], text: str, separator: str) -> Column:
-    """Texts of a group joined in the given order."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
-    return F.array_join(F.transform(rows, lambda r: r["_t"]), separator)
+def _in_order(order: list[str], *values: str) -> Column:
+    """Rows of a group in the given order, as an array of structs."""
+    return F.array_sort(F.collect_list(F.struct(*order, *values)))
+
+
+def _joined(rows: Column, text: str, separator: str) -> Column:
+    return F.array_join(F.transform(rows, lambda r: r[text]), separator)
+
+
+def _mean(rows: Column, value: str) -> Column:
+    """Mean added up in row order, so that every run gives the same last digit; 0.0 if empty."""
+    total = F.aggregate(rows, F.lit(0.0), lambda t, r: t + F.coalesce(r[value], F.lit(0.0)))
+    return F.when(F.size(rows) > 0, total / F.size(rows)).otherwise(0.0)
 
 
 def pages_to_document(boxes: DataFrame, pages: DataFrame = None) -> DataFrame:
@@ -31,16 +40,14 @@ def pages_to_document(boxes: DataFrame, pages: DataFrame = None) -> DataFrame:
     ``pages(doc_id, page_no)`` lists pages that may hold no box; such a page counts as 0.0.
     Pages are put together first, which spreads the boxes of a huge document over its pages.
     """
-    per_page = boxes.groupBy(*PAGE).agg(
-        F.avg("confidence").alias("_c"), _joined_in_order(["ord"], "text", "\n").alias("_text"))
+    per_page = boxes.groupBy(*PAGE).agg(_in_order(["ord"], "text", "confidence").alias("_b")).select(
+        *PAGE, _joined(F.col("_b"), "text", "\n").alias("_text"), _mean(F.col("_b"), "confidence").alias("_c"))
     if pages is not None:
-        per_page = pages.select(*PAGE).distinct().join(per_page, PAGE, "left").withColumn(
-            "_c", F.coalesce("_c", F.lit(0.0)))
-    return per_page.groupBy("doc_id").agg(
-        _joined_in_order(["page_no"], "_text", "\n").alias("text"),
-        F.coalesce(F.avg("_c"), F.lit(0.0)).alias("confidence"),
-        F.count("*").alias("page_count"),
-    )
+        per_page = pages.select(*PAGE).distinct().join(per_page, PAGE, "left")
+    return per_page.groupBy("doc_id").agg(_in_order(["page_no"], "_text", "_c").alias("_p")).select(
+        "doc_id", _joined(F.col("_p"), "_text", "\n").alias("text"),
+        _mean(F.col("_p"), "_c").alias("confidence"),
+        F.size("_p").cast("bigint").alias("page_count"))
 
 
 def assign_lines(tokens: DataFrame, y_band: int = Y_BAND) -> DataFrame:
@@ -80,12 +87,13 @@ def assign_lines(tokens: DataFrame, y_band: int = Y_BAND) -> DataFrame:
 def merge_tokens(tokens: DataFrame) -> DataFrame:
     """tokens with line_no -> one row per line: text, mean confidence, box around all."""
     return tokens.groupBy(*PAGE, "line_no").agg(
-        _joined_in_order(["y0", "x0", "line", "word"], "text", " ").alias("text"),
-        F.avg("confidence").alias("confidence"),
+        _in_order(["y0", "x0", "line", "word"], "text", "confidence").alias("_t"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"),
         F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.count("*").alias("tokens"),
-    )
+    ).select(
+        *PAGE, "line_no", _joined(F.col("_t"), "text", " ").alias("text"),
+        _mean(F.col("_t"), "confidence").alias("confidence"), "x0", "y0", "x1", "y1",
+        F.size("_t").cast("bigint").alias("tokens"))
 
 
 # --- similarity of lines within a page ----------------------------------------------------
@@ -98,23 +106,25 @@ def similar_texts(left: DataFrame, right: DataFrame, min_similarity: float = MIN
     Rarity is counted within the page, which keeps a trigram common to every line out of the
     keys. Sizes must agree within t as well.
     """
-    def grams(df, name):
-        g = df.where(F.col("norm") != "").select(*PAGE, "norm").distinct()
-        return g.withColumn("grams", trigrams(F.col("norm"))).withColumn("side", F.lit(name))
-
-    both = grams(left, "l").unionByName(grams(right, "r"))
-    long = both.select(*PAGE, "side", "norm", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    marked = lambda df, l, r: df.where(F.col("norm") != "").select(
+        *PAGE, "norm", F.lit(l).alias("in_l"), F.lit(r).alias("in_r"))
+    # Both sides are ranked as one table, so that the plan holds the ranking once.
+    texts = marked(left, True, False).unionByName(marked(right, False, True)).groupBy(*PAGE, "norm").agg(
+        F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"))
+    long = texts.withColumn("grams", trigrams(F.col("norm"))).select(
+        *PAGE, "norm", "in_l", "in_r", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     frequency = long.groupBy(*PAGE, "gram").agg(F.count("*").alias("df"))
-    ranked = long.join(frequency, [*PAGE, "gram"]).groupBy(*PAGE, "side", "norm", "size").agg(
+    ranked = long.join(frequency, [*PAGE, "gram"]).groupBy(*PAGE, "norm").agg(
+        F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"), F.max("size").alias("size"),
         F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
     keep = F.col("size") - F.ceil(F.col("size") * min_similarity - 1e-9).cast("int") + 1
-    keyed = ranked.select(*PAGE, "side", "norm", "size",
-                          F.explode(F.slice("g", F.lit(1), keep)).alias("key"))
-    side = lambda s, n: keyed.where(F.col("side") == s).select(
-        *PAGE, F.col("key.gram").alias("gram"), F.col("norm").alias(n), F.col("size").alias(f"{n}_size"))
+    side = lambda flag, n: ranked.where(flag).select(
+        *PAGE, F.explode(F.slice("g", F.lit(1), keep)).alias("key"), F.col("norm").alias(n),
+        F.col("size").alias(f"{n}_size")).withColumn("gram", F.col("key.gram")).drop("key")
     fits = (F.col("l_size") >= F.col("r_size") * min_similarity - 1e-9) & (
         F.col("r_size") >= F.col("l_size") * min_similarity - 1e-9)
-    candidates = side("l", "l").join(side("r", "r"), [*PAGE, "gram"]).where(fits).select(*PAGE, "l", "r").distinct()
+    candidates = side("in_l", "l").join(side("in_r", "r"), [*PAGE, "gram"]).where(fits).select(
+        *PAGE, "l", "r").distinct()
     return candidates.where(
         trigram_sets_similarity(trigrams(F.col("l")), trigrams(F.col("r"))) >= min_similarity)
 
@@ -163,11 +173,12 @@ def secondary_only_lines(fused: DataFrame, secondary: DataFrame,
     decided in rounds over the similar pairs: a text with no undecided earlier neighbour is
     kept, its later neighbours go. Every round settles all such texts of all pages at once.
     """
-    f, s = _with_norm(fused), _with_norm(secondary).where(F.col("norm") != "")
-    texts = s.groupBy(*PAGE, "norm").agg(
-        F.min(F.struct("ord", "text", "confidence")).alias("first"))
+    # Read several times below: written once, so that no round goes back to the inputs.
+    f = checkpoint(_with_norm(fused).select(*PAGE, "norm").distinct())
+    texts = checkpoint(_with_norm(secondary).where(F.col("norm") != "").groupBy(*PAGE, "norm").agg(
+        F.min(F.struct("ord", "text", "confidence")).alias("first")))
     like_fused = similar_texts(texts, f, min_similarity).select(*PAGE, F.col("l").alias("norm")).distinct()
-    open_texts = texts.join(like_fused, [*PAGE, "norm"], "left_anti")
+    open_texts = checkpoint(texts.join(like_fused, [*PAGE, "norm"], "left_anti"))
     at = lambda n, o: open_texts.select(*PAGE, F.col("norm").alias(n), F.col("first.ord").alias(o))
     edges = checkpoint(
         similar_texts(open_texts, open_texts, min_similarity)

@@ -426,7 +426,7 @@ FROM (SELECT *, CASE WHEN total_penalty <= 5 THEN 'low' WHEN total_penalty <= 20
   verhoeff_valid::INT + (qr_status = 'verified')::INT + (font_status = 'consistent')::INT + (layout_status = 'valid')::INT AS checks_passed,
   (NOT verhoeff_valid)::INT + (qr_status = 'mismatch')::INT + (font_status = 'inconsistent')::INT + (layout_status = 'invalid')::INT AS checks_failed
   FROM (SELECT f.doc_id, coalesce({verhoeff_parts('f.aadhaar_number')['valid']}, false) AS verhoeff_valid,
-    coalesce({verhoeff_parts('f.aadhaar_number')['reason']}, 'Aadhaar number not found in OCR') AS verhoeff_reason,
+    CASE WHEN f.aadhaar_number IS NULL THEN 'Aadhaar number not found in OCR' ELSE {verhoeff_parts('f.aadhaar_number')['reason']} END AS verhoeff_reason,
     m.status AS qr_status, coalesce(o.status, 'consistent') AS font_status, l.status AS layout_status,
     CAST(greatest(-5, least(100, CASE WHEN f.aadhaar_number IS NULL THEN 15 ELSE {verhoeff_parts('f.aadhaar_number')['penalty']} END
       + m.penalty + coalesce(o.penalty, 0) + l.penalty)) AS INTEGER) AS total_penalty
@@ -485,4 +485,4 @@ SELECT v.doc_id, concat_ws(chr(10),
 FROM verdicts v JOIN docs_rounded d ON v.doc_id = d.doc_id LEFT JOIN reply_used a ON v.doc_id = a.doc_id
 LEFT JOIN (SELECT doc_id, string_agg(message, '; ' ORDER BY seq) AS msgs FROM final_checks
   WHERE NOT passed AND severity = 'high' GROUP BY doc_id) f ON v.doc_id = f.doc_id"""
-VIEWS["docs_rounded"] = "SELECT doc_id, round_even(confidence, 4) AS confidence, page_count FROM docs"
+VIEWS["docs_rounded"] = "SELECT doc_id, CAST(printf('%.4f', confidence) AS DOUBLE) AS confidence, page_count FROM docs"

@@ -183,4 +183,18 @@ SELECT document_type, count(*) AS documents, round_even(avg(risk_score), 4) AS m
   count(*) FILTER (status = 'Likely Genuine') AS genuine, count(*) FILTER (status = 'Suspicious') AS suspicious,
   count(*) FILTER (status = 'Likely Fake / Tampered') AS fake FROM verdicts GROUP BY document_type"""
 
+_SQL["sink_extracted"] = "SELECT doc_id, document_type, passport_number FROM fields WHERE document_type = 'passport'"
+_SQL["sink_verdicts"] = _SQL["stream_verify"] = "SELECT * FROM verdicts"
+_SQL["stream_extract"] = _SQL["extract_documents"]
+_mime = """CASE doc % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/tiff'
+  WHEN 4 THEN 'image/webp' WHEN 5 THEN 'image/gif' ELSE 'text/plain' END"""
+_SQL["validate_files"] = f"""
+SELECT doc_id, path, suffix, suffix = '.pdf' AS is_pdf, length, mime, verdict,
+  CASE verdict WHEN 'FileTooLargeError' THEN 'File ' || chr(39) || substr(path, 4) || chr(39) || ' is ' || printf('%.1f', length / 1048576) || ' MB — limit is 0 MB.'
+    WHEN 'UnsupportedFileTypeError' THEN 'MIME type ' || chr(39) || mime || chr(39) || ' is not supported. Allowed: application/pdf, image/jpeg, image/png, image/tiff, image/webp' END AS message
+FROM (SELECT *, CASE WHEN length > 4096 THEN 'FileTooLargeError' WHEN mime IN ('image/gif', 'text/plain') THEN 'UnsupportedFileTypeError' ELSE 'accepted' END AS verdict
+  FROM (SELECT sha256(content) AS doc_id, path, length, {_mime} AS mime,
+    CASE WHEN regexp_matches(path, '\\.[^./]+$') THEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) ELSE '.bin' END AS suffix
+    FROM (SELECT *, CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) AS doc FROM files) a) b) c"""
+
 ORACLE = {name: render(sql) for name, sql in _SQL.items()}

@@ -72,11 +72,13 @@ def trigram_similarity(a: str, b: str) -> str:
 
 
 VIEWS["page_means"] = """
-SELECT doc_id, page_no, avg(confidence) AS c FROM page_lines GROUP BY doc_id, page_no"""
+SELECT doc_id, page_no, list_reduce(list(confidence ORDER BY ord), lambda a, b: a + b) / count(*) AS c
+FROM page_lines GROUP BY doc_id, page_no"""
 VIEWS["docs"] = """
 SELECT t.doc_id, t.text, m.confidence, m.page_count
 FROM (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no, ord) AS text FROM page_lines GROUP BY doc_id) t
-JOIN (SELECT doc_id, avg(c) AS confidence, count(*) AS page_count FROM page_means GROUP BY doc_id) m
+JOIN (SELECT doc_id, list_reduce(list(c ORDER BY page_no), lambda a, b: a + b) / count(*) AS confidence,
+  count(*) AS page_count FROM page_means GROUP BY doc_id) m
 ON t.doc_id = m.doc_id"""
 VIEWS["cleaned"] = f"SELECT doc_id, {clean('text')} AS text FROM corpus"
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.parse import parse_fields
-from ..functions.text import clean_text
+from ..functions.text import clean_text, round_exact
 from ..operators.classify import classify_weighted
 
 
@@ -17,5 +17,5 @@ def extract_documents(docs: DataFrame, confuse_o: bool = True) -> DataFrame:
     return (
         clean_and_classify(docs, confuse_o)
         .withColumn("fields", parse_fields(F.col("text"), F.col("document_type")))
-        .withColumn("confidence", F.bround("confidence", 4))
+        .withColumn("confidence", round_exact(F.col("confidence"), 4))
     )

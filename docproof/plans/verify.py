@@ -45,7 +45,10 @@ def card_evidence(df: DataFrame) -> DataFrame:
         .transform(correct_from_qr)
         .transform(quick_verdict)
         .withColumn("font", F.coalesce("font", _default_font()))
-        .transform(card_layout_score)
+        # Only a card's own text is searched for the card's marks.
+        .withColumn("_card_text", F.when(card, F.col("text")))
+        .transform(card_layout_score, text="_card_text")
+        .drop("_card_text")
         .transform(card_verification)
     )
     return (

@@ -1,6 +1,7 @@
 """Session helpers: runtime settings the plans rely on, and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,14 +17,31 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def builder(app: str = "docproof") -> SparkSession.Builder:
+    """Session builder with the one static setting worth having: the expressions are long, and
+    recording a Python call site for every column costs more than planning them."""
+    return SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate data; a folder of our own where it names none."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current is not None:
+        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        # Only without a cluster setting, i.e. local runs and tests.
+        folder = tempfile.mkdtemp(prefix="docproof-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            # Only without a cluster setting, i.e. local runs and tests.
-            folder = tempfile.mkdtemp(prefix="docproof-checkpoint-")
-        sc.setCheckpointDir(folder)
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -213,6 +213,22 @@ SELECT k AS doc_id,
 FROM {people} p
 """
 
+#: Uploaded files as rows: each document's text behind the leading bytes of some format.
+FILES = (
+    """
+SELECT 'in/' || CAST(doc_id AS string) || split_part('.pdf,.JPG,.png,.tiff,.webp,.gif,', ',', CAST(1 + doc_id % 7 AS INT)) AS path,
+  CAST(octet_length(content) AS BIGINT) AS length, content
+FROM (SELECT doc_id, concat(unhex(split_part('255044462D312E37,FFD8FFE000104A46,89504E470D0A1A0A,49492A0008000000,524946460000000057454250,474946383961,',
+    ',', CAST(1 + doc_id % 7 AS INT))), encode(text, 'UTF-8')) AS content FROM {documents} d) f
+""",
+    """
+SELECT 'in/' || CAST(doc_id AS string) || split_part('.pdf,.JPG,.png,.tiff,.webp,.gif,', ',', CAST(1 + doc_id % 7 AS INT)) AS path,
+  CAST(octet_length(content) AS BIGINT) AS length, content
+FROM (SELECT doc_id, unhex(split_part('255044462D312E37,FFD8FFE000104A46,89504E470D0A1A0A,49492A0008000000,524946460000000057454250,474946383961,',
+    ',', CAST(1 + doc_id % 7 AS INT))) || encode(text) AS content FROM {documents} d) f
+""",
+)
+
 #: Engines where the row generator differs: (Spark text, DuckDB text).
 PAGE_LINES = (
     """
@@ -289,6 +305,7 @@ RECIPES = {
     "tiles": (TILES, ["lineitem"]),
     "replies": (REPLIES, ["customer"]),
     "subjects": (SUBJECTS, ["people"]),
+    "files": (FILES, ["documents"]),
     "readings": (READINGS, ["people"]),
     "name_pairs": (NAME_PAIRS, ["people"]),
     "numbers": (NUMBERS, ["people"]),
