@@ -6,7 +6,7 @@ place unless the result itself is one cell (the text of a line, page or document
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import normalise_ws, trigram_sets_similarity, trigrams
+from ..functions.text import normalise_ws, trigrams
 from ..session import checkpoint
 
 # --- fixed values ------------------------------------------------------------------------
@@ -98,35 +98,71 @@ def merge_tokens(tokens: DataFrame) -> DataFrame:
 
 # --- similarity of lines within a page ----------------------------------------------------
 
-def similar_texts(left: DataFrame, right: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """Pairs (page, l, r) of distinct texts whose trigram sets overlap enough.
+#: Pages with at most this many distinct texts are compared inside one row.
+SMALL_PAGE = 256
+
+
+def _sizes_fit(a: Column, b: Column, t: float) -> Column:
+    """Necessary for a Jaccard of t; the margin keeps rounding from excluding an equal case."""
+    return (a >= b * t - 1e-9) & (b >= a * t - 1e-9)
+
+
+def _alike(a: Column, b: Column, t: float) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared) >= t
+
+
+def _similar_on_small_pages(texts: DataFrame, t: float) -> DataFrame:
+    """Compare the texts of a page inside its row; only the pairs that are alike come out."""
+    def partners(left, all_texts):
+        fits = lambda r: r["in_r"] & _sizes_fit(F.size(left["grams"]), F.size(r["grams"]), t) & _alike(
+            left["grams"], r["grams"], t)
+        return F.transform(F.filter(all_texts, fits), lambda r: F.struct(left["norm"].alias("l"), r["norm"].alias("r")))
+
+    pages = texts.withColumn("grams", trigrams(F.col("norm"))).groupBy(*PAGE).agg(
+        F.collect_list(F.struct("norm", "in_l", "in_r", "grams")).alias("ts"))
+    pairs = F.flatten(F.transform(F.filter("ts", lambda x: x["in_l"]), lambda x: partners(x, F.col("ts"))))
+    return pages.select(*PAGE, F.inline(pairs))
+
+
+def _similar_on_large_pages(texts: DataFrame, t: float) -> DataFrame:
+    """Prefix filter: two sets with Jaccard >= t share one of the rarest |s| - ceil(t|s|) + 1
+    trigrams of each, so only texts sharing such a trigram meet.
 
-    Exact, without comparing all texts of a page: two sets with Jaccard >= t share one of the
-    rarest |s| - ceil(t|s|) + 1 trigrams of each, so only texts sharing such a trigram meet.
     Rarity is counted within the page, which keeps a trigram common to every line out of the
-    keys. Sizes must agree within t as well.
+    keys. Both sides are ranked as one table, so that the plan holds the ranking once.
     """
-    marked = lambda df, l, r: df.where(F.col("norm") != "").select(
-        *PAGE, "norm", F.lit(l).alias("in_l"), F.lit(r).alias("in_r"))
-    # Both sides are ranked as one table, so that the plan holds the ranking once.
-    texts = marked(left, True, False).unionByName(marked(right, False, True)).groupBy(*PAGE, "norm").agg(
-        F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"))
     long = texts.withColumn("grams", trigrams(F.col("norm"))).select(
         *PAGE, "norm", "in_l", "in_r", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     frequency = long.groupBy(*PAGE, "gram").agg(F.count("*").alias("df"))
     ranked = long.join(frequency, [*PAGE, "gram"]).groupBy(*PAGE, "norm").agg(
         F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"), F.max("size").alias("size"),
         F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    keep = F.col("size") - F.ceil(F.col("size") * min_similarity - 1e-9).cast("int") + 1
+    keep = F.col("size") - F.ceil(F.col("size") * t - 1e-9).cast("int") + 1
     side = lambda flag, n: ranked.where(flag).select(
         *PAGE, F.explode(F.slice("g", F.lit(1), keep)).alias("key"), F.col("norm").alias(n),
         F.col("size").alias(f"{n}_size")).withColumn("gram", F.col("key.gram")).drop("key")
-    fits = (F.col("l_size") >= F.col("r_size") * min_similarity - 1e-9) & (
-        F.col("r_size") >= F.col("l_size") * min_similarity - 1e-9)
-    candidates = side("in_l", "l").join(side("in_r", "r"), [*PAGE, "gram"]).where(fits).select(
-        *PAGE, "l", "r").distinct()
-    return candidates.where(
-        trigram_sets_similarity(trigrams(F.col("l")), trigrams(F.col("r"))) >= min_similarity)
+    candidates = side("in_l", "l").join(side("in_r", "r"), [*PAGE, "gram"]).where(
+        _sizes_fit(F.col("l_size"), F.col("r_size"), t)).select(*PAGE, "l", "r").distinct()
+    return candidates.where(_alike(trigrams(F.col("l")), trigrams(F.col("r")), t))
+
+
+def similar_texts(left: DataFrame, right: DataFrame, min_similarity: float = MIN_SIMILARITY,
+                  small_page: int = SMALL_PAGE) -> DataFrame:
+    """Pairs (page, l, r) of distinct texts of a page whose trigram sets overlap enough. Exact.
+
+    Pages are told apart by their number of distinct texts: usual ones are compared inside a
+    row of bounded size, any larger one by a join on its rarest trigrams.
+    """
+    marked = lambda df, l, r: df.where(F.col("norm") != "").select(
+        *PAGE, "norm", F.lit(l).alias("in_l"), F.lit(r).alias("in_r"))
+    texts = marked(left, True, False).unionByName(marked(right, False, True)).groupBy(*PAGE, "norm").agg(
+        F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"))
+    sized = texts.join(texts.groupBy(*PAGE).agg(F.count("*").alias("_n")), PAGE)
+    small = sized.where(F.col("_n") <= small_page).drop("_n")
+    large = sized.where(F.col("_n") > small_page).drop("_n")
+    return _similar_on_small_pages(small, min_similarity).unionByName(
+        _similar_on_large_pages(large, min_similarity))
 
 
 def _with_norm(df: DataFrame) -> DataFrame:
