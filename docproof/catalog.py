@@ -15,7 +15,7 @@ from .operators import classify as cls
 from .operators import copymove, crosscheck, layout, names, ocr, qr as QR, report, risk, stats, validate
 from .plans import verify as plan
 from .plans.extract import clean_and_classify, extract_documents as extract_plan
-from .schemas import DOC_TYPES
+from .schemas import DOC_TYPES, FIELDS
 from .session import scratch_path
 from .sources import files
 from .sources.fixtures import fixture
@@ -199,16 +199,12 @@ def rank_names(spark, sf):
 @query
 def parse_fields(spark, sf):
     f = F.col("fields")
-    shown = [n for n in f_names() if n not in ("skills", "education", "experience")]
+    never_set = ("given_names", "degree", "education", "experience")
+    shown = [n for n in FIELDS.names if n not in never_set and n != "skills"]
     return with_fields(spark, sf).select(
         "doc_id", "document_type", *[f[n].alias(n) for n in shown], F.array_join(f["skills"], "; ").alias("skills"))
 
 
-def f_names():
-    from .schemas import FIELDS
-    return [n for n in FIELDS.names if n not in ("given_names", "degree")]
-
-
 # --- single values -------------------------------------------------------------------------
 
 @query

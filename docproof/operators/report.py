@@ -12,8 +12,6 @@ STAGES = [
     "aadhaar_deep_verification", "validation_engine", "risk_scoring",
 ]
 CARD_STAGE = "aadhaar_deep_verification"
-# Stages of the reference run that call a service outside this engine and are not run here.
-OUTSIDE_STAGES = ["llm_credential_extraction"]
 # --- end of fixed values --------------------------------------------------------------
 
 

@@ -24,13 +24,14 @@ def builder(app: str = "docproof") -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate data; a folder of our own where it names none."""
+    """The cluster's shared folder for intermediate data; a folder of our own on a local master only."""
     current = spark.sparkContext.getCheckpointDir()
     if current is not None:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        # Only without a cluster setting, i.e. local runs and tests.
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="docproof-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
