@@ -73,8 +73,9 @@ def validate_files(spark, sf):
 def sink_extracted(spark, sf):
     path = scratch_path(spark, "extracted")
     files.write_extracted(with_fields(spark, sf).select("doc_id", "document_type", "confidence", "fields"), path)
-    return spark.read.parquet(path).where(F.col("document_type") == "passport").select(
-        "doc_id", "document_type", F.col("fields.passport_number").alias("passport_number"))
+    f = F.col("fields")
+    number = F.coalesce(f["aadhaar_number"], f["pan_number"], f["passport_number"], f["roll_number"])
+    return spark.read.parquet(path).select("doc_id", "document_type", number.alias("number"))
 
 
 @query
@@ -249,7 +250,7 @@ def token_match(spark, sf):
 
 @query
 def trigram_similarity(spark, sf):
-    a = fixture(spark, sf, "scan_lines").select("doc_id", "ord", F.col("text").alias("a"))
+    a = fixture(spark, sf, "page_lines").select("doc_id", "ord", F.col("text").alias("a"))
     b = fixture(spark, sf, "primary_lines").select("doc_id", "ord", F.col("text").alias("b"))
     sim = X.trigram_similarity(F.col("a"), F.col("b"))
     return a.join(b, ["doc_id", "ord"]).select(
@@ -464,7 +465,7 @@ def secondary_lines(spark, sf):
 
 @query
 def scan_boxes(spark, sf):
-    return fixture(spark, sf, "tokens").where(F.col("confidence") >= 0.3).groupBy("doc_id", "page_no").agg(
+    return fixture(spark, sf, "tokens").groupBy("doc_id", "page_no").agg(
         F.count("*").alias("boxes"), F.min("x0").alias("left"), F.max("x1").alias("right"))
 
 

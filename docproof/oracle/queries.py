@@ -67,7 +67,7 @@ _SQL["token_match"] = (f"SELECT doc_id, {tv.token_match('a', 'b', 0.55)} AS deep
 _sim = tv.trigram_similarity("a.text", "b.text")
 _SQL["trigram_similarity"] = (
     f"SELECT doc_id, ord, round_even(s, 6) AS similarity, s >= 0.75 AS near_duplicate FROM (SELECT a.doc_id, a.ord, {_sim} AS s "
-    "FROM scan_lines a JOIN primary_lines b ON a.doc_id = b.doc_id AND a.ord = b.ord) t")
+    "FROM page_lines a JOIN primary_lines b ON a.doc_id = b.doc_id AND a.ord = b.ord) t")
 
 _SQL["parse_model_json"] = """
 SELECT doc_id, reply_error, CAST(j->>'$.vlm_confidence' AS DOUBLE) AS vlm_confidence, j->>'$.overall_assessment' AS overall_assessment,
@@ -126,7 +126,7 @@ _SQL["copy_move_verdict"] = ("SELECT doc_id, pairs, CASE WHEN pairs >= 1 THEN 'd
                              "AS duplicate_regions FROM copy_verdicts")
 
 _SQL["scan_boxes"] = ("SELECT doc_id, page_no, count(*) AS boxes, min(x0) AS \"left\", max(x1) AS \"right\" "
-                      "FROM tokens WHERE confidence >= 0.3 GROUP BY doc_id, page_no")
+                      "FROM tokens GROUP BY doc_id, page_no")
 _SQL["pages_to_document"] = "SELECT doc_id, text, round_even(confidence, 9) AS confidence, page_count FROM docs"
 _SQL["assign_lines"] = "SELECT doc_id, page_no, line, word, line_no FROM token_lines"
 _SQL["merge_tokens"] = "SELECT * FROM merged_lines"
@@ -183,7 +183,7 @@ SELECT document_type, count(*) AS documents, round_even(avg(risk_score), 4) AS m
   count(*) FILTER (status = 'Likely Genuine') AS genuine, count(*) FILTER (status = 'Suspicious') AS suspicious,
   count(*) FILTER (status = 'Likely Fake / Tampered') AS fake FROM verdicts GROUP BY document_type"""
 
-_SQL["sink_extracted"] = "SELECT doc_id, document_type, passport_number FROM fields WHERE document_type = 'passport'"
+_SQL["sink_extracted"] = "SELECT doc_id, document_type, coalesce(aadhaar_number, pan_number, passport_number, roll_number) AS number FROM fields"
 _SQL["sink_verdicts"] = _SQL["stream_verify"] = "SELECT * FROM verdicts"
 _SQL["stream_extract"] = _SQL["extract_documents"]
 _mime = """CASE doc % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/tiff'

@@ -146,13 +146,13 @@ FROM {lineitem} l
 REPLIES = """
 SELECT doc_id,
   CASE WHEN v = 0 THEN NULL ELSE msg END AS content,
-  CASE WHEN v = 1 THEN NULL WHEN v = 0 THEN msg ELSE 'spare' END AS reasoning,
-  CASE WHEN v = 0 THEN 'unused' ELSE NULL END AS reasoning_content,
+  CASE WHEN v = 1 OR msg IS NULL THEN NULL WHEN v = 0 THEN msg ELSE 'spare' END AS reasoning,
+  CASE WHEN v = 0 AND msg IS NOT NULL THEN 'unused' ELSE NULL END AS reasoning_content,
   CASE WHEN v = 2 THEN msg ELSE NULL END AS part_1,
-  CASE WHEN v = 2 THEN ' ' ELSE NULL END AS part_2
+  CASE WHEN v = 2 AND msg IS NOT NULL THEN ' ' ELSE NULL END AS part_2
 FROM (
 SELECT k AS doc_id, k % 5 AS v,
-  CASE WHEN k % 19 = 0 THEN 'no object here'
+  CASE WHEN k % 6 = 0 THEN NULL WHEN k % 19 = 0 THEN 'no object here'
   WHEN k % 23 = 0 THEN '{{"suggested_risk_adjustment": '
   WHEN k % 29 = 0 THEN '{{"suggested_risk_adjustment": oops}}'
   ELSE
@@ -166,7 +166,6 @@ SELECT k AS doc_id, k % 5 AS v,
   ', "reasoning": "checked ' || CAST(k AS string) || '"' ||
   ', "suggested_risk_adjustment": ' || CAST(CASE WHEN k % 17 = 0 THEN 90 ELSE k % 61 - 20 END AS string) || ',}}' || chr(10) || '```' END AS msg
 FROM (SELECT c_custkey AS k FROM {customer}) c
-WHERE k % 6 <> 0
 ) r
 """
 
@@ -251,7 +250,7 @@ SELECT doc_id, page_no, ord AS line, CAST(w AS INT) AS word, text,
   CAST(((doc_id % 1009) * 7 + ord * 13 + w * 5) % 80 + 15 AS DOUBLE) / 100 AS confidence,
   CAST(50 * w AS INT) AS x0, CAST(14 * (ord % 40) + (w * 5) % 3 + (ord % 3) * 2 AS INT) AS y0,
   CAST(50 * w + 8 * length(text) AS INT) AS x1, CAST(14 * (ord % 40) + 12 AS INT) AS y1
-FROM (SELECT doc_id, page_no, ord, posexplode(split(text, ' ')) AS (w, text) FROM {scan_lines}) c
+FROM (SELECT doc_id, page_no, ord, posexplode(split(text, ' ')) AS (w, text) FROM {page_lines}) c
 WHERE text <> ''
 """,
     """
@@ -260,22 +259,18 @@ SELECT doc_id, page_no, ord AS line, CAST(w AS INT) AS word, text,
   CAST(50 * w AS INT) AS x0, CAST(14 * (ord % 40) + (w * 5) % 3 + (ord % 3) * 2 AS INT) AS y0,
   CAST(50 * w + 8 * length(text) AS INT) AS x1, CAST(14 * (ord % 40) + 12 AS INT) AS y1
 FROM (SELECT doc_id, page_no, ord, unnest(range(len(ws))) AS w, unnest(ws) AS text
-      FROM (SELECT doc_id, page_no, ord, string_split(text, ' ') AS ws FROM {scan_lines}) a) c
+      FROM (SELECT doc_id, page_no, ord, string_split(text, ' ') AS ws FROM {page_lines}) a) c
 WHERE text <> ''
 """,
 )
 
-#: Lines of the first engine over the same pages: every third with a letter wrong, every seventh lost.
+#: Lines of the first engine over the same pages: every third with a letter wrong, every seventh unread.
 PRIMARY = """
 SELECT doc_id, page_no, ord,
-  CASE WHEN ord % 3 = 1 THEN replace(replace(text, 'a', 'o'), 'Roll', 'roll') ELSE text END AS text, confidence
-FROM {scan_lines} s
-WHERE (ord + doc_id) % 7 <> 3
+  CASE WHEN (ord + doc_id) % 7 = 3 THEN '' WHEN ord % 3 = 1 THEN replace(replace(text, 'a', 'o'), 'Roll', 'roll') ELSE text END AS text, confidence
+FROM {page_lines} s
 """
 
-#: Lines of the scans only, of the documents' lines.
-SCAN_LINES = "SELECT * FROM {page_lines} p WHERE doc_id < 1000000000000"
-
 #: Key-point descriptors from vectors: one sign bit per dimension.
 DESCRIPTORS = (
     """
@@ -311,9 +306,8 @@ RECIPES = {
     "numbers": (NUMBERS, ["people"]),
     "dates": (DATES, ["people"]),
     "page_lines": (PAGE_LINES, ["corpus"]),
-    "scan_lines": (SCAN_LINES, ["page_lines"]),
-    "tokens": (TOKENS, ["scan_lines"]),
-    "primary_lines": (PRIMARY, ["scan_lines"]),
+    "tokens": (TOKENS, ["page_lines"]),
+    "primary_lines": (PRIMARY, ["page_lines"]),
     "descriptors": (DESCRIPTORS, ["embeddings"]),
 }
 

@@ -51,6 +51,12 @@ def test_trigram_similarity(apply):
     assert got == [1.0, 1.0, 0.0, 0.0, pytest.approx(1 / 3), 0.0]
 
 
+def test_trigrams_are_by_character(apply):
+    text = "ab\n😀cdcdcd é"
+    (got,) = apply(X.trigrams, [text])
+    assert sorted(got) == sorted({text[i:i + 3] for i in range(len(text) - 2)})
+
+
 def test_verhoeff_known_values_and_messages(apply):
     got = apply(C.verhoeff_check, ["2363", "123456789012", "0123 4567 8901", None])
     assert got[0].penalty == 25 and got[0].reason == "Aadhaar must be 12 digits, got 4"
