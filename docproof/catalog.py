@@ -16,7 +16,7 @@ from .operators import copymove, crosscheck, layout, names, ocr, qr as QR, repor
 from .plans import verify as plan
 from .plans.extract import clean_and_classify, extract_documents as extract_plan
 from .schemas import DOC_TYPES, FIELDS
-from .session import scratch_path
+from .session import checkpoint, scratch_path
 from .sources import files
 from .sources.fixtures import fixture
 from .streaming import intake
@@ -487,12 +487,12 @@ def merge_tokens(spark, sf):
 
 @query
 def fuse_ocr(spark, sf):
-    return ocr.fuse_ocr(fixture(spark, sf, "primary_lines"), secondary_lines(spark, sf))
+    return ocr.fuse_ocr(fixture(spark, sf, "primary_lines"), checkpoint(secondary_lines(spark, sf)))
 
 
 @query
 def secondary_only_lines(spark, sf):
-    second = secondary_lines(spark, sf)
+    second = checkpoint(secondary_lines(spark, sf))
     return ocr.secondary_only_lines(ocr.fuse_ocr(fixture(spark, sf, "primary_lines"), second), second)
 
 

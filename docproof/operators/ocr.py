@@ -6,7 +6,7 @@ place unless the result itself is one cell (the text of a line, page or document
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import normalise_ws, trigrams
+from ..functions.text import let, normalise_ws, trigrams
 from ..session import checkpoint
 
 # --- fixed values ------------------------------------------------------------------------
@@ -108,8 +108,7 @@ def _sizes_fit(a: Column, b: Column, t: float) -> Column:
 
 
 def _alike(a: Column, b: Column, t: float) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared) >= t
+    return let(F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared) >= t)
 
 
 def _similar_on_small_pages(texts: DataFrame, t: float) -> DataFrame:
@@ -174,7 +173,8 @@ def fuse_ocr(primary: DataFrame, secondary: DataFrame, min_similarity: float = M
     and surer; otherwise it stays.
 
     Lines of one page are reduced to distinct (text, confidence) on both sides before they
-    meet, so copies of a line cost nothing.
+    meet, so copies of a line cost nothing. Both inputs are read more than once: pass stored
+    tables, or a checkpoint of anything costly.
     """
     p, s = _with_norm(primary), _with_norm(secondary)
     wanted = p.groupBy(*PAGE, "norm", "confidence").agg(F.count("*").alias("_n"))
