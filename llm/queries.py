@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+from llm.language_model import op3_stupid_backoff
 from llm.packing import op5_cost_balanced
 from llm.pages import op9_max_subsequence
 from llm.quality import op4_compression_bands
 from llm.secrets import op6_blob_ledger
+from llm.substrings import op10_count_min
 from llm.tokens import op8_longest_match
 from llm.toxicity import op1_nnpu
 
 QUERIES = {f.__name__: f for f in (
-    op1_nnpu, op4_compression_bands, op5_cost_balanced, op6_blob_ledger, op8_longest_match, op9_max_subsequence)}
+    op1_nnpu, op3_stupid_backoff, op4_compression_bands, op5_cost_balanced, op6_blob_ledger, op8_longest_match,
+    op9_max_subsequence, op10_count_min)}
 
-ORACLE: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE = {
+    "op3_stupid_backoff": rf"""
+WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+one AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+size AS (SELECT doc_id, len(w) AS n_words, sum(len(w)) OVER () - len(w) AS others FROM words),
+c1 AS (SELECT word, count(*) AS n FROM one GROUP BY word),
+own1 AS (SELECT doc_id, word, count(*) AS n FROM one GROUP BY doc_id, word),
+c2 AS (SELECT before, word, count(*) AS n FROM one WHERE before IS NOT NULL GROUP BY before, word),
+own2 AS (SELECT doc_id, before, word, count(*) AS n FROM one WHERE before IS NOT NULL GROUP BY doc_id, before, word),
+rest1 AS (SELECT doc_id, word, c1.n - own1.n AS n FROM own1 JOIN c1 USING (word)),
+rest2 AS (SELECT doc_id, before, word, c2.n - own2.n AS n FROM own2 JOIN c2 USING (before, word)),
+scored AS (
+  SELECT o.doc_id, CASE
+    WHEN b.n > 0 THEN ln(b.n) - ln(h.n)
+    ELSE (CASE WHEN o.before IS NULL THEN 0 ELSE ln(0.4) END)
+         + ln((CASE WHEN u.n > 0 THEN u.n ELSE 0.4 END)::DOUBLE / (s.others + 1)) END AS score
+  FROM one o JOIN size s ON s.doc_id = o.doc_id
+  JOIN rest1 u ON u.doc_id = o.doc_id AND u.word = o.word
+  LEFT JOIN rest2 b ON b.doc_id = o.doc_id AND b.before = o.before AND b.word = o.word
+  LEFT JOIN rest1 h ON h.doc_id = o.doc_id AND h.word = o.before)
+SELECT s.doc_id, s.n_words, round(coalesce(t.total, 0.0), 3) AS log_score, round(t.total / s.n_words, 6) AS mean_log_score
+FROM size s LEFT JOIN (SELECT doc_id, sum(score) AS total FROM scored GROUP BY doc_id) t USING (doc_id)
+""",
+    "op10_count_min": rf"""
+WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS run
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, unnest(range(0, 20)) AS t(k)),
+one AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+kept AS (SELECT o.doc_id, count(*) AS n, string_agg(o.word, ' ' ORDER BY o.i) AS text
+         FROM one o ANTI JOIN gone g ON g.doc_id = o.doc_id AND g.i = o.i GROUP BY o.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k USING (doc_id)
+""",
+}
