@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         told: dict[int, dict[int, bytes]] = {}
         for n, s, counts in zip(*(answer.column(c).to_pylist() for c in ("n", "segment", "counts")), strict=True):
             told.setdefault(n, {})[s] = counts
-        total = answer.filter(pa.compute.equal(answer.column("n"), 1)).column("words")[0].as_py()
+        total = answer.filter(pc.equal(answer.column("n"), 1)).column("words")[0].as_py()
         n_words = np.diff(bounds)
         if len(hashes):
             sums = np.bincount(row_of(bounds), row_scores(hashes, bounds, told, total, order), minlength=len(n_words))

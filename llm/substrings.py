@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,8 +124,8 @@ def later_windows(rows: DataFrame, told: DataFrame, n_buckets: int, bits: int, n
         return pa.table({f.name: pa.array([x[k] if f.name != "least" else x[k] - 2**63 for x in out], f.type) for k, f in enumerate(SENT)}, schema=SENT)
 
     def decide(group: pa.Table) -> pa.Table:
-        sent = group.filter(pa.compute.is_valid(group.column("h1")))
-        local = group.filter(pa.compute.is_valid(group.column("local"))).select(["bucket", "local"]).rename_columns(["bucket", "at"])
+        sent = group.filter(pc.is_valid(group.column("h1")))
+        local = group.filter(pc.is_valid(group.column("local"))).select(["bucket", "local"]).rename_columns(["bucket", "at"])
         if not sent.num_rows:
             return local
         h1, h2, at = (np.concatenate([f(x) for x in sent.column(c).to_pylist()]) for c, f in (
