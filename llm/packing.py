@@ -32,7 +32,7 @@ SEQUENCE = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 21
 #: Distinct words whose ids a worker keeps; beyond it the cache starts anew, ids are unaffected.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 2_000_000
 #: Below this character, letters stay letters of one word when they are normalised.
 BEYOND = "\u0130"
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, cost double"
@@ -193,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = SEQUENCE,
             return out
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 6 << 20):
                 got, bounds = words.encode(part.column("text"))
                 keys.append(part.column("doc_id"))
                 ids.append(got)
