@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from llm.decontaminate import op7_cgk_lsh
 from llm.language_model import op3_stupid_backoff
+from llm.near_duplicates import op2_chosen_path
 from llm.packing import op5_cost_balanced
 from llm.pages import op9_max_subsequence
 from llm.quality import op4_compression_bands
@@ -13,7 +14,7 @@ from llm.tokens import op8_longest_match
 from llm.toxicity import op1_nnpu
 
 QUERIES = {f.__name__: f for f in (
-    op1_nnpu, op3_stupid_backoff, op4_compression_bands, op5_cost_balanced, op6_blob_ledger, op7_cgk_lsh,
+    op1_nnpu, op2_chosen_path, op3_stupid_backoff, op4_compression_bands, op5_cost_balanced, op6_blob_ledger, op7_cgk_lsh,
     op8_longest_match, op9_max_subsequence, op10_count_min)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
