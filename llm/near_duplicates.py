@@ -32,7 +32,7 @@ from llm.buckets import pack_sorted, unpack_sorted
 from llm.graph import components, stored
 from llm.words import Words, combine, mix, slices, table
 
-SHINGLE = 4
+SHINGLE = 5
 PERCENT = 80
 COORDINATES = 64
 TREES = 12
@@ -67,7 +67,7 @@ def shingles(column, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return row[once], key[once]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128 bits that stand for the set) and the sketch of every row."""
     draw = np.random.default_rng(11)
     turn = draw.integers(0, 2**64, COORDINATES, np.uint64)
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                row, key = shingles(part.column("text"))
+                row, key = shingles(part.column("text"), size)
                 n = np.bincount(row, minlength=part.num_rows)
                 some = np.flatnonzero(n)
                 low = np.full((part.num_rows, COORDINATES), 65535, np.uint16)
@@ -206,14 +206,14 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs"), rows
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(rep, n, shingles) for ids(rep): n distinct shingles and their hashes, packed."""
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                row, key = shingles(part.column("text"))
+                row, key = shingles(part.column("text"), size)
                 key = key >> np.uint64(64 - SET_BITS)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield table(schema, part.column("rep"), np.diff(cut), [
@@ -299,9 +299,9 @@ def family_links(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataF
     return confirm(others.unionAll(held).join(sets, "rep"), True)
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Sketched rows of docs, and (rep, component) of every class that is linked with another."""
-    rows = stored(sketches(docs), "sketches")
+    rows = stored(sketches(docs, size), "sketches")
     reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(
         F.min("doc_id").alias("doc_id"))
     reps = stored(rows.join(reps, ["doc_id", "set_a", "set_b", "n_shingles"]).select(
@@ -309,7 +309,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, large = candidates(reps)
     large = stored(large.distinct(), "large")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionAll(large.select("rep")).distinct()
-    sets = stored(sets_of(docs, ids).dropDuplicates(["rep", "shingles"]), "sets")
+    sets = stored(sets_of(docs, ids, size).dropDuplicates(["rep", "shingles"]), "sets")
 
     # One candidate per set first: the partner with the most candidates among those surely similar, else the most similar.
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
@@ -339,9 +339,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, found.select(F.col("id").alias("rep"), "component")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows, found = classes(docs)
+    rows, found = classes(docs, size)
     key = ["set_a", "set_b", "n_shingles"]
     reps = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")).join(found, "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component_id"))
@@ -350,11 +350,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return some.unionAll(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id stands for its component, with all their columns."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs whose id stands for its component, with all their columns. Rows that share such an id all stay, as
+    do rows without an id."""
+    gone = near_duplicates(docs, size).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4)
