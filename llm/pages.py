@@ -59,7 +59,7 @@ HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?tru
 PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
-DEFAULT = {"word": 1.0, "linked": 0.1, "tag": -0.5}
+DEFAULT = {"word": 1.0, "linked": 0.1, "tag": -0.1}
 BARRIER = "region"
 
 
@@ -80,7 +80,8 @@ def not_content(name: str, attrs: str, inside: bool) -> bool:
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(feature, text, inside a region) of each run of text and each tag outside the elements passed over.
 
-    feature: word or linked for text, the name for a tag, region for the edge of an article or main element."""
+    feature: word or linked for text, the name for a tag, region for the edge of an article or main element, gap for an
+    element passed over inside one."""
     at = links = regions = 0
     skip, depth = "", 0  # the element passed over and how many of its name are open
     size = len(page)
@@ -114,7 +115,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             if not alone:
                 skip, depth = name, 1
             if name not in INLINE:
-                yield name, "", regions > 0
+                yield ("gap" if regions else name), "", regions > 0
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -135,13 +136,13 @@ def tally(page: str) -> Counter:
     labelled = False
     for feature, text, inside in tokens(page):
         labelled |= inside
-        if feature != BARRIER:
+        if feature not in (BARRIER, "gap"):
             found[feature, inside] += n_words(text) if feature in ("word", "linked") else 1
     return found if labelled else Counter()
 
 
 def fit(pages: DataFrame, most: int = FIT_PAGES) -> dict[str, float]:
-    """Weights from at most ``most`` pages: log odds, kept above 0.05 for words and below -0.01 for tags."""
+    """Weights from at most ``most`` pages: log odds, kept in 0.05 to 3 for words and in -1 to -0.01 for tags."""
     key = F.xxhash64("page_id")
     chosen = pages.select("page_id").distinct().orderBy(key, "page_id").limit(most)
 
@@ -166,7 +167,7 @@ def fit(pages: DataFrame, most: int = FIT_PAGES) -> dict[str, float]:
         return weights
     for f in inner.keys() | outer.keys():
         odds = math.log((inner.get(f, 0) + 1) / (outer.get(f, 0) + 1))
-        weights[f] = min(3.0, max(0.05, odds)) if f in ("word", "linked") else max(-5.0, min(-0.01, odds))
+        weights[f] = min(3.0, max(0.05, odds)) if f in ("word", "linked") else max(-1.0, min(-0.01, odds))
     return weights
 
 
@@ -185,7 +186,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     seen = list(tokens(page))
     scores = [
-        -math.inf if f == BARRIER else n_words(t) * weights[f] if f in ("word", "linked") else weights.get(f, weights["tag"])
+        -math.inf if f == BARRIER else 0.0 if f == "gap" else n_words(t) * weights[f] if f in ("word", "linked") else weights.get(f, weights["tag"])
         for f, t, _ in seen]
     start, stop = best_run(scores)
     blocks, now = [], []

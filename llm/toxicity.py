@@ -2,7 +2,7 @@
 
 A linear classifier over words is trained from confirmed toxic texts (P) and texts without any label (U). With the class
 prior q, the risk is q R+(P) + max(0, R-(U) - q R-(P)): the second part estimates the risk on clean texts from U less the
-toxic share in it, and may not go below zero; where it does, the step goes against it. Losses are logistic, so the logistic
+toxic share in it, and may not go below zero; where it would, it counts as zero and has no slope. Losses are logistic, so the logistic
 function of the output estimates the chance that a text is toxic.
 
 Terms are runs of letters and digits, A-Z lowered; only their presence counts, so length does not dilute a text. The
@@ -123,13 +123,15 @@ def choose_terms(rows: DataFrame, n_p: int, n_u: int, bounds: Bounds) -> np.ndar
     return np.sort(found.column("term").to_numpy().view(np.uint64))
 
 
-def train(row: np.ndarray, term: np.ndarray, positive: np.ndarray, n_terms: int, prior: float, rounds: int = 400,
-          rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and intercept by full-batch Adam on the non-negative risk, from (row, term) pairs."""
+def train(row: np.ndarray, term: np.ndarray, positive: np.ndarray, n_terms: int, prior: float, rounds: int = 500,
+          rate: float = 0.1, decay: float = 2e-3) -> tuple[np.ndarray, float]:
+    """Weights and intercept by full-batch Adam on the non-negative risk, from (row, term) pairs.
+
+    Steps shrink to nothing and the last half of the weights is averaged, as steps to and fro at the bound do not settle."""
     n = len(positive)
     w = np.zeros(n_terms + 1)
     w[-1] = np.log(prior / (1 - prior))
-    mean, square = np.zeros_like(w), np.zeros_like(w)
+    mean, square, kept = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
     share = np.where(positive, 1 / max(1, positive.sum()), 1 / max(1, (~positive).sum()))
     for t in range(1, rounds + 1):
         z = w[-1] + np.bincount(row, w[term], minlength=n)
@@ -138,14 +140,16 @@ def train(row: np.ndarray, term: np.ndarray, positive: np.ndarray, n_terms: int,
         negative_part = clean[~positive].sum() - prior * clean[positive].sum()
         if negative_part >= 0:
             slope = share * np.where(positive, prior * (s - 1) - prior * s, s)
-        else:  # go back from the region that the estimate cannot reach
-            slope = share * np.where(positive, prior * s, -s)
+        else:  # the estimate is at its bound: only the confirmed texts count
+            slope = share * np.where(positive, prior * (s - 1), 0.0)
         grad = np.append(np.bincount(term, slope[row], minlength=n_terms), slope.sum())
         grad[:-1] += decay * w[:-1]
         mean += 0.1 * (grad - mean)
         square += 0.001 * (grad * grad - square)
-        w -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+        w -= rate * (1 - t / (rounds + 1)) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+        kept += w * (2 * t > rounds)
+    kept /= max(1, rounds - rounds // 2)
+    return kept[:-1], float(kept[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model | None:
