@@ -57,25 +57,27 @@ SIZE_LIMIT = 4096  # small enough that the prose documents fall on both sides
 
 @query
 def scan_files(spark, sf):
-    """The documents written out as files, then scanned as whole files."""
+    """The documents written out as files, then scanned as whole files: bytes and lines by language, however the files
+    were cut."""
     path = scratch_path(spark, "files")
-    fixture(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(path)
-    return files.scan_files(spark, path).select("doc_id", "suffix", "is_pdf", "length")
+    fixture(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 10_000).text(path)
+    breaks = F.octet_length("content") - F.octet_length(F.replace(F.decode("content", "UTF-8"), F.lit("\n"), F.lit("")))
+    return files.scan_files(spark, path).groupBy(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")).agg(
+        F.sum("length").alias("bytes"), F.sum(breaks.cast("long")).alias("lines"),
+        F.max("suffix").alias("suffix"), F.bool_or("is_pdf").alias("any_pdf"))
 
 
 @query
 def validate_files(spark, sf):
     df = files.validate_files(files.with_file_columns(fixture(spark, sf, "files")), SIZE_LIMIT)
-    return df.select("doc_id", "path", "suffix", "is_pdf", "length", "mime", "verdict", "message")
+    return df.select("digest", "path", "suffix", "is_pdf", "length", "mime", "verdict", "message")
 
 
 @query
 def sink_extracted(spark, sf):
     path = scratch_path(spark, "extracted")
-    files.write_extracted(with_fields(spark, sf).select("doc_id", "document_type", "confidence", "fields"), path)
-    f = F.col("fields")
-    number = F.coalesce(f["aadhaar_number"], f["pan_number"], f["passport_number"], f["roll_number"])
-    return spark.read.parquet(path).select("doc_id", "document_type", number.alias("number"))
+    files.write_extracted(extract_plan(ocr.pages_to_document(fixture(spark, sf, "page_lines"))), path)
+    return extract_columns(spark.read.parquet(path))
 
 
 @query
@@ -90,9 +92,8 @@ def stream_verify(spark, sf):
     """The documents as an arriving stream; rows equal those of the batch plan."""
     into, out, marks = (scratch_path(spark, n) for n in ("arrivals", "streamed", "marks"))
     ocr.pages_to_document(fixture(spark, sf, "page_lines")).write.parquet(into)
-    side = evidence(spark, sf)
-    intake.stream_verify(spark, into, out, marks, lambda batch: verdict_columns(
-        plan.verify_documents(batch, *side, F.lit(AS_OF)))).awaitTermination()
+    intake.stream_verify(spark, into, out, marks, lambda batch, *side: verdict_columns(
+        plan.verify_documents(batch, *side, F.lit(AS_OF))), evidence(spark, sf)).awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -465,8 +466,12 @@ def secondary_lines(spark, sf):
 
 @query
 def scan_boxes(spark, sf):
-    return fixture(spark, sf, "tokens").groupBy("doc_id", "page_no").agg(
-        F.count("*").alias("boxes"), F.min("x0").alias("left"), F.max("x1").alias("right"))
+    """Boxes written as an OCR engine leaves them, read back under their fixed schema."""
+    path = scratch_path(spark, "boxes")
+    fixture(spark, sf, "tokens").select(
+        "doc_id", "page_no", (F.col("line") * 10_000 + F.col("word")).cast("int").alias("ord"),
+        F.lit("second").alias("engine"), "text", "confidence", "x0", "y0", "x1", "y1").write.parquet(path)
+    return files.scan_boxes(spark, path)
 
 
 @query
@@ -525,9 +530,7 @@ def verified(spark, sf, build=plan.verify_documents):
 
 @query
 def penalty_lookup(spark, sf):
-    df = verified(spark, sf)
-    long = df.unpivot(["doc_id", "document_type"], risk.SIGNALS, "signal", "value")
-    return risk.penalty_lookup(long).select("doc_id", "signal", "value", "points")
+    return risk.penalty_lookup(risk.signals_long(verified(spark, sf))).select("doc_id", "signal", "value", "points")
 
 
 @query
@@ -537,8 +540,7 @@ def signal_levels(spark, sf):
 
 @query
 def base_risk(spark, sf):
-    df = verified(spark, sf)
-    return risk.base_risk(risk.signals_long(df), df.select("doc_id", "document_type", "ela_score")).select("doc_id", "base_score")
+    return risk.base_risk(risk.signals_long(verified(spark, sf))).select("doc_id", "base_score")
 
 
 @query
@@ -565,7 +567,7 @@ def cross_document_check(spark, sf):
     f = F.col("fields")
     docs = with_fields(spark, sf).select(
         "doc_id", "document_type", F.coalesce(f["name"], f["surname"], f["student_name"]).alias("name"), f["dob"].alias("dob"))
-    return crosscheck.cross_document_check(docs.join(fixture(spark, sf, "subjects"), "doc_id"))
+    return crosscheck.cross_document_check(checkpoint(docs.join(fixture(spark, sf, "subjects"), "doc_id")))
 
 
 # --- whole plans and outputs ---------------------------------------------------------------
@@ -575,23 +577,46 @@ def extract_documents(spark, sf):
     return extract_columns(extract_plan(ocr.pages_to_document(fixture(spark, sf, "page_lines"))))
 
 
+def field_columns(fields="fields"):
+    """Every field, lists as joined text."""
+    f = F.col(fields)
+    return [F.array_join(f[n.name], "; ").alias(n.name) if n.dataType.typeName() == "array" else f[n.name].alias(n.name)
+            for n in FIELDS.fields]
+
+
 def extract_columns(df):
-    f = F.col("fields")
-    return df.select("doc_id", "document_type", "type_confidence", "confidence", "page_count",
-                     f["name"].alias("name"), f["dob"].alias("dob"), f["address"].alias("address"),
-                     f["institution"].alias("institution"), f["email"].alias("email"))
+    return df.select(
+        "doc_id", "document_type", "type_confidence", "is_ambiguous", "confidence", "page_count", *field_columns(),
+        *[F.try_element_at("all_scores", F.lit(t)).alias(f"score_{t}") for t in DOC_TYPES],
+        *[F.array_join(F.try_element_at("matched_signals", F.lit(t)), " ; ").alias(f"hits_{t}") for t in DOC_TYPES])
 
 
 VERDICT = ["doc_id", "document_type", "type_confidence", "ela", "ela_score", "blur", "blur_score", "metadata",
            "duplicate_regions", "layout_validation", "qr_validation", "ai_artifacts", "base_score",
            "risk_score", "status"]
-
-
-def verdict_columns(df):
+CARD = ["verhoeff_valid", "verhoeff_reason", "risk_level", "checks_passed", "checks_failed", "summary"]
+FONT = ["status", "variance_ratio", "penalty", "suspicious_blocks", "total_text_blocks", "high_frequency_anomaly",
+        "compression_inconsistency"]
+
+
+def verdict_columns(df, *more):
+    """The whole response as flat columns: nested parts by prefix, lists as joined text."""
+    reply, said = F.col("reply"), ("vlm_confidence", "overall_assessment", "layout_authenticity", "font_consistency",
+                                   "visible_tampering", "seal_signature_present", "reasoning", "suggested_risk_adjustment")
+    check = lambda c: F.concat_ws("|", c["field_name"], c["passed"].cast("string"), c["severity"], c["message"])
+    of = lambda name, keys: [F.col(f"{name}.{k}").alias(f"{name}_{k}") for k in keys]
+    filled = lambda k: F.try_element_at("corrections", F.lit(k)).alias(f"filled_{k}")
     return df.select(
-        *VERDICT, "quarantine_reason", F.col("reply.vlm_available").alias("reply_available"),
+        *VERDICT, "quarantine_reason", reply["vlm_available"].alias("reply_available"),
         F.col("card.total_penalty").alias("card_penalty"), F.col("report.critical_failures").alias("critical_failures"),
-        F.col("report.validation_score").alias("validation_score"), F.col("report.summary").alias("validation_summary"))
+        F.col("report.validation_score").alias("validation_score"), F.col("report.summary").alias("validation_summary"),
+        *field_columns(), *of("reply", said),
+        F.array_join(F.transform(reply["fraud_signals"], lambda s: F.concat_ws("/", s["signal"], s["severity"])), ";").alias("reply_signals"),
+        F.array_join(reply["logical_inconsistencies"], "; ").alias("reply_inconsistencies"),
+        F.array_join(F.transform("checks", check), " ; ").alias("checks"),
+        *of("card", CARD), *of("font", FONT), *of("match", ["status", "penalty", "summary"]),
+        *of("card_layout", ["status", "penalty", "detail"]), filled("name"), filled("dob"),
+        F.array_join("stages", ",").alias("stages"), *more)
 
 
 @query
@@ -601,7 +626,7 @@ def verify_documents(spark, sf):
 
 @query
 def analyze_documents(spark, sf):
-    return verified(spark, sf, plan.analyze_documents).select("doc_id", "risk_score", "status", "human_summary")
+    return verdict_columns(verified(spark, sf, plan.analyze_documents), "human_summary")
 
 
 @query
@@ -617,9 +642,12 @@ def audit_stages(spark, sf):
 
 @query
 def verdict_json(spark, sf):
-    df = report.verdict_json(verdict_columns(verified(spark, sf)))
-    get = lambda k: F.get_json_object("json", f"$.{k}").alias(k)
-    return df.select("doc_id", get("document_type"), get("status"), get("risk_score"), get("qr_validation"))
+    """Each response as one JSON text, read back key by key."""
+    flat = verdict_columns(verified(spark, sf))
+    kinds = {f.name: f.dataType.typeName() for f in flat.schema.fields}
+    keys = [k for k in flat.columns if k != "doc_id" and kinds[k] != "double"]
+    return report.verdict_json(flat).select(
+        "doc_id", *[F.get_json_object("json", f"$.{k}").alias(k) for k in keys])
 
 
 def flagship(spark, sf):

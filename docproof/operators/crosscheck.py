@@ -1,6 +1,6 @@
 """Documents of one subject checked against each other."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import date_digits
 from ..functions.text import token_match
@@ -9,22 +9,33 @@ from ..schemas import DOC_TYPES
 NAME_LEVEL = 0.6
 
 
+def name_key(name: Column) -> Column:
+    """The set of a name's words as one text."""
+    words = F.split(F.lower(F.trim(F.regexp_replace(name, r"\s+", " "))), " ")
+    return F.array_join(F.array_sort(F.array_distinct(words)), " ")
+
+
 def cross_document_check(docs: DataFrame, subject: str = "subject_id") -> DataFrame:
-    """docs(doc_id, subject, document_type, name, dob): each document against its subject's anchor.
+    """docs(doc_id, subject, document_type, name, dob): every document that states a name or a date, against its subject.
 
-    The anchor is the subject's first document in type order that states a name or a date.
-    Comparing with one anchor keeps the rows linear in the documents even where one subject
-    owns most of them. A statement missing on either side gives NULL, not a disagreement.
+    Each field has its own anchor: the subject's first document in type order that states it. An agreement is NULL for
+    the anchor itself and where nothing is stated. As agreement of names is not transitive, subject_names and
+    subject_dates also count the different names (as sets of words) and dates of the whole subject. All is linear in the
+    documents, even where one subject owns most of them. ``docs`` is read three times: pass a stored table.
     """
     order = F.array_position(F.array(*[F.lit(t) for t in DOC_TYPES]), F.col("document_type"))
     stated = docs.where((F.col("document_type") != "unknown") & F.coalesce("name", "dob").isNotNull())
-    anchors = stated.groupBy(subject).agg(
-        F.min(F.struct(order.alias("o"), "doc_id", "document_type", "name", "dob")).alias("a"))
-    joined = stated.join(anchors, subject).where(F.col("doc_id") != F.col("a.doc_id"))
-    both = lambda c: F.col(c).isNotNull() & F.col(f"a.{c}").isNotNull()
-    return joined.select(
-        subject, F.col("a.doc_id").alias("anchor_id"), F.col("a.document_type").alias("anchor_type"),
-        "doc_id", "document_type",
-        F.when(both("name"), token_match(F.col("a.name"), F.col("name"), NAME_LEVEL)).alias("name_agrees"),
-        F.when(both("dob"), date_digits(F.col("a.dob")) == date_digits(F.col("dob"))).alias("dob_agrees"),
-    )
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), "doc_id", c)))
+    anchors = stated.groupBy(subject).agg(first("name").alias("_n"), first("dob").alias("_d"))
+    keys = stated.select(subject, F.explode(F.array(
+        F.struct(F.lit("n").alias("of"), name_key(F.col("name")).alias("key")),
+        F.struct(F.lit("d").alias("of"), date_digits(F.col("dob")).alias("key")))).alias("k"))
+    different = keys.where("k.key is not null").distinct().groupBy(subject).agg(
+        F.count_if(F.col("k.of") == "n").alias("subject_names"), F.count_if(F.col("k.of") == "d").alias("subject_dates"))
+    agrees = lambda a, c, test: F.when(
+        F.col(c).isNotNull() & (F.col(f"{a}.doc_id") != F.col("doc_id")), test(F.col(f"{a}.{c}"), F.col(c)))
+    return stated.join(anchors, subject).join(different, subject).select(
+        subject, "doc_id", "document_type", F.col("_n.doc_id").alias("name_anchor"), F.col("_d.doc_id").alias("dob_anchor"),
+        agrees("_n", "name", lambda a, b: token_match(a, b, NAME_LEVEL)).alias("name_agrees"),
+        agrees("_d", "dob", lambda a, b: date_digits(a) == date_digits(b)).alias("dob_agrees"),
+        "subject_names", "subject_dates")

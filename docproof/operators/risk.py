@@ -39,8 +39,8 @@ def clamp(c: Column, low: int = 0, high: int = 100) -> Column:
 
 
 def signals_long(df: DataFrame) -> DataFrame:
-    """Unpivot the seven verdict columns to (doc_id, signal, value)."""
-    return df.unpivot(["doc_id"], SIGNALS, "signal", "value")
+    """Unpivot the seven verdict columns to (doc_id, document_type, ela_score, signal, value)."""
+    return df.unpivot(["doc_id", "document_type", "ela_score"], SIGNALS, "signal", "value")
 
 
 def penalty_lookup(long: DataFrame, points: dict = POINTS) -> DataFrame:
@@ -76,14 +76,13 @@ def signal_points(doc_type: Column) -> Column:
     return total
 
 
-def base_risk(signals: DataFrame, docs: DataFrame) -> DataFrame:
-    """Long signals(doc_id, signal, value) and docs(doc_id, document_type, ela_score) -> base score.
+def base_risk(signals: DataFrame) -> DataFrame:
+    """Long signals(doc_id, document_type, ela_score, signal, value) -> base score.
 
-    The sum combines before the shuffle.
+    One group-by on the document; the sum combines before the shuffle.
     """
-    points = penalty_lookup(signals.join(docs.select("doc_id", "document_type"), "doc_id"))
-    summed = points.groupBy("doc_id").agg(F.sum("points").alias("signal_points"))
-    return docs.join(summed, "doc_id").withColumn(
+    summed = penalty_lookup(signals).groupBy("doc_id", "document_type", "ela_score").agg(F.sum("points").alias("signal_points"))
+    return summed.withColumn(
         "base_score", clamp((F.col("signal_points") + ela_share(F.col("ela_score"))).cast("int")))
 
 

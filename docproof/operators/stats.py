@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.bands import BLOCKINESS_ABOVE, font_verdict as _verdict
+from ..functions.bands import BLOCKINESS_ABOVE, SHARPNESS_ANOMALY, font_verdict as _verdict
 
 # --- fixed values ------------------------------------------------------------------------
 MIN_TEXT_DENSITY = 0.05
@@ -16,6 +16,10 @@ def _cv(value: str) -> Column:
     return F.stddev_pop(value) / (F.avg(value) + 1e-6)
 
 
+def _uneven(value: str) -> Column:
+    return F.when(F.count(value) < MIN_TILES, False).otherwise(_cv(value) > BLOCKINESS_ABOVE)
+
+
 def text_block_filter(blocks: DataFrame, min_density: float = MIN_TEXT_DENSITY) -> DataFrame:
     return blocks.where(F.col("text_density") >= min_density)
 
@@ -45,17 +49,21 @@ def dispersion_profile(df: DataFrame, key: str, value: str,
 
 def blockiness_flag(tiles: DataFrame, key: str = "doc_id", value: str = "blockiness") -> DataFrame:
     return tiles.groupBy(key).agg(
-        F.count(value).alias("tiles"),
-        F.when(F.count(value) < MIN_TILES, False).otherwise(_cv(value) > BLOCKINESS_ABOVE)
-         .alias("compression_inconsistency"))
+        F.count(value).alias("tiles"), _uneven(value).alias("compression_inconsistency"))
 
 
 def noise_uniformity(df: DataFrame, key: str, cell: str, value: str) -> DataFrame:
     """Mean of the spread inside cells over the spread of all values; NULL if there is none."""
-    inside = df.groupBy(key, cell).agg(F.stddev_pop(value).alias("_sd")).groupBy(key).agg(
-        F.avg("_sd").alias("cell_sd"), F.count("*").alias("cells"))
-    overall = df.groupBy(key).agg(F.stddev_pop(value).alias("overall_sd"))
-    return inside.join(overall, key).withColumn(
+    # The spread of all values is that inside the cells and that of the cells' means, weighted by their sizes.
+    n, mean, sd = F.col("_n"), F.col("_mean"), F.col("_sd")
+    inside = df.groupBy(key, cell).agg(
+        F.stddev_pop(value).alias("_sd"), F.avg(value).alias("_mean"), F.count(value).alias("_n"))
+    total = F.sum("_n")
+    centre = F.sum(n * mean) / total
+    spread = F.sum(n * (sd * sd + mean * mean)) / total - centre * centre
+    return inside.groupBy(key).agg(
+        F.avg("_sd").alias("cell_sd"), F.count("*").alias("cells"),
+        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("overall_sd")).withColumn(
         "uniformity", F.when(F.col("overall_sd") >= MIN_SPREAD, F.col("cell_sd") / (F.col("overall_sd") + 1e-9)))
 
 
@@ -71,9 +79,10 @@ def top_blocks(blocks: DataFrame, n: int = 5) -> DataFrame:
 def font_consistency(blocks: DataFrame, tiles: DataFrame) -> DataFrame:
     """font(doc_id, font): the whole block test per document, from text blocks and tiles."""
     profile = dispersion_profile(text_block_filter(blocks), "doc_id", "hf_ratio")
-    edges = tiles.groupBy("doc_id").agg(_cv("sharpness").alias("cv_edge"))
+    edges = tiles.groupBy("doc_id").agg(
+        _cv("sharpness").alias("cv_edge"), _uneven("blockiness").alias("compression_inconsistency"))
     return (
-        profile.join(edges, "doc_id", "left").join(blockiness_flag(tiles), "doc_id", "left")
+        profile.join(edges, "doc_id", "left")
         .withColumn("cv_edge", F.coalesce("cv_edge", F.lit(0.0)))
         .withColumn("compression_inconsistency", F.coalesce("compression_inconsistency", F.lit(False)))
         .withColumn("_f", _verdict(F.col("cv"), F.col("cv_edge"), F.col("compression_inconsistency")))
@@ -82,5 +91,8 @@ def font_consistency(blocks: DataFrame, tiles: DataFrame) -> DataFrame:
             F.when(F.col("enough"), F.col("_f.variance_ratio")).otherwise(0.0).alias("variance_ratio"),
             F.when(F.col("enough"), F.col("_f.penalty")).otherwise(0).alias("penalty"),
             F.col("outliers").alias("suspicious_blocks"),
+            F.when(F.col("enough"), F.col("n")).otherwise(0).cast("bigint").alias("total_text_blocks"),
+            (F.col("enough") & (F.col("cv_edge") > SHARPNESS_ANOMALY)).alias("high_frequency_anomaly"),
+            (F.col("enough") & F.col("compression_inconsistency")).alias("compression_inconsistency"),
         ).alias("font"))
     )

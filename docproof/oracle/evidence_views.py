@@ -396,17 +396,18 @@ SELECT doc_id, count(blockiness) AS tiles, CASE WHEN count(blockiness) < 4 THEN
 FROM tiles GROUP BY doc_id"""
 VIEWS["edge_cv"] = "SELECT doc_id, stddev_pop(sharpness) / (avg(sharpness) + 1e-6) AS cv_edge FROM tiles GROUP BY doc_id"
 VIEWS["fonts"] = """
-SELECT doc_id, outliers, enough,
+SELECT doc_id, outliers, enough, CAST(CASE WHEN enough THEN n ELSE 0 END AS BIGINT) AS total_text_blocks,
+  enough AND coalesce(cv_edge > 0.8, false) AS high_frequency_anomaly, enough AND coalesce(uneven, false) AS compression_inconsistency,
   CASE WHEN NOT enough THEN 'consistent' WHEN ratio + bonus >= 0.45 THEN 'inconsistent' WHEN ratio + bonus >= 0.25 THEN 'suspicious' ELSE 'consistent' END AS status,
   CASE WHEN enough THEN ratio ELSE 0.0 END AS variance_ratio,
   CAST(CASE WHEN NOT enough THEN 0 WHEN ratio + bonus >= 0.45 THEN 20 WHEN ratio + bonus >= 0.25 THEN 10 ELSE 0 END AS INTEGER) AS penalty
-FROM (SELECT p.doc_id, p.outliers, p.enough, round_even(least(1.0, p.cv * 0.6 + coalesce(e.cv_edge, 0) * 0.4), 4) AS ratio,
+FROM (SELECT p.doc_id, p.outliers, p.enough, p.n, e.cv_edge, b.compression_inconsistency AS uneven, round_even(least(1.0, p.cv * 0.6 + coalesce(e.cv_edge, 0) * 0.4), 4) AS ratio,
   (CASE WHEN e.cv_edge > 0.8 THEN 0.15 ELSE 0.0 END)::DOUBLE + (CASE WHEN b.compression_inconsistency THEN 0.10 ELSE 0.0 END)::DOUBLE AS bonus
   FROM profile p LEFT JOIN edge_cv e ON p.doc_id = e.doc_id LEFT JOIN blockiness b ON p.doc_id = b.doc_id) a"""
 VIEWS["distances"] = """
-SELECT a.doc_id, a.kp_id, b.kp_id AS other, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS d,
+SELECT a.doc_id, a.kp_id, b.kp_id AS other, CAST(list_sum(list_transform(range(1, 5), lambda w: bit_count(xor(a.bits[w], b.bits[w])))) AS INTEGER) AS d,
   sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS apart,
-  row_number() OVER (PARTITION BY a.doc_id, a.kp_id ORDER BY bit_count(xor(a.bits, b.bits)), b.kp_id) AS rn
+  row_number() OVER (PARTITION BY a.doc_id, a.kp_id ORDER BY list_sum(list_transform(range(1, 5), lambda w: bit_count(xor(a.bits[w], b.bits[w])))), b.kp_id) AS rn
 FROM descriptors a JOIN descriptors b ON a.doc_id = b.doc_id AND a.kp_id <> b.kp_id"""
 VIEWS["copy_pairs"] = """
 SELECT n.doc_id, n.kp_id, n.other AS nearest_kp, n.d AS d1, m.d AS d2

@@ -113,7 +113,8 @@ SELECT doc_id, status, penalty, issues, 'Layout ' || status || ': ' || n || ' is
 _SQL["text_block_filter"] = "SELECT * FROM text_blocks"
 _SQL["dispersion_profile"] = ("SELECT doc_id, n, round_even(mean, 9) AS mean, round_even(sd, 9) AS sd, "
                               "round_even(cv, 9) AS cv, outliers, enough FROM profile")
-_SQL["font_verdict"] = "SELECT doc_id, status, variance_ratio, penalty, outliers AS suspicious_blocks FROM fonts"
+_FONT = "status, variance_ratio, penalty, outliers AS suspicious_blocks, total_text_blocks, high_frequency_anomaly, compression_inconsistency"
+_SQL["font_verdict"] = f"SELECT doc_id, {_FONT} FROM fonts"
 _SQL["blockiness_flag"] = "SELECT * FROM blockiness"
 _SQL["noise_uniformity"] = """
 SELECT i.doc_id, i.cells, CASE WHEN o.sd >= 1e-3 THEN round_even(i.c / (o.sd + 1e-9), 9) END AS uniformity
@@ -125,8 +126,11 @@ _SQL["copy_move_pairs"] = "SELECT * FROM copy_pairs"
 _SQL["copy_move_verdict"] = ("SELECT doc_id, pairs, CASE WHEN pairs >= 1 THEN 'detected' ELSE 'not_detected' END "
                              "AS duplicate_regions FROM copy_verdicts")
 
-_SQL["scan_boxes"] = ("SELECT doc_id, page_no, count(*) AS boxes, min(x0) AS \"left\", max(x1) AS \"right\" "
-                      "FROM tokens GROUP BY doc_id, page_no")
+_SQL["scan_boxes"] = ("SELECT doc_id, page_no, CAST(line * 10000 + word AS INTEGER) AS ord, 'second' AS engine, text, confidence, "
+                      "x0, y0, x1, y1 FROM tokens")
+_SQL["scan_files"] = """
+SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines,
+  '.txt' AS suffix, false AS any_pdf FROM documents GROUP BY lang"""
 _SQL["pages_to_document"] = "SELECT doc_id, text, round_even(confidence, 9) AS confidence, page_count FROM docs"
 _SQL["assign_lines"] = "SELECT doc_id, page_no, line, word, line_no FROM token_lines"
 _SQL["merge_tokens"] = "SELECT * FROM merged_lines"
@@ -155,45 +159,77 @@ _SQL["card_verification"] = ("SELECT doc_id, verhoeff_valid, verhoeff_reason, to
 _SQL["final_risk"] = "SELECT doc_id, base_score, risk_score FROM verdicts"
 _SQL["status_band"] = "SELECT document_type, status, count(*) AS n FROM verdicts GROUP BY document_type, status"
 _ord = "CASE f.document_type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(DOC_TYPES)) + " END"
+_key = "array_to_string(list_sort(list_distinct(string_split(lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))), ' '))), ' ')"
 _SQL["cross_document_check"] = f"""
-WITH RECURSIVE s AS (SELECT u.subject_id, f.doc_id, f.document_type, coalesce(f.name, f.surname, f.student_name) AS name, f.dob,
-    row_number() OVER (PARTITION BY u.subject_id ORDER BY {_ord}, f.doc_id) AS rn
+WITH RECURSIVE s AS (SELECT u.subject_id, f.doc_id, f.document_type, coalesce(f.name, f.surname, f.student_name) AS name, f.dob, {_ord} AS o
   FROM fields f JOIN subjects u ON f.doc_id = u.doc_id
-  WHERE f.document_type <> 'unknown' AND coalesce(f.name, f.surname, f.student_name, f.dob) IS NOT NULL)
-SELECT s.subject_id, a.doc_id AS anchor_id, a.document_type AS anchor_type, s.doc_id, s.document_type,
-  CASE WHEN a.name IS NOT NULL AND s.name IS NOT NULL THEN {tv.token_match('a.name', 's.name', 0.6)} END AS name_agrees,
-  CASE WHEN a.dob IS NOT NULL AND s.dob IS NOT NULL THEN {ev.digits('a.dob')} = {ev.digits('s.dob')} END AS dob_agrees
-FROM s JOIN s a ON s.subject_id = a.subject_id AND a.rn = 1 AND s.rn > 1"""
+  WHERE f.document_type <> 'unknown' AND coalesce(f.name, f.surname, f.student_name, f.dob) IS NOT NULL),
+n AS (SELECT * FROM s WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY o, doc_id) = 1),
+d AS (SELECT * FROM s WHERE dob IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY o, doc_id) = 1),
+k AS (SELECT subject_id, count(DISTINCT {_key}) AS subject_names, count(DISTINCT {ev.digits('dob')}) AS subject_dates FROM s GROUP BY subject_id)
+SELECT s.subject_id, s.doc_id, s.document_type, n.doc_id AS name_anchor, d.doc_id AS dob_anchor,
+  CASE WHEN s.name IS NOT NULL AND n.doc_id <> s.doc_id THEN {tv.token_match('n.name', 's.name', 0.6)} END AS name_agrees,
+  CASE WHEN s.dob IS NOT NULL AND d.doc_id <> s.doc_id THEN {ev.digits('d.dob')} = {ev.digits('s.dob')} END AS dob_agrees,
+  k.subject_names, k.subject_dates
+FROM s JOIN k ON s.subject_id = k.subject_id LEFT JOIN n ON s.subject_id = n.subject_id LEFT JOIN d ON s.subject_id = d.subject_id"""
 
-_SQL["extract_documents"] = """
-SELECT c.doc_id, c.document_type, c.type_confidence, d.confidence, d.page_count, f.name, f.dob, f.address, f.institution, f.email
-FROM classified c JOIN fields f ON c.doc_id = f.doc_id JOIN docs_rounded d ON c.doc_id = d.doc_id"""
-_SQL["verify_documents"] = "SELECT * FROM verdicts"
-_SQL["analyze_documents"] = ("SELECT v.doc_id, v.risk_score, v.status, s.human_summary FROM verdicts v "
-                             "JOIN summaries s ON v.doc_id = s.doc_id")
-_SQL["human_summary"] = "SELECT doc_id, human_summary FROM summaries"
 _before = ",".join(STAGES[:STAGES.index(CARD_STAGE)])
 _after = ",".join(STAGES[STAGES.index(CARD_STAGE) + 1:])
 _SQL["audit_stages"] = (
     f"SELECT doc_id, CASE WHEN document_type = 'aadhaar' THEN '{_before},{CARD_STAGE},{_after}' ELSE '{_before},{_after}' END AS stages, "
     f"CAST(CASE WHEN document_type = 'aadhaar' THEN {len(STAGES)} ELSE {len(STAGES) - 1} END AS INTEGER) AS stage_count FROM classified")
-_SQL["verdict_json"] = ("SELECT doc_id, document_type, status, CAST(risk_score AS VARCHAR) AS risk_score, qr_validation FROM verdicts")
+_STAGES = (f"CASE WHEN c.document_type = 'aadhaar' THEN '{_before},{CARD_STAGE},{_after}' ELSE '{_before},{_after}' END AS stages")
+_LISTS = "array_to_string(f.skills, '; ') AS skills, CAST(NULL AS VARCHAR) AS education, CAST(NULL AS VARCHAR) AS experience"
+_FIELDS = ", ".join(f"f.{n}" for n in (
+    "name", "dob", "gender", "aadhaar_number", "address", "pincode", "father_name", "pan_number", "surname", "nationality",
+    "passport_number", "expiry_date", "mrz_line1", "mrz_line2", "email", "phone", "student_name", "institution", "year",
+    "roll_number", "percentage", "raw_text")) + ", CAST(NULL AS VARCHAR) AS given_names, CAST(NULL AS VARCHAR) AS degree, " + _LISTS
+_SCORES = ", ".join(f"t.score_{t}, t.hits_{t}" for t in DOC_TYPES)
+_SQL["extract_documents"] = f"""
+SELECT c.doc_id, c.document_type, c.type_confidence, c.is_ambiguous, d.confidence, d.page_count, {_FIELDS}, {_SCORES}
+FROM classified c JOIN fields f ON c.doc_id = f.doc_id JOIN docs_rounded d ON c.doc_id = d.doc_id
+JOIN (SELECT doc_id, """ + ", ".join(
+    f"max(CASE WHEN type_ord = {i} THEN share END) AS score_{t}, max(CASE WHEN type_ord = {i} THEN signals END) AS hits_{t}"
+    for i, t in enumerate(DOC_TYPES)) + " FROM type_scores GROUP BY doc_id) t ON c.doc_id = t.doc_id"
+_card = lambda table, name, columns: ", ".join(f"{table}.{c} AS {name}_{c}" for c in columns)
+_font = ("CASE WHEN c.document_type = 'aadhaar' THEN coalesce(o.{0}, {1}) END AS font_{2}")
+_WHOLE = f"""
+SELECT v.*, {_FIELDS}, {_card('r', 'reply', ('vlm_confidence', 'overall_assessment', 'layout_authenticity', 'font_consistency', 'visible_tampering', 'seal_signature_present', 'reasoning'))},
+  r.delta AS reply_suggested_risk_adjustment, r.signals AS reply_signals, r.inconsistencies AS reply_inconsistencies, k.checks,
+  {_card('a', 'card', ('verhoeff_valid', 'verhoeff_reason', 'risk_level', 'checks_passed', 'checks_failed', 'summary'))},
+  {', '.join(_font.format(*x) for x in (('status', "'consistent'", 'status'), ('variance_ratio', '0.0', 'variance_ratio'), ('penalty', '0', 'penalty'),
+    ('outliers', '0', 'suspicious_blocks'), ('total_text_blocks', '0', 'total_text_blocks'), ('high_frequency_anomaly', 'false', 'high_frequency_anomaly'),
+    ('compression_inconsistency', 'false', 'compression_inconsistency')))},
+  {_card('m', 'match', ('status', 'penalty', 'summary'))}, l.status AS card_layout_status, l.penalty AS card_layout_penalty,
+  'Layout ' || l.status || ': ' || l.n || ' issue(s), penalty=' || l.points || '. ' || CASE WHEN l.issues = '' THEN 'All checks passed.' ELSE l.issues END AS card_layout_detail,
+  CASE WHEN f.name IS NULL AND m.status IN ('verified', 'partial_match') THEN m.q_name END AS filled_name,
+  CASE WHEN f.dob IS NULL AND m.status IN ('verified', 'partial_match') THEN m.q_dob END AS filled_dob, {_STAGES}
+FROM verdicts v JOIN classified c ON v.doc_id = c.doc_id JOIN fields f ON v.doc_id = f.doc_id
+JOIN ({_SQL['attach_model_reply']}) r ON v.doc_id = r.doc_id
+LEFT JOIN (SELECT doc_id, string_agg(field_name || '|' || CAST(passed AS VARCHAR) || '|' || severity || '|' || message, ' ; ' ORDER BY seq) AS checks
+  FROM final_checks GROUP BY doc_id) k ON v.doc_id = k.doc_id
+LEFT JOIN cards a ON v.doc_id = a.doc_id LEFT JOIN fonts o ON v.doc_id = o.doc_id LEFT JOIN card_match m ON v.doc_id = m.doc_id
+LEFT JOIN card_layouts l ON v.doc_id = l.doc_id"""
+_SQL["verify_documents"] = _WHOLE
+_SQL["analyze_documents"] = f"SELECT w.*, s.human_summary FROM ({_WHOLE}) w JOIN summaries s ON w.doc_id = s.doc_id"
+_SQL["human_summary"] = "SELECT doc_id, human_summary FROM summaries"
+_NUMBERS = ("type_confidence", "ela_score", "blur_score", "validation_score", "reply_vlm_confidence", "font_variance_ratio")
+_SQL["verdict_json"] = f"SELECT doc_id, CAST(COLUMNS(* EXCLUDE (doc_id, {', '.join(_NUMBERS)})) AS VARCHAR) FROM ({_WHOLE}) w"
 _SQL["risk_by_type"] = """
 SELECT document_type, count(*) AS documents, round_even(avg(risk_score), 4) AS mean_risk,
   count(*) FILTER (status = 'Likely Genuine') AS genuine, count(*) FILTER (status = 'Suspicious') AS suspicious,
   count(*) FILTER (status = 'Likely Fake / Tampered') AS fake FROM verdicts GROUP BY document_type"""
 
-_SQL["sink_extracted"] = "SELECT doc_id, document_type, coalesce(aadhaar_number, pan_number, passport_number, roll_number) AS number FROM fields"
-_SQL["sink_verdicts"] = _SQL["stream_verify"] = "SELECT * FROM verdicts"
-_SQL["stream_extract"] = _SQL["extract_documents"]
+_SQL["sink_extracted"] = _SQL["stream_extract"] = _SQL["extract_documents"]
+_SQL["sink_verdicts"] = _SQL["stream_verify"] = _WHOLE
 _mime = """CASE doc % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/tiff'
   WHEN 4 THEN 'image/webp' WHEN 5 THEN 'image/gif' ELSE 'text/plain' END"""
 _SQL["validate_files"] = f"""
-SELECT doc_id, path, suffix, suffix = '.pdf' AS is_pdf, length, mime, verdict,
-  CASE verdict WHEN 'FileTooLargeError' THEN 'File ' || chr(39) || substr(path, 4) || chr(39) || ' is ' || printf('%.1f', length / 1048576) || ' MB — limit is 0 MB.'
+SELECT digest, path, suffix, suffix = '.pdf' AS is_pdf, length, mime, verdict,
+  CASE verdict WHEN 'FileTooLargeError' THEN 'File ' || chr(39) || substr(path, 4) || chr(39) || ' is ' || printf('%.1f', length / 1048576) || ' MB — limit is 0.00390625 MB.'
     WHEN 'UnsupportedFileTypeError' THEN 'MIME type ' || chr(39) || mime || chr(39) || ' is not supported. Allowed: application/pdf, image/jpeg, image/png, image/tiff, image/webp' END AS message
 FROM (SELECT *, CASE WHEN length > 4096 THEN 'FileTooLargeError' WHEN mime IN ('image/gif', 'text/plain') THEN 'UnsupportedFileTypeError' ELSE 'accepted' END AS verdict
-  FROM (SELECT sha256(content) AS doc_id, path, length, {_mime} AS mime,
+  FROM (SELECT sha256(content) AS digest, path, length, {_mime} AS mime,
     CASE WHEN regexp_matches(path, '\\.[^./]+$') THEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) ELSE '.bin' END AS suffix
     FROM (SELECT *, CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) AS doc FROM files) a) b) c"""
 

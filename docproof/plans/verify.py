@@ -33,7 +33,9 @@ def fraud_columns(df: DataFrame) -> DataFrame:
 
 def _default_font() -> Column:
     return F.struct(F.lit("consistent").alias("status"), F.lit(0.0).alias("variance_ratio"),
-                    F.lit(0).alias("penalty"), F.lit(0).cast("bigint").alias("suspicious_blocks"))
+                    F.lit(0).alias("penalty"), F.lit(0).cast("bigint").alias("suspicious_blocks"),
+                    F.lit(0).cast("bigint").alias("total_text_blocks"), F.lit(False).alias("high_frequency_anomaly"),
+                    F.lit(False).alias("compression_inconsistency"))
 
 
 def card_evidence(df: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ LEADING_BYTES = [
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files under a path as (doc_id, path, suffix, is_pdf, length, content).
+    """Files under a path as (doc_id, digest, path, suffix, is_pdf, length, content).
 
-    The id is the content's digest, so a second scan of the same file has the same id.
+    Every upload has an id of its own, from its path; uploads of one file share the content's digest.
     """
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
@@ -35,7 +35,7 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def with_file_columns(files: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return files.select(
-        F.sha2("content", 256).alias("doc_id"), "path",
+        F.xxhash64("path").alias("doc_id"), F.sha2("content", 256).alias("digest"), "path",
         F.when(suffix == "", ".bin").otherwise(suffix).alias("suffix"),
         (suffix == ".pdf").alias("is_pdf"), "length", "content")
 
@@ -54,27 +54,29 @@ def sniff_mime(content: Column) -> Column:
 def validate_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Add mime, verdict (accepted / FileTooLargeError / UnsupportedFileTypeError) and message.
 
-    Size is tested first. The declared suffix is not consulted.
+    Size is tested first, on the ``length`` column, so that a filter on the verdict reaches the file source and files
+    too large are not read. The declared suffix is not consulted.
     """
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    size = F.length("content")
-    too_large = size > max_bytes
+    too_large = F.col("length") > max_bytes
+    limit = f"{max_bytes / 1048576:.10f}".rstrip("0").rstrip(".")
     refused = ~F.col("mime").isin(*ALLOWED)
     return (
         files.withColumn("mime", sniff_mime(F.col("content")))
         .withColumn("verdict", F.when(too_large, "FileTooLargeError")
                     .when(refused, "UnsupportedFileTypeError").otherwise("accepted"))
         .withColumn("message", F.when(too_large, F.concat(
-            F.lit("File '"), name, F.lit("' is "), F.format_number(size / 1048576, 1),
-            F.lit(f" MB — limit is {max_bytes // 1048576} MB.")))
+            F.lit("File '"), name, F.lit("' is "), F.format_string("%.1f", F.col("length") / 1048576),
+            F.lit(f" MB — limit is {limit} MB.")))
             .when(refused, F.concat(
                 F.lit("MIME type '"), F.col("mime"), F.lit("' is not supported. Allowed: " + ", ".join(ALLOWED)))))
     )
 
 
 def accepted_and_rejected(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Two DataFrames. The size is a filter of its own, which the file source can apply to the listing."""
     checked = validate_files(files, max_bytes)
-    return checked.where(F.col("verdict") == "accepted"), checked.where(F.col("verdict") != "accepted")
+    return checked.where(F.col("length") <= max_bytes).where(F.col("verdict") == "accepted"), checked.where(F.col("verdict") != "accepted")
 
 
 def scan_boxes(spark: SparkSession, path: str) -> DataFrame:

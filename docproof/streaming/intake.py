@@ -20,14 +20,19 @@ def stream_extract(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_di
 
 
 def stream_verify(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_dir: str,
-                  verify, files_per_batch: int = 1000):
-    """Run ``verify(batch) -> DataFrame`` on every micro-batch and append its rows.
+                  verify, evidence: list[DataFrame], files_per_batch: int = 1000):
+    """Run ``verify(batch, *evidence) -> DataFrame`` on every micro-batch and append its rows.
+
+    Each evidence table is cut down to the batch's documents before anything is aggregated, so a batch costs what its own
+    documents cost and not what has been stored so far.
 
     Each batch writes its own folder and overwrites it, so a batch replayed after a failure
     leaves no double rows.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        verify(batch).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        ids = batch.select("doc_id").distinct()
+        own = [table.join(ids, "doc_id", "left_semi") for table in evidence]
+        verify(batch, *own).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     return (
         read_documents(spark, in_dir, files_per_batch)

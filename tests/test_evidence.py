@@ -132,12 +132,12 @@ def test_points_by_lookup_and_by_column_agree(spark):
             (4, "pan", 30.0, "odd", "normal", None, "not_detected", "unknown", "mismatch", "not_detected")]
     df = spark.createDataFrame(rows, "doc_id int, document_type string, ela_score double, " + ", ".join(f"{k} string" for k in VERDICTS))
     by_column = {r.doc_id: r.base_score for r in risk.base_score(df).collect()}
-    by_join = {r.doc_id: r.base_score for r in risk.base_risk(risk.signals_long(df), df.select("doc_id", "document_type", "ela_score")).collect()}
+    by_join = {r.doc_id: r.base_score for r in risk.base_risk(risk.signals_long(df)).collect()}
     assert by_column == by_join == {1: 100, 2: 100, 3: 0, 4: 8}
 
 
 def test_signal_levels(spark):
-    df = spark.createDataFrame([(1, *VERDICTS.values())], "doc_id int, " + ", ".join(f"{k} string" for k in VERDICTS))
+    df = spark.createDataFrame([(1, "pan", 9.0, *VERDICTS.values())], "doc_id int, document_type string, ela_score double, " + ", ".join(f"{k} string" for k in VERDICTS))
     got = {r.signal: r.level for r in risk.signal_levels(df.withColumn("ela", F.lit("odd"))).collect()}
     assert got["ela"] == "none" and got["metadata"] == "amber" and got["blur"] == "red" and len(got) == 7
 
@@ -175,12 +175,18 @@ def test_audit_stages(spark):
     assert len(card) == 12 and len(other) == 11 and set(card) - set(other) == {"aadhaar_deep_verification"}
 
 
-def test_cross_check_is_linear_in_a_hot_subject(spark):
+def test_cross_check_has_an_anchor_per_field(spark):
     rows = [(i, 1, "pan" if i else "aadhaar", "Asha Rao" if i % 2 == 0 else "Bo Das", "01/01/1990" if i % 3 else None) for i in range(50)]
+    rows += [(60, 3, "aadhaar", "Asha Rao", None), (61, 3, "pan", None, "01/01/1990"), (62, 3, "passport", None, "02/01/1990"), (63, 3, "unknown", "Z", None)]
     df = spark.createDataFrame(rows + [(99, 2, "pan", "X Y", None)], "doc_id int, subject_id int, document_type string, name string, dob string")
-    got = cross_document_check(df).collect()
-    assert len(got) == 49 and {r.anchor_id for r in got} == {0}
-    assert all(r.name_agrees == (r.doc_id % 2 == 0) and r.dob_agrees is None for r in got)
+    got = {r.doc_id: r for r in cross_document_check(df).collect()}
+    assert len(got) == 54 and {got[i].name_anchor for i in range(50)} == {0} and {got[i].dob_anchor for i in range(50)} == {1}
+    assert all(got[i].name_agrees == (i % 2 == 0) for i in range(1, 50)) and got[0].name_agrees is None
+    assert all(got[i].dob_agrees == (True if i % 3 and i != 1 else None) for i in range(50))
+    assert (got[5].subject_names, got[5].subject_dates) == (2, 1)
+    # The first document states no date; two others disagree.
+    assert (got[61].dob_agrees, got[62].dob_agrees, got[62].subject_dates) == (None, False, 2)
+    assert (got[99].name_agrees, got[99].dob_agrees, got[99].dob_anchor, got[99].subject_dates) == (None, None, None, 0)
 
 
 def test_files(spark, tmp_path):

@@ -115,14 +115,19 @@ def test_label_regions_last_box_wins(spark):
     assert got == {(1, "student_name"): "NAME: B", (1, "roll_number"): "Roll name year", (2, "year"): "Year"}
 
 
+def words(bits):
+    """256 bits as four signed words."""
+    return [(w ^ 1 << 63) - (1 << 63) for w in (bits >> 64 * k & (1 << 64) - 1 for k in range(4))]
+
+
 @pytest.mark.parametrize("tile_rows", [512, 7])
 def test_copy_move_equals_brute_force(spark, tile_rows):
     rng, points = random.Random(11), []
     for doc in range(3):
-        bits = [rng.getrandbits(63) for _ in range(40)]
-        bits += [bits[0], bits[1], bits[1], bits[2] ^ 1, bits[3] ^ 7, bits[4] ^ 1, bits[4] ^ 1]
+        bits = [rng.getrandbits(256) for _ in range(40)]
+        bits += [bits[0], bits[1], bits[1], bits[2] ^ 1, bits[3] ^ 7, bits[4] ^ 1, bits[4] ^ 1, bits[5] ^ (1 << 255), bits[6] ^ (7 << 120), bits[6] ^ (3 << 60)]
         points += [(doc, i, rng.randrange(400), rng.randrange(400), b) for i, b in enumerate(bits)]
-    df = spark.createDataFrame(points, "doc_id long, kp_id long, x int, y int, bits long")
+    df = spark.createDataFrame([(*p[:4], words(p[4])) for p in points], "doc_id long, kp_id long, x int, y int, bits array<long>")
     got = sorted(tuple(r) for r in copymove.copy_move_pairs(df, tile_rows=tile_rows).collect())
     want = []
     for d, k, x, y, b in points:
@@ -134,7 +139,8 @@ def test_copy_move_equals_brute_force(spark, tile_rows):
 
 
 def test_copy_move_verdict_counts(spark):
-    df = spark.createDataFrame([(1, 1, 0, 0, 5), (1, 2, 300, 300, 5), (1, 3, 9, 9, 2 ** 62 - 1), (2, 1, 0, 0, 1)], "doc_id long, kp_id long, x int, y int, bits long")
+    df = spark.createDataFrame([(1, 1, 0, 0, words(5)), (1, 2, 300, 300, words(5)), (1, 3, 9, 9, words(2 ** 200 - 1)), (2, 1, 0, 0, words(1))],
+                               "doc_id long, kp_id long, x int, y int, bits array<long>")
     got = {r.doc_id: (r.pairs, r.duplicate_regions) for r in copymove.copy_move_verdict(df, min_pairs=2).collect()}
     assert got == {1: (2, "detected"), 2: (0, "not_detected")}
 
