@@ -20,17 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large stars hang a vertex's larger neighbours on its smallest neighbour, small stars its smaller ones; both keep what is
     connected so, and the edges end as one star per component. Neighbours are never gathered, only their minima."""
-    now, before = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), None
+    now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b")
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select("low", F.explode(F.array("a", "b")).alias("b")).where("low <> b")
         now = stored(small.select(F.col("low").alias("a"), "b").distinct(), "stars")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == before:
+        # Done when every vertex is either a centre or a leaf of one star.
+        place = now.select(F.explode(F.array(
+            F.struct(F.col("a").alias("id"), F.lit(None).alias("centre")), F.struct(F.col("b").alias("id"), F.col("a").alias("centre")))).alias("v"))
+        odd = place.groupBy("v.id").agg(F.count("v.centre").alias("leaf"), F.count_if(F.col("v.centre").isNull()).alias("centre"))
+        if odd.where("leaf > 1 or leaf = 1 and centre > 0").isEmpty():
             break
-        before = tuple(mark)
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).unionAll(
         now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

@@ -6,13 +6,15 @@ class of their smallest doc_id; the join runs over one set per class, each with
 Join. Each of ``TREES`` independent trees starts with all sets in one node. A node picks a coordinate by its own number, and in
 a quarter of the cases a second one, and hands each set down to the child of its minwise value there: at similarity 0.8 a pair
 keeps 1.25 * 0.8 = 1 common child on average. Nodes above ``FIRST_DEPTH`` only branch. Below, a node with at most ``NODE`` sets is
-compared exhaustively by sketches; a larger one compares its sets with one pivot and branches on, to ``LAST_DEPTH`` at most.
+a leaf; a larger one branches on, to ``LAST_DEPTH`` at most. A pair at similarity 0.8 shares a leaf or last node with a chance above
+1 - 1e-4 (one tree of depth 4 fails with 0.42).
 
-Links. Candidates are confirmed on the full sets: first one promising candidate per set, then all that join sets still in
-different components. Sets that were together in a node at ``LAST_DEPTH`` form a family (a large group of near copies). Those of a
-family that are not in its largest component are compared with all of the family, in blocks, on the full sets. So
-no candidate is dropped; what is not compared is connected already. A pair at similarity 0.8 shares a node compared so with
-a chance above 1 - 2e-4 (the failure of a tree of depth 4 is 0.42).
+Links are confirmed on the full sets, in two rounds. First every node compares its sets with one pivot, the one that comes first in
+an order common to all nodes, and each set's most promising pivot is confirmed: large groups of copies become one component at
+the cost of one link per set. Then nodes whose sets are all in one component are done. The other leaves are compared
+exhaustively, across components, by sketches, and what may be similar is confirmed. Sets that were together in a last node
+with several components form a family; those outside the family's largest component are compared with all of it, in
+blocks, on the full sets. So no pair is dropped; what is not compared is connected already.
 
 Defined results: a null or empty text, or one without words, has an empty set and is its own component; with fewer words than a
 shingle the whole sequence is the one shingle. Rows with one doc_id but different texts are judged row by row. A null doc_id gets the
@@ -37,8 +39,8 @@ PERCENT = 80
 COORDINATES = 64
 TREES = 12
 FIRST_DEPTH = 2
-LAST_DEPTH = 5
-NODE = 48
+LAST_DEPTH = 4
+NODE = 64
 #: Sketches that agree on fewer coordinates are not compared further: four standard errors below 0.8.
 LEAST_EQUAL = int(COORDINATES * (PERCENT / 100 - 4 * (0.16 / COORDINATES) ** 0.5))
 BLOCK = 200
@@ -131,20 +133,19 @@ def descend(rows: DataFrame, depth: int | None = None) -> DataFrame:
     return rows.mapInArrow(run, "node long, rep long")
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int32())])
-PAIRS = "a long, b long, equal int"
+_PAIRS = pa.schema([("rep", pa.int64()), ("hub", pa.int64()), ("equal", pa.int32())])
+PAIRS = "rep long, hub long, equal int"
 
 
-def pairs_of(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
-    keep = (equal >= LEAST_EQUAL) & (a != b)
-    a, b = a[keep], b[keep]
-    return table(_PAIRS, np.minimum(a, b), np.maximum(a, b), equal[keep].astype(np.int32))
+def pairs_of(rep: np.ndarray, hub: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
+    keep = (equal >= LEAST_EQUAL) & (rep != hub)
+    return table(_PAIRS, rep[keep], hub[keep], equal[keep].astype(np.int32))
 
 
-def compare_small(rows: DataFrame) -> DataFrame:
-    """Candidates among rows(node, rep, sketch) of nodes with at most NODE sets, read in the order of the nodes."""
+def compare_leaves(rows: DataFrame) -> DataFrame:
+    """Candidates across components among rows(node, rep, sketch, component) of leaves, read in the order of the nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, rep = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        node, rep, component = (np.zeros(0, np.int64) for _ in range(3))
         values = np.zeros((0, COORDINATES), np.uint16)
 
         def pairs(upto: int) -> Iterator[pa.RecordBatch]:
@@ -154,27 +155,29 @@ def compare_small(rows: DataFrame) -> DataFrame:
                 left = left[node[left] == node[left + step]]
                 if not len(left):
                     return
-                for k in range(0, len(left), 1 << 15):
-                    some = left[k:k + (1 << 15)]
-                    yield pairs_of(rep[some], rep[some + step], (values[some] == values[some + step]).sum(axis=1))
+                apart = left[component[left] != component[left + step]]
+                for k in range(0, len(apart), 1 << 15):
+                    some = apart[k:k + (1 << 15)]
+                    low, high = np.minimum(rep[some], rep[some + step]), np.maximum(rep[some], rep[some + step])
+                    yield pairs_of(high, low, (values[some] == values[some + step]).sum(axis=1))
 
         for batch in batches:
             for k in range(0, batch.num_rows, 1 << 15):
                 part = batch.slice(k, 1 << 15)
-                node = np.concatenate([node, part.column("node").to_numpy()])
-                rep = np.concatenate([rep, part.column("rep").to_numpy()])
+                node, rep, component = (np.concatenate([x, part.column(c).to_numpy()]) for x, c in (
+                    (node, "node"), (rep, "rep"), (component, "component")))
                 values = np.concatenate([values, matrix(part.column("sketch"))])
                 done = int(np.searchsorted(node, node[-1], "left"))  # the last node may go on
                 yield from pairs(done)
-                node, rep, values = node[done:], rep[done:], values[done:]
+                node, rep, component, values = node[done:], rep[done:], component[done:], values[done:]
         yield from pairs(len(node))
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIRS)
+    return rows.select("node", "rep", "sketch", "component").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIRS)
 
 
 def compare_pivots(rows: DataFrame) -> DataFrame:
     """Candidates between each set of rows(node, rep, sketch) and its node's pivot, the set with the smallest hash."""
-    pick = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep", "sketch")).alias("p"))
+    pick = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "sketch")).alias("p"))
     both = rows.join(pick.select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("of")), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,25 +188,21 @@ def compare_pivots(rows: DataFrame) -> DataFrame:
     return both.select("rep", "sketch", "pivot", "of").mapInArrow(run, PAIRS)
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b, equal coordinates) of reps(rep, sketch), and (node, rep) of the nodes still large at the end."""
-    found, rows = [], descend(reps, FIRST_DEPTH)
+def grow_trees(reps: DataFrame) -> DataFrame:
+    """(node, leaf, last, rep, sketch) of every node with two sets or more from FIRST_DEPTH on, for reps(rep, sketch): leaves
+    are compared exhaustively, larger nodes branch on unless they are the last on their path."""
+    found, rows = None, descend(reps, FIRST_DEPTH)
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
         rows = stored(rows, "nodes")
         size = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = rows.join(size, "node")
-        sized = stored(sized.join(reps, "rep"), "sized")
-        found.append(compare_small(sized.where(F.col("size") <= NODE).select("node", "rep", "sketch")))
-        large = sized.where(F.col("size") > NODE).select("node", "rep", "sketch")
-        if large.isEmpty():
-            rows = large.select("node", "rep")
-            break
-        found.append(compare_pivots(large))
-        rows = large.select("node", "rep") if depth == LAST_DEPTH else descend(large)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionAll(more)
-    return stored(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs"), rows
+        leaf = F.col("size") <= NODE
+        sized = stored(rows.join(size, "node").join(reps, "rep").select(
+            "node", leaf.alias("leaf"), (~leaf & F.lit(depth == LAST_DEPTH)).alias("last"), "rep", "sketch"), "sized")
+        found = sized if found is None else found.unionAll(sized)
+        large = sized.where("not leaf")
+        if depth == LAST_DEPTH or large.isEmpty():
+            return found
+        rows = descend(large.select("node", "rep", "sketch"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -220,7 +219,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
                     pack_sorted(key[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    return texts.join(ids, "rep").select("rep", "text").mapInArrow(run, "rep long, n long, shingles binary")
+    # Merged at any size, so that small tables move as large ones do.
+    return texts.join(ids.hint("merge"), "rep").select("rep", "text").mapInArrow(run, "rep long, n long, shingles binary")
 
 
 def linked(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
@@ -272,10 +272,8 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return confirm(other.unionAll(held).join(sets, "rep").withColumn("component", F.lit(0).cast("long")), False)
 
 
-def label(df: DataFrame, found: DataFrame | None, key: str, name: str) -> DataFrame:
+def label(df: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
     """df with the component of its key; a key in no link is its own component."""
-    if found is None:
-        return df.withColumn(name, F.col(key))
     return df.join(found.select(F.col("id").alias(key), F.col("component").alias("\0c")), key, "left").withColumn(
         name, F.coalesce("\0c", key)).drop("\0c")
 
@@ -299,53 +297,51 @@ def family_links(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataF
     return confirm(others.unionAll(held).join(sets, "rep"), True)
 
 
-def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Sketched rows of docs, and (rep, component) of every class that is linked with another."""
+def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketched rows of docs, (set_a, set_b, n_shingles, rep) of every class, and (id, component) of every class that is
+    linked with another."""
     rows = stored(sketches(docs, size), "sketches")
-    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("doc_id").alias("doc_id"))
-    reps = stored(rows.join(reps, ["doc_id", "set_a", "set_b", "n_shingles"]).select(
-        F.col("doc_id").alias("rep"), "sketch").distinct(), "reps")
-    pairs, large = candidates(reps)
-    large = stored(large.distinct(), "large")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionAll(large.select("rep")).distinct()
-    sets = stored(sets_of(docs, ids, size).dropDuplicates(["rep", "shingles"]), "sets")
-
-    # One candidate per set first: the partner with the most candidates among those surely similar, else the most similar.
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
-    degree = both.groupBy("a").agg(F.count("*").alias("degree"))
-    both = both.join(degree.select(F.col("a").alias("b"), "degree"), "b")
-    sure = F.col("equal") >= int(COORDINATES * 0.88)
-    rank = F.struct(sure.alias("sure"), F.when(sure, F.col("degree")).otherwise(F.col("equal")).alias("r"), (-F.col("b")).alias("id"))
-    best = both.groupBy("a").agg(F.max_by("b", rank).alias("b")).select(F.col("b").alias("hub"), F.col("a").alias("rep"))
-    links = stored(confirm_pairs(best, sets), "links")
+    key = ["set_a", "set_b", "n_shingles"]
+    reps = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(
+        F.min(F.struct("doc_id", "sketch")).alias("m")).select(*key, F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch")), "reps")
+    nodes = grow_trees(reps.select("rep", "sketch"))
+
+    # A surely similar pivot that comes early in the common order, or else the most similar one.
+    pivots = compare_pivots(nodes.select("node", "rep", "sketch"))
+    sure = F.col("equal") >= int(COORDINATES * 0.9)
+    rank = F.struct(~sure, F.when(sure, F.xxhash64("hub")).otherwise(-F.col("equal")), "hub")
+    best = stored(pivots.groupBy("rep").agg(F.min_by("hub", rank).alias("hub")), "best")
+    links = stored(confirm_pairs(best, sets_of(docs, ends(best), size)), "links")
     found = components(links)
 
-    apart = label(label(pairs, found, "a", "ca"), found, "b", "cb").where("ca <> cb")
-    rest = apart.join(degree.select("a", F.col("degree").alias("da")), "a").join(
-        degree.select(F.col("a").alias("b"), F.col("degree").alias("db")), "b")
-    hub = F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b"))
-    rest = rest.select(hub.alias("hub"), F.when(hub == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("rep"))
-    more = stored(confirm_pairs(rest, sets), "links")
-    if not more.isEmpty():
-        links = links.unionAll(more)
-        found = components(links)
-    if not large.isEmpty():
-        tied = large.join(large.groupBy("node").agg(F.min("rep").alias("low")), "node").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    marked = label(nodes, found, "rep", "component")
+    mixed = marked.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    marked = stored(marked.join(mixed.select("node"), "node"), "mixed")
+    rest = stored(compare_leaves(marked.where("leaf")).select("rep", "hub").distinct(), "pairs")
+    last = marked.where("last").select("node", "rep")
+    sets = stored(sets_of(docs, ends(rest).unionAll(last.select("rep")).distinct(), size), "sets")
+    more = confirm_pairs(rest, sets)
+    if not last.isEmpty():
+        tied = last.join(last.groupBy("node").agg(F.min("rep").alias("low")), "node").select(F.col("low").alias("a"), F.col("rep").alias("b"))
         family = components(tied).select(F.col("id").alias("rep"), F.col("component").alias("family"))
-        more = stored(family_links(family, found, sets), "links")
-        if not more.isEmpty():
-            found = components(links.unionAll(more))
-    return rows, found.select(F.col("id").alias("rep"), "component")
+        more = more.unionAll(family_links(family, found, sets))
+    more = stored(more, "links")
+    if not more.isEmpty():
+        found = components(links.unionAll(more))
+    return rows, reps.select(*key, "rep"), found
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(rep) of both ends of pairs(rep, hub), each once."""
+    return pairs.select(F.explode(F.array("rep", "hub")).alias("rep")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows, found = classes(docs, size)
+    rows, reps, found = classes(docs, size)
     key = ["set_a", "set_b", "n_shingles"]
-    reps = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")).join(found, "rep", "left").select(
-        *key, F.coalesce("component", "rep").alias("component_id"))
-    some = rows.where("n_shingles > 0").join(reps, key).select("doc_id", "n_shingles", "component_id")
+    # Classes that only null ids hold have no representative and no component.
+    some = rows.where("n_shingles > 0").join(label(reps, found, "rep", "component_id"), key, "left").select("doc_id", "n_shingles", "component_id")
     none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.unionAll(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
