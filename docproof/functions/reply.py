@@ -42,8 +42,10 @@ def reply_text(content: Column, reasoning: Column, reasoning_content: Column, pa
                             blank_to_null(reasoning_content)))
 
 
-def neutral_reply(reply: Column, available: Column) -> Column:
-    """Reply struct with every key set; the neutral one where no usable reply exists."""
+def neutral_reply(reply: Column, reason: Column) -> Column:
+    """Reply struct with every key set; the neutral one where there is a reason not to use the reply, which it states."""
+    available = reason.isNull()
+
     def pick(name, default, kind="string"):
         return F.coalesce(F.when(available, reply[name]), F.lit(default) if not isinstance(default, Column) else default).cast(kind)
 
@@ -62,7 +64,8 @@ def neutral_reply(reply: Column, available: Column) -> Column:
         pick("seal_signature_present", False, "boolean").alias("seal_signature_present"),
         pick("visible_tampering", False, "boolean").alias("visible_tampering"),
         pick("overall_assessment", "unknown").alias("overall_assessment"),
-        F.when(available, F.coalesce(reply["reasoning"], F.lit(""))).otherwise("VLM analysis skipped").alias("reasoning"),
+        F.when(available, F.coalesce(reply["reasoning"], F.lit(""))).otherwise(
+            F.concat(F.lit("VLM analysis skipped: "), reason)).alias("reasoning"),
         F.when(available, F.coalesce(reply["suggested_risk_adjustment"], F.lit(0.0))).otherwise(0.0)
          .cast("int").alias("suggested_risk_adjustment"),
         available.alias("vlm_available"),
@@ -86,7 +89,7 @@ def coalesce_model_reply(replies: DataFrame) -> DataFrame:
             F.col("content"), F.col("reasoning"), F.col("reasoning_content"), parts))
         .transform(parse_model_json)
         .withColumn("quarantine_reason", F.coalesce(*reason))
-        .withColumn("reply", neutral_reply(r, F.col("quarantine_reason").isNull()))
+        .withColumn("reply", neutral_reply(r, F.col("quarantine_reason")))
         .drop("content", "reasoning", "reasoning_content", "parts", "reply_text", "reply_json", "reply_error")
     )
 
@@ -97,5 +100,5 @@ def attach_model_reply(docs: DataFrame, replies: DataFrame) -> DataFrame:
     return (
         docs.join(parsed, "doc_id", "left")
         .withColumn("quarantine_reason", F.when(F.col("reply").isNull(), "no reply").otherwise(F.col("quarantine_reason")))
-        .withColumn("reply", F.coalesce(F.col("reply"), neutral_reply(F.lit(None).cast(REPLY_JSON), F.lit(False))))
+        .withColumn("reply", F.coalesce(F.col("reply"), neutral_reply(F.lit(None).cast(REPLY_JSON), F.lit("no reply"))))
     )

@@ -67,7 +67,8 @@ def assign_lines(tokens: DataFrame, y_band: int = Y_BAND) -> DataFrame:
         F.array().cast("array<struct<y0:int,line_no:int>>").alias("out"))
 
     def settle(level: Column, y: Column, times: Column) -> Column:
-        # Halving the distance repeatedly reaches the token's own y well within 64 steps.
+        # Exact without a limit on the tokens: the distance is at most the band, and halved 64 times it is below the
+        # last bit of any level, so that more halvings change nothing.
         return F.when(times <= 0, level).otherwise(F.aggregate(
             F.sequence(F.lit(1), F.greatest(F.least(times, F.lit(64)), F.lit(1)).cast("int")), level,
             lambda at, _: (at + y) / 2))

@@ -298,7 +298,7 @@ SELECT doc_id, reason, reason IS NULL AS available,
   coalesce(CASE WHEN reason IS NULL THEN j->>'$.font_consistency' END, 'unknown') AS font_consistency,
   coalesce(CASE WHEN reason IS NULL THEN (j->>'$.visible_tampering') = 'true' END, false) AS visible_tampering,
   coalesce(CASE WHEN reason IS NULL THEN (j->>'$.seal_signature_present') = 'true' END, false) AS seal_signature_present,
-  CASE WHEN reason IS NULL THEN coalesce(j->>'$.reasoning', '') ELSE 'VLM analysis skipped' END AS reasoning,
+  CASE WHEN reason IS NULL THEN coalesce(j->>'$.reasoning', '') ELSE 'VLM analysis skipped: ' || reason END AS reasoning,
   CAST(coalesce(CASE WHEN reason IS NULL THEN delta END, 0) AS INTEGER) AS delta,
   CASE WHEN reason IS NULL THEN array_to_string(list_transform(CAST(j->'$.fraud_signals' AS JSON[]),
     lambda s: (s->>'$.signal') || '/' || (s->>'$.severity')), ';') ELSE '' END AS signals,
@@ -474,7 +474,7 @@ SELECT v.doc_id, concat_ws(chr(10),
   'Verification Status: ' || v.status,
   'Risk Score: ' || v.risk_score || '/100',
   'OCR Confidence: ' || printf('%.0f', d.confidence * 100) || '%',
-  'VLM Assessment: ' || {title("coalesce(a.overall_assessment, 'unknown')")} || ' — ' || coalesce(a.reasoning, 'VLM analysis skipped'),
+  'VLM Assessment: ' || {title("coalesce(a.overall_assessment, 'unknown')")} || ' — ' || coalesce(a.reasoning, 'VLM analysis skipped: no reply'),
   'Layout Authenticity: ' || {title("replace(coalesce(a.layout_authenticity, 'unknown'), '_', ' ')")},
   'Font Consistency: ' || {title("replace(coalesce(a.font_consistency, 'unknown'), '_', ' ')")},
   'Visible Tampering Detected: ' || CASE WHEN a.visible_tampering THEN 'Yes ⚠️' ELSE 'No ✓' END,

@@ -7,7 +7,7 @@ VIEWS["ordered_tokens"] = """
 SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0, line, word) AS i FROM tokens"""
 # The running level over the distinct y of a page; a y with n tokens halves the distance n times.
 VIEWS["levels"] = """
-SELECT doc_id, page_no, y0, CAST(least(count(*), 64) AS BIGINT) AS n,
+SELECT doc_id, page_no, y0, count(*) AS n,
   row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0) AS i FROM tokens GROUP BY doc_id, page_no, y0"""
 VIEWS["level_walk"] = """
 SELECT doc_id, page_no, i, y0, CAST(y0 AS DOUBLE) AS level, CAST(1 AS INTEGER) AS line_no FROM levels WHERE i = 1

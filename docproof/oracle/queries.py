@@ -81,7 +81,7 @@ SELECT c.doc_id, CASE WHEN r.doc_id IS NULL THEN 'no reply' ELSE reason END AS q
   coalesce(vlm_confidence, 0.0) AS vlm_confidence, coalesce(overall_assessment, 'unknown') AS overall_assessment,
   coalesce(layout_authenticity, 'unknown') AS layout_authenticity, coalesce(font_consistency, 'unknown') AS font_consistency,
   coalesce(visible_tampering, false) AS visible_tampering, coalesce(seal_signature_present, false) AS seal_signature_present,
-  coalesce(reasoning, 'VLM analysis skipped') AS reasoning, coalesce(delta, 0) AS delta, coalesce(signals, '') AS signals,
+  coalesce(reasoning, 'VLM analysis skipped: no reply') AS reasoning, coalesce(delta, 0) AS delta, coalesce(signals, '') AS signals,
   coalesce(inconsistencies, '') AS inconsistencies FROM corpus c LEFT JOIN reply_used r ON c.doc_id = r.doc_id"""
 
 _SQL["qr_payload_type"] = """

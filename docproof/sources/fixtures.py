@@ -276,14 +276,14 @@ DESCRIPTORS = (
     """
 SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS kp_id,
   CAST((vec_id * 37) % 1000 AS INT) AS x, CAST((vec_id * 91) % 700 AS INT) AS y,
-  transform(array(0.0D, 0.125D, -0.125D, 0.25D), t -> aggregate(sequence(0, 63), CAST(0 AS BIGINT),
+  transform(array(0.0D, 0.3125D, -0.3125D, 0.375D), t -> aggregate(sequence(0, 63), CAST(0 AS BIGINT),
             (b, i) -> b | IF(embedding[i] > t, shiftleft(CAST(1 AS BIGINT), i), CAST(0 AS BIGINT)))) AS bits
 FROM {embeddings} e
 """,
     """
 SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS kp_id,
   CAST((vec_id * 37) % 1000 AS INT) AS x, CAST((vec_id * 91) % 700 AS INT) AS y,
-  list_transform([0.0, 0.125, -0.125, 0.25], lambda t: CAST(list_sum(list_transform(range(64), lambda i:
+  list_transform([0.0, 0.3125, -0.3125, 0.375], lambda t: CAST(list_sum(list_transform(range(64), lambda i:
     CASE WHEN embedding[i + 1] <= CAST(t AS DOUBLE) THEN 0 WHEN i = 63 THEN CAST(-9223372036854775808 AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(i AS INT) END)) AS BIGINT)) AS bits
 FROM {embeddings} e
 """,
