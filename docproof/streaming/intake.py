@@ -1,6 +1,6 @@
 """Documents arriving as files, verified in micro-batches by the batch plan itself."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.extract import extract_documents
 from ..schemas import DOCS
@@ -30,9 +30,13 @@ def stream_verify(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_dir
     leaves no double rows.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select("doc_id").distinct()
-        own = [table.join(ids, "doc_id", "left_semi") for table in evidence]
-        verify(batch, *own).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        batch.persist()
+        try:
+            ids = batch.select("doc_id").distinct()
+            own = [table.join(ids, "doc_id", "left_semi") for table in evidence]
+            verify(batch, *own).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         read_documents(spark, in_dir, files_per_batch)

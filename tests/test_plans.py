@@ -108,3 +108,18 @@ def test_scores_stay_in_range(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["document_type", "documents", "mean_risk", "genuine", "suspicious", "fake"]
+
+
+def test_two_batches_equal_one_plan(spark):
+    from docproof.plans.verify import verify_documents
+    from docproof.streaming import intake
+    into, out, marks = (scratch_path(spark, n) for n in ("arrivals", "streamed", "marks"))
+    docs = ocr.pages_to_document(catalog.fixture(spark, SF, "page_lines")).where("doc_id % 5 = 0")
+    for odd in (0, 1):
+        docs.where(F.col("doc_id") % 2 == odd).coalesce(1).write.mode("append").parquet(into)
+    shown = ["doc_id", "risk_score", "status", "duplicate_regions", "font_status", "qr_validation", "reply_reasoning"]
+    verify = lambda df, *side: catalog.verdict_columns(verify_documents(df, *side, F.lit(catalog.AS_OF))).select(*shown)
+    intake.stream_verify(spark, into, out, marks, verify, catalog.evidence(spark, SF), files_per_batch=1).awaitTermination()
+    streamed = spark.read.parquet(out)
+    assert streamed.select("batch_id").distinct().count() == 2
+    assert comparable(shown, streamed.select(*shown).collect()) == comparable(shown, verify(docs, *catalog.evidence(spark, SF)).collect())
