@@ -1,14 +1,18 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 Texts are sequences of lower-cased words. The CGK random walk reads a sequence x from its start: at step t it writes the word
-under it and moves on if a random bit of (t, word) says so. Two sequences at a small edit distance
-then agree at most steps, so edit distance turns into Hamming distance, and samples of a few steps are an LSH: every window of
-a document as long as an item is hashed by ``BANDS`` samples of ``SAMPLE`` steps each from ``WALKS`` independent walks and
-looked up among the items' samples. Candidates are verified by the exact word edit distance, with a free end.
+under it and moves on if a random bit of (t, word) says so. A sample of a few steps is an LSH key: sequences that are equal
+always share it, others the more likely the fewer edits lie between them.
 
-An item of n words is found where a passage is within k = floor(EDITS * n) edits of it. At k edits an item keeps at least
-n - 1 - 3k of its word pairs inside the window, so windows with fewer pairs that occur in any item are passed over; this
-loses nothing. Items are grouped by length in steps of a tenth, and a window has the length of its group.
+An item of n words is found where a passage is within k = floor(EDITS * n) edits of it, wherever the edits are and of
+whatever kind. How far a walk over a whole item stays in step falls with its length, so the walks go over pieces: an item is
+cut into k + 1 pieces of n // (k + 1) words, as many as k edits cannot all touch. The piece that is left whole is equal in
+the passage, so one walk and one sample find it with certainty; more would add nothing. A hit says where the passage must lie,
+up to k words, and that stretch is searched by the exact word edit distance with both ends free.
+
+At k edits a passage, at most n + k words, keeps at least n - 1 - 2k word pairs of its item. Only windows of that many words
+with so many pairs that occur in any item are walked, and only stretches with so many pairs of their item are searched; this
+loses nothing. Items are grouped by length in steps of a tenth for the windows.
 
 Items are sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text, a pass over the documents for each block.
 
@@ -32,11 +36,9 @@ from llm.words import PUNCTUATION, Words, combine, mix, slices
 
 EDITS = 0.2
 LEAST_WORDS = 8
-WALKS = 8
-BANDS = 5  # per walk
-SAMPLE = 3
+SAMPLE = 4
 BLOCK_BYTES = 16 << 20
-#: Steps per word from which samples are drawn. A walk makes two steps a word, so it is still inside the window there.
+#: Steps per word from which samples are drawn. A walk makes two steps a word, so it is still inside the piece there.
 REACH = 1.7
 END = np.uint64(0)  # what a walk writes past the end
 
@@ -67,20 +69,20 @@ def embed(symbols: np.ndarray, walk: int, steps: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_keys(symbols: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """One key per row and band, for walks over windows of this length."""
-    keys = []
-    for walk in range(WALKS):
-        draw = np.random.default_rng([seed, walk, length])
-        bands = [np.sort(draw.choice(int(REACH * length), SAMPLE, replace=False)) for _ in range(BANDS)]
-        steps = np.unique(np.concatenate(bands))
-        written = embed(symbols, walk, steps)
-        for b, band in enumerate(bands):
-            key = np.full(len(symbols), mix(np.array([walk * BANDS + b], np.uint64), length)[0])
-            for c in written[np.searchsorted(steps, band)]:
-                key = key * np.uint64(0x9E3779B97F4A7C15) + c
-            keys.append(mix(key, 5))
-    return np.stack(keys, axis=1)
+def sample_keys(symbols: np.ndarray, seed: int) -> np.ndarray:
+    """One key per row, for a walk over pieces as wide as the rows."""
+    width = symbols.shape[1]
+    every = max(1, int(REACH * width))
+    steps = np.sort(np.random.default_rng([seed, width]).choice(every, min(SAMPLE, every), replace=False))
+    key = np.full(len(symbols), width, np.uint64)
+    for c in embed(symbols, 0, steps):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + c
+    return mix(key, 5)
+
+
+def pieces(n: int, most: int) -> tuple[list[int], int]:
+    """Where the most + 1 pieces of an item of n words start, and their length; they do not overlap."""
+    return [j * n // (most + 1) for j in range(most + 1)], n // (most + 1)
 
 
 def edit_distance(item: list, text: list, most: int) -> tuple[int, int] | None:
@@ -107,13 +109,44 @@ def edit_distance(item: list, text: list, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+def nearest(item: list, text: list, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the passage of text with the fewest edits from item, then the earliest, then the shortest.
+
+    Both are read backwards with a free begin, so the last row holds the distance to the best passage from each start."""
+    n = len(item)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    where: dict = {}
+    for i, w in enumerate(reversed(item)):
+        where[w] = where.get(w, 0) | 1 << i
+    up, down, now, best = full, 0, n, (n + 1, 0)
+    for start in range(len(text) - 1, -1, -1):
+        same = where.get(text[start], 0)
+        zero = (((same & up) + up) ^ up) | same | down
+        right_up = down | (full & ~(zero | up))
+        right_down = up & zero
+        now += bool(right_up & top) - bool(right_down & top)
+        right_up = right_up << 1 & full
+        up = (right_down << 1 & full) | (full & ~(zero | right_up))
+        down = right_up & zero
+        if now <= best[0]:
+            best = (now, start)
+    edits, start = best
+    if edits > most:
+        return None
+    return edits, start, start + edit_distance(item, text[start:start + n + most], edits)[1]
+
+
 @dataclass
 class Index:
-    """Items by group of length, with their samples; pairs holds every pair of words that an item has, in order."""
+    """Items with the keys of their pieces; pairs holds every pair of words that an item has, in order, own those of each item."""
     ids: list[int]
     words: list[list[int]]
     pairs: np.ndarray
-    groups: list[tuple[int, int, np.ndarray, np.ndarray]]  # length, pairs needed, keys in order, item of each key
+    own: list[np.ndarray]
+    edits: float
+    windows: list[tuple[int, int, int]]  # length of pieces, most words of a passage, pairs needed
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length of pieces: keys in order, item and start in it of each
+    seed: int
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str], edits: float = EDITS, seed: int = 7) -> Index:
@@ -122,29 +155,34 @@ class Index:
         cut = found.first
         use = [k for k in range(len(ids)) if cut[k + 1] - cut[k] >= LEAST_WORDS]
         words = [hashes[cut[k]:cut[k + 1]] for k in use]
-        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(combine(w, 2) for w in words)]))
-        groups, sizes = [], sorted({len(w) for w in words})
-        while sizes:
-            length = sizes[0]
-            members = [k for k, w in enumerate(words) if length <= len(w) <= 1.1 * length]
-            sizes = [s for s in sizes if s > 1.1 * length]
-            width = max(len(words[k]) for k in members)
-            symbols = np.full((len(members), width), END)
-            for row, k in enumerate(members):
-                symbols[row, :len(words[k])] = words[k]
-            # A window holds as many words as the group's length; the longest items keep the fewest pairs inside it.
-            need = min(length - 1 - 3 * int(edits * len(words[k])) for k in members)
-            keys = sample_keys(symbols, length, seed).ravel()
+        own = [np.unique(combine(w, 2)) for w in words]
+        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
+        by_piece: dict[int, list[tuple[int, int]]] = {}
+        bounds: dict[tuple[int, int], list[int]] = {}
+        group = 0
+        for k in sorted(range(len(words)), key=lambda k: len(words[k])):
+            n = len(words[k])
+            most = int(edits * n)
+            starts, size = pieces(n, most)
+            by_piece.setdefault(size, []).extend((k, s) for s in starts)
+            group = n if n > 1.1 * group else group
+            bound = bounds.setdefault((size, group), [0, n])
+            bound[0], bound[1] = max(bound[0], n + most), min(bound[1], n - 1 - 2 * most)
+        tables = {}
+        for size, some in by_piece.items():
+            item, start = np.array(some, np.int64).T
+            keys = sample_keys(np.stack([words[k][s:s + size] for k, s in some]), seed)
             order = np.argsort(keys, kind="stable")
-            groups.append((length, max(0, need), keys[order], np.repeat(members, WALKS * BANDS)[order]))
-        return cls([ids[k] for k in use], [w.tolist() for w in words], pairs, groups)
+            tables[size] = keys[order], item[order], start[order]
+        return cls([ids[k] for k in use], [w.tolist() for w in words], pairs, own, edits,
+                   [(size, *b) for (size, _), b in bounds.items()], tables, seed)
 
-    def candidates(self, found: Words, hashes: np.ndarray, seed: int = 7) -> Iterator[tuple[int, int]]:
-        """(first word, item) of the windows that share a sample with an item, each once."""
-        if not len(hashes) or not self.groups:
+    def candidates(self, found: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, last word + 1) of stretches in which a passage of the item that shares a piece must lie."""
+        if not len(hashes) or not self.tables:
             return
-        row_end = found.first[1:][found.row]
-        pair = np.zeros(len(hashes) + 1, np.int64)  # pair k joins the words k and k + 1
+        row_begin, row_end = found.first[:-1][found.row], found.first[1:][found.row]
+        pair = np.zeros(len(hashes) + 1, np.int64)  # pair k joins the words k - 1 and k
         if len(hashes) > 1:
             keys = combine(hashes, 2)
             maybe = np.zeros(1 << 20, bool)
@@ -152,42 +190,58 @@ class Index:
             hit = np.flatnonzero(maybe[keys >> np.uint64(44)] & (found.row[1:] == found.row[:-1]))
             place = np.minimum(np.searchsorted(self.pairs, keys[hit]), len(self.pairs) - 1)
             pair[hit + 1] = self.pairs[place] == keys[hit]
-        known = np.cumsum(pair)  # known[k]: pairs before word k
+        known = np.cumsum(pair)  # known[k]: pairs that end at word k or before
         every = np.arange(len(hashes))
-        for length, need, keys, items in self.groups:
-            stop = np.minimum(every + length, row_end)
-            starts = np.flatnonzero(known[stop - 1] - known[every] >= need)
-            for k in range(0, len(starts), 20000):
-                some = starts[k:k + 20000]
-                at = some[:, None] + np.arange(length)
-                inside = at < row_end[some][:, None]
-                symbols = np.where(inside, hashes[np.minimum(at, len(hashes) - 1)], END)
-                asked = sample_keys(symbols, length, seed).ravel()
+        lengths = np.array([len(w) for w in self.words])
+        walked = {size: np.zeros(len(hashes) + 1, np.int64) for size in self.tables}
+        for size, width, need in self.windows:
+            stop = np.minimum(every + width, row_end)
+            some = np.flatnonzero(known[stop - 1] - known[every] >= need)
+            if len(some):
+                walked[size][some] += 1
+                walked[size] -= np.bincount(stop[some], minlength=len(hashes) + 1)
+        for size, (keys, items, starts) in self.tables.items():
+            at = np.flatnonzero((np.cumsum(walked[size])[:-1] > 0) & (every + size <= row_end))
+            for k in range(0, len(at), 100000):
+                some = at[k:k + 100000]
+                asked = sample_keys(hashes[some[:, None] + np.arange(size)], self.seed)
                 low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
                 n = high - low
                 where = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                both = np.unique(np.stack([np.repeat(np.repeat(some, WALKS * BANDS), n), items[where]], axis=1), axis=0)
-                yield from map(tuple, both.tolist())
-
-    def search(self, column, edits: float = EDITS) -> list[dict[int, tuple[int, int, int]]]:
+                place, item = np.repeat(some, n), items[where]
+                length = lengths[item]
+                most = (self.edits * length).astype(np.int64)
+                begin = np.maximum(place - starts[where] - most, row_begin[place])
+                end = np.minimum(place - starts[where] + length + most, row_end[place])
+                yield from zip(item.tolist(), begin.tolist(), end.tolist(), strict=True)
+
+    def search(self, column) -> list[dict[int, tuple[int, int, int]]]:
         """Per row: item number to (edits, first word in the row, last word + 1) of its best passage."""
         found = words_of(column)
         hashes = found.hashes()
+        keys = combine(hashes, 2) if len(hashes) > 1 else np.zeros(0, np.uint64)
         out: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(found.rows)]
-        starts: dict[tuple[int, int], list[int]] = {}
-        for start, item in self.candidates(found, hashes):
-            starts.setdefault((int(found.row[start]), item), []).append(start)
-        for (row, item), some in starts.items():
-            begun, ended = int(found.first[row]), int(found.first[row + 1])
-            words = self.words[item]
-            n, most = len(words), int(edits * len(words))
-            some = [(s, hashes[s:min(ended, s + n + most)].tolist()) for s in sorted(some)]
-            # No passage has fewer edits than an equal one.
-            equal = next((s for s, text in some if text[:n] == words), None)
-            if equal is not None:
-                out[row][item] = (0, equal - begun, equal - begun + n)
-                continue
-            got = [(d[0], s - begun, s - begun + d[1]) for s, text in some if (d := edit_distance(words, text, most))]
+        stretches: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for item, begin, end in self.candidates(found, hashes):
+            stretches.setdefault((int(found.row[begin]), item), []).append((begin, end))
+        for (row, item), some in stretches.items():
+            begun, words, own = int(found.first[row]), self.words[item], self.own[item]
+            most = int(self.edits * len(words))
+            need = len(words) - 1 - 2 * most
+            joined: list[list[int]] = []
+            for begin, end in sorted(set(some)):
+                if joined and begin <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], end)
+                else:
+                    joined.append([begin, end])
+            got = []
+            for begin, end in joined:
+                if need > 0:
+                    asked = keys[begin:end - 1]
+                    if (own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] == asked).sum() < need:
+                        continue
+                if (d := nearest(words, hashes[begin:end].tolist(), most)) is not None:
+                    got.append((d[0], d[1] + begin - begun, d[2] + begin - begun))
             if got:
                 out[row][item] = min(got)
         return out

@@ -356,3 +356,41 @@ def test_recall_at_the_most_edits():
     texts = [f"{prose(i, 40)} {edited(t, int(0.2 * len(t.split())), rng)} {prose(i + 1, 40)}" for i, t in enumerate(items)]
     found = index.search(pa.array(texts))
     assert sum(i in r for i, r in enumerate(found)) >= 143
+
+
+def edits_of(kind, words, k, rng):
+    """words with k edits of one kind: scattered deletions or swaps, swaps at even distances, one dropped run, or of all sorts."""
+    n = len(words)
+    if kind == "run":
+        return words[:n // 10] + words[n // 10 + k:]
+    if kind == "mixed":
+        return edited(" ".join(words), k, rng).split()
+    at = {(2 * j + 1) * n // (2 * k) for j in range(k)} if kind == "even" else set(rng.sample(range(n), k))
+    return [f"new{i}" if i in at else w for i, w in enumerate(words) if kind != "deleted" or i not in at]
+
+
+@pytest.mark.parametrize("n", [8, 15, 38, 59, 100, 200])
+@pytest.mark.parametrize("kind", ["deleted", "swapped", "even", "run", "mixed"])
+def test_every_passage_within_the_edits_is_found(n, kind):
+    rng = random.Random(n)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for _ in range(30)]
+    index = decontaminate.Index.of(list(range(30)), [" ".join(x) for x in items])
+    most = int(0.2 * n)
+    found = index.search(pa.array([f"{prose(i, 40)} {' '.join(edits_of(kind, x, most, rng))} {prose(i + 1, 40)}" for i, x in enumerate(items)]))
+    assert [list(r) for r in found] == [[i] for i in range(30)]
+    assert all(r[i][0] <= most for i, r in enumerate(found))
+
+
+def test_search_equals_all_passages():
+    """Few different words, so that many passages lie near the limit on both sides."""
+    rng = random.Random(12)
+    for _ in range(60):
+        items = [[rng.choice("abcdefghij") for _ in range(rng.randint(8, 24))] for _ in range(4)]
+        texts = [" ".join(rng.choices("abcdefghij", k=20) + edits_of("mixed", x, rng.randint(1, 6), rng) + rng.choices("abcdefghij", k=20)) for x in items]
+        found = decontaminate.Index.of(list(range(4)), [" ".join(x) for x in items]).search(pa.array(texts))
+        for text, got in zip(texts, found, strict=True):
+            text = text.split()
+            for i, x in enumerate(items):
+                most = int(0.2 * len(x))
+                every = [(d[0], s, s + d[1]) for s in range(len(text)) if (d := decontaminate.edit_distance(x, text[s:], most))]
+                assert got.get(i) == min(every, default=None)
