@@ -5,7 +5,8 @@ Every version of a text is addressed by the SHA-256 of its bytes. A rule set has
 under the current rules, and joins all findings back to every path that ever held the blob.
 
 Rules run in a fixed order: assign, access and hex are the base; pem and token_prefix are the method's own. Every match
-is leftmost and non-overlapping within its kind; a match that fails its length test is dropped but stays consumed.
+is leftmost and non-overlapping within its kind; a match that fails its length test is dropped but stays consumed. A pem span
+holds the key as well as its header line; a header alone is a span, too.
 
 Defined results: a null text is the empty blob, with no spans. Repeated rows and equal texts share one scan and each get
 their row. Ties of start are ordered by kind as listed. An empty table, or one that the ledger covers, scans nothing.
@@ -30,11 +31,17 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 # AKIA[A-Z0-9]+ and [0-9a-f]+ take whole runs, so a least length in the pattern drops the same matches as a test after it.
 LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4))
 LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
-PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,})(?![A-Za-z0-9])")
+# From BEGIN through the next END, if no other BEGIN comes first; else through the base64 lines that follow, where the last may be
+# short. Line ends may be escaped, as in JSON, and lines quoted.
+PEM = re.compile(r"""-----BEGIN\ (?:[A-Z]+\ )?PRIVATE\ KEY-----
+    (?: (?:(?!-----BEGIN\ )[\s\S])*? -----END\ (?:[A-Z]+\ )?PRIVATE\ KEY-----
+      | (?: (?:[\s>]|\\[nr])* (?:(?:Proc-Type|DEK-Info):[^\n\\]* | [A-Za-z0-9+/=]{16,}+) )+
+        (?: [\ \t>]* (?:\r?\n|(?:\\r)?\\n) [\ \t>]* [A-Za-z0-9+/=]+ (?=["'\\,;<)-]|\s*?(?:\n|\Z)) )?
+    )?""", re.X)
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,})(?![A-Za-z0-9])")
 KINDS = ("assign", "access", "hex", "pem", "token_prefix")
 BASE = KINDS[:3]
-RULES_VERSION = "2024-1"
+RULES_VERSION = "2024-2"
 
 _OUT = pa.schema([
     ("blob", pa.string()), ("kind", pa.list_(pa.string())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64()))])
