@@ -57,6 +57,60 @@ def test_quality_stage_keeps_all_columns_and_takes_an_empty_table(spark):
     assert quality.assess(docs.where("false")).count() == 0
 
 
+CLEAN = {
+    "en": "The harbour was quiet when the last boat came in, and nobody on the long stone wall asked where it had been. An old man "
+          "folded his newspaper, looked once at the grey water and walked home past the bakery, whose windows were already dark. "
+          "Later that evening his daughter found a letter under the door; it was short, written in a careful hand, and it changed "
+          "the plans that both of them had made for the coming winter.",
+    "es": "El puerto estaba tranquilo cuando llegó la última barca, y nadie en el largo muro de piedra preguntó de dónde venía. Un "
+          "anciano dobló su periódico, miró una vez el agua gris y volvió a casa por delante de la panadería, cuyas ventanas ya "
+          "estaban oscuras. Más tarde su hija encontró una carta debajo de la puerta; era breve, escrita con letra cuidadosa, y "
+          "cambió los planes que ambos habían hecho para el invierno siguiente.",
+    "fr": "Le port était calme lorsque le dernier bateau arriva, et personne sur le long mur de pierre ne demanda d'où il venait. Un "
+          "vieil homme plia son journal, regarda une fois l'eau grise et rentra chez lui en passant devant la boulangerie, dont les "
+          "fenêtres étaient déjà sombres. Plus tard, sa fille trouva une lettre sous la porte ; elle était courte, d'une écriture "
+          "soignée, et elle changea les projets que tous deux avaient faits pour l'hiver.",
+    "de": "Der Hafen lag still, als das letzte Boot einlief, und niemand auf der langen Mauer fragte, woher es gekommen war. Ein alter "
+          "Mann faltete seine Zeitung, blickte einmal auf das graue Wasser und ging an der Bäckerei vorbei nach Hause, deren Fenster "
+          "schon dunkel waren. Später am Abend fand seine Tochter einen Brief unter der Tür; er war kurz, sorgfältig geschrieben, "
+          "und er änderte die Pläne, die beide für den kommenden Winter gemacht hatten.",
+}
+
+
+def kept(text):
+    return bool(quality.measure(pa.array([text], pa.string()), quality.Bands())["kept"][0])
+
+
+def base64_of(size, rng):
+    import base64
+    return base64.encodebytes(rng.randbytes(size))[:size].decode()
+
+
+@pytest.mark.parametrize("size", [1000, 1200, 2048, 3000, 4100, 8000, 15000, 30000])
+def test_base64_goes_and_prose_stays(size):
+    rng = random.Random(size)
+    for _ in range(5):
+        assert not kept(base64_of(size, rng))
+    long = prose(size, size // 3)[:size]
+    assert kept(long)
+    # From two chunks on, random text fills one chunk at least, wherever it starts.
+    assert size < 4096 or not kept(long + "\n" + base64_of(size, rng))
+
+
+def test_clean_prose_of_each_language_stays():
+    for text in CLEAN.values():
+        assert kept(text) and kept(text[:250]) and kept(text[:320])
+    assert kept("\n".join(CLEAN.values()))
+
+
+def test_random_tail_and_fifth_of_a_text_are_seen():
+    rng = random.Random(5)
+    good = prose(31, 4000)[:2048 * 4]
+    assert kept(good) and kept(good + prose(32, 200))
+    assert not kept(good + base64_of(1500, rng))
+    assert not kept(good[:4096] + base64_of(2048, rng) + good[4096:])
+
+
 # --- secrets -----------------------------------------------------------------------------------------------------
 
 def plain_spans(text):
