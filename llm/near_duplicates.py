@@ -3,11 +3,12 @@
 A document's set holds its distinct shingles of ``SHINGLE`` lower-cased words (as 64-bit hashes). Equal sets collapse to the
 class of their smallest doc_id; the join runs over one set per class, each with a sketch of ``COORDINATES`` minwise values.
 
-Join. Each of ``TREES`` independent trees starts with all sets in one node. A node picks a coordinate by its own number, and in
+Join. Each of ``TREES`` trees starts with all sets in one node. A node picks a coordinate by its own number, and in
 a quarter of the cases a second one, and hands each set down to the child of its minwise value there: at similarity 0.8 a pair
 keeps 1.25 * 0.8 = 1 common child on average. Nodes above ``FIRST_DEPTH`` only branch. Below, a node with at most ``NODE`` sets is
-a leaf; a larger one branches on, to ``LAST_DEPTH`` at most. A pair at similarity 0.8 shares a leaf or last node with a chance above
-1 - 1e-4 (one tree of depth 4 fails with 0.42).
+a leaf; a larger one branches on, to ``LAST_DEPTH`` at most. All trees draw from the same coordinates, so they are not independent:
+averaged over the sketch (binomial), a pair at similarity 0.8 is missed with a chance of 4.2e-4 where its nodes branch to depth 4,
+1.0e-4 to depth 3 and 0.5e-4 at depth 2, the cut at ``LEAST_EQUAL`` included (4.3e-5). Most are linked through other copies.
 
 Links are confirmed on the full sets, in two rounds. First every node compares its sets with one pivot, the one that comes first in
 an order common to all nodes, and each set's most promising pivot is confirmed: large groups of copies become one component at
