@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from llm.collocations import op13_misra_gries
 from llm.decontaminate import op7_cgk_lsh
+from llm.hard_negatives import op11_strassen
+from llm.language_id import op12_byte_cnn
 from llm.language_model import op3_stupid_backoff
 from llm.near_duplicates import op2_chosen_path
 from llm.packing import op5_cost_balanced
@@ -15,7 +18,7 @@ from llm.toxicity import op1_nnpu
 
 QUERIES = {f.__name__: f for f in (
     op1_nnpu, op2_chosen_path, op3_stupid_backoff, op4_compression_bands, op5_cost_balanced, op6_blob_ledger, op7_cgk_lsh,
-    op8_longest_match, op9_max_subsequence, op10_count_min)}
+    op8_longest_match, op9_max_subsequence, op10_count_min, op11_strassen, op12_byte_cnn, op13_misra_gries)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -54,5 +57,42 @@ kept AS (SELECT o.doc_id, count(*) AS n, string_agg(o.word, ' ' ORDER BY o.i) AS
          FROM one o ANTI JOIN gone g ON g.doc_id = o.doc_id AND g.i = o.i GROUP BY o.doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM words d LEFT JOIN kept k USING (doc_id)
+""",
+    "op11_strassen": """
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 10
+""",
+    "op13_misra_gries": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+      FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+size AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+one AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM one, unnest(range(1, 6)) AS t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, g.k, x.f AS l, y.f AS r, CAST(size.n AS HUGEINT) AS n
+  FROM c JOIN unnest(range(1, 5)) AS g(k) ON g.k < c.m
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : g.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[g.k + 1 : c.m], ' ') JOIN size ON size.lang = c.lang),
+best AS (SELECT *, (1000::HUGEINT * a * n) // (l::HUGEINT * r) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000::HUGEINT * a * n) // (l::HUGEINT * r), k) = 1),
+inside AS (SELECT c.lang, array_to_string(c.w[s.i : s.i + s.m - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM c JOIN (SELECT i, m FROM unnest(range(1, 5)) AS u(i), unnest(range(2, 5)) AS v(m)) s ON s.m < c.m AND s.i + s.m - 1 <= c.m GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR i.longer < b.a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) <= 2000
 """,
 }
