@@ -5,8 +5,9 @@ First pass: documents are dealt into buckets, and each bucket sends every hash p
 one Misra-Gries summary of more counters than mass / ``LEAST``: when it overflows, the count of the first counter that has no room
 is taken off all. At most mass / (counters + 1) < LEAST is taken off any n-gram in all, so each that occurs LEAST times
 survives. A survivor whose count cannot have reached LEAST goes. Summaries merge in any order and hold a bounded number of
-counters, whatever the number of distinct n-grams. Second pass: each bucket learns which of its n-grams survive, writes those out
-as phrases with their counts, and Spark adds these up exactly by the phrase itself, so hashes never decide a count.
+counters, whatever the number of distinct n-grams. Second pass: each bucket learns which of its n-grams survive and writes those out
+as phrases with their counts, one row of lists for each hash partition; there they are added up exactly by the phrase itself, so hashes
+never decide a count.
 
 Words are cut out as the contract of ``phrases`` says; counts are per language. Exact arithmetic of scores is done in decimals of 38 digits.
 
@@ -18,9 +19,11 @@ read (doc_id, where there is one, helps to deal the rows).
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +43,7 @@ BETWEEN[[0x20, 0x09]] = True
 
 ASK = "segment int, bucket int, kind int, mass long, grams binary, times binary"
 TELL = "bucket int, segment int, kept binary"
-FOUND = "lang string, words int, phrase string, n long"
+FOUND = "part int, lang array<string>, words array<int>, phrase array<string>, n array<long>"
 
 
 class Pieces:
@@ -208,17 +211,37 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 for lang, a, b, c in zip(pieces.row[at].tolist(), pieces.start[at].tolist(), pieces.end[at + n - 1].tolist(), counts.tolist(), strict=True):
                     key = (langs[lang], n, pieces.text[a:b])
                     out[key] = out.get(key, 0) + c
-        return pa.table({
-            "lang": pa.array([k[0] for k in out], pa.string()), "words": pa.array([k[1] for k in out], pa.int32()),
-            "phrase": pa.array([k[2] for k in out], pa.binary()).cast(pa.string()), "n": pa.array(list(out.values()), pa.int64())})
+        return by_part(out, n_segments)
 
     asked = rows.groupBy("bucket").applyInArrow(ask, ASK)
     told = asked.groupBy("segment").applyInArrow(tell, TELL)
-    return rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(write_out, FOUND).groupBy(
-        "lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+    found = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(write_out, FOUND)
 
+    def total(group: pa.Table) -> pa.Table:
+        return add_up(group, least)
 
-EMPTY = pa.table({"lang": pa.array([], pa.string()), "words": pa.array([], pa.int32()), "phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    return found.groupBy("part").applyInArrow(total, "lang string, words int, phrase string, n long")
+
+
+COLUMNS = (("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()))
+EMPTY = pa.table({"part": pa.array([], pa.int32()), **{name: pa.array([], pa.list_(kind)) for name, kind in COLUMNS}})
+
+
+def by_part(counts: dict[tuple, int], n_parts: int) -> pa.Table:
+    """{(lang, words, phrase): n} as a row of lists for each part that a phrase's hash names."""
+    split: dict[int, list[tuple]] = {}
+    for (lang, words, phrase), n in counts.items():
+        split.setdefault(zlib.crc32(phrase) % n_parts, []).append((lang, words, phrase.decode(), n))
+    lists = [list(zip(*rows, strict=True)) for rows in split.values()]
+    return pa.table({"part": pa.array(list(split), pa.int32()), **{
+        name: pa.array([list(x[k]) for x in lists], pa.list_(kind)) for k, (name, kind) in enumerate(COLUMNS)}})
+
+
+def add_up(group: pa.Table, least: int) -> pa.Table:
+    """The exact sums of a part's phrases that reach ``least``, and of the numbers of words."""
+    rows = pa.table({name: pa.chunked_array([x.flatten() for x in group.column(name).chunks], kind) for name, kind in COLUMNS})
+    sums = rows.group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "words", "phrase", "n"])
+    return sums.filter(pc.or_(pc.greater_equal(sums.column("n"), least), pc.equal(sums.column("words"), 0)))
 
 
 def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
