@@ -213,8 +213,11 @@ def training_windows(docs: DataFrame, bounds: Bounds) -> tuple[DataFrame, dict[s
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(bounds.languages).collect()
     shares = {r.lang: r.n for r in counts}
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(F.col("lang").isin(*shares)).select("lang", "doc_id").withColumn("_n", F.row_number().over(first)).where(
-        F.col("_n") <= bounds.documents).select("lang", "doc_id").distinct()
+    # A share of the hashes that holds twice as many as wanted: the ranking then meets a bounded number of rows of any language.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    wanted = F.create_map(*[F.lit(x) for lang, n in shares.items() for x in (lang, 2.0 * bounds.documents / n)])
+    chosen = known.where(F.col("lang").isin(*shares)).select("lang", "doc_id").where(part < wanted[F.col("lang")]).withColumn(
+        "_n", F.row_number().over(first)).where(F.col("_n") <= bounds.documents).select("lang", "doc_id").distinct()
     room = F.greatest(F.length("text") - LENGTH, F.lit(0))
     at = lambda i: (1 + (room * i / max(1, bounds.windows - 1)).cast("int")).cast("int")
     pieces = F.array_distinct(F.array(*[F.substring(F.col("text"), at(i), F.lit(LENGTH)) for i in range(bounds.windows)]))
