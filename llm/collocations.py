@@ -35,6 +35,7 @@ from llm.words import Words, combine, mix, slices
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Buckets that a segment serves, by their size.
 SEGMENT_BUCKETS = 4
+SALTS = 64
 
 BREAKS = np.zeros(256, bool)
 BREAKS[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
@@ -268,8 +269,11 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     inside = candidates.where("words > 2").select("lang", F.col("a").alias("longer"), spans.alias("phrase")).groupBy(
         "lang", "phrase").agg(F.max("longer").alias("longer"))
     left = lowest.join(inside, ["lang", "phrase"], "left").where("longer is null or longer < a")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
+    # A language may own most candidates: its first ones are found in SALTS parts of them first.
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(
+        Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    return first(first(salted, "salt").drop("rank")).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
