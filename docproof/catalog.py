@@ -83,8 +83,8 @@ def sink_extracted(spark, sf):
 @query
 def sink_verdicts(spark, sf):
     path = scratch_path(spark, "verdicts")
-    files.write_verdicts(verified(spark, sf), path)
-    return verdict_columns(spark.read.parquet(path))
+    files.write_verdicts(report.with_response(verified(spark, sf), *BESIDE), path)
+    return response_columns(spark.read.parquet(path), *BESIDE[1:])
 
 
 @query
@@ -577,46 +577,58 @@ def extract_documents(spark, sf):
     return extract_columns(extract_plan(ocr.pages_to_document(fixture(spark, sf, "page_lines"))))
 
 
-def field_columns(fields="fields"):
+def field_columns(f):
     """Every field, lists as joined text."""
-    f = F.col(fields)
     return [F.array_join(f[n.name], "; ").alias(n.name) if n.dataType.typeName() == "array" else f[n.name].alias(n.name)
             for n in FIELDS.fields]
 
 
 def extract_columns(df):
     return df.select(
-        "doc_id", "document_type", "type_confidence", "is_ambiguous", "confidence", "page_count", *field_columns(),
+        "doc_id", "document_type", "type_confidence", "is_ambiguous", "confidence", "page_count", *field_columns(F.col("fields")),
         *[F.try_element_at("all_scores", F.lit(t)).alias(f"score_{t}") for t in DOC_TYPES],
         *[F.array_join(F.try_element_at("matched_signals", F.lit(t)), " ; ").alias(f"hits_{t}") for t in DOC_TYPES])
 
 
-VERDICT = ["doc_id", "document_type", "type_confidence", "ela", "ela_score", "blur", "blur_score", "metadata",
-           "duplicate_regions", "layout_validation", "qr_validation", "ai_artifacts", "base_score",
-           "risk_score", "status"]
-CARD = ["verhoeff_valid", "verhoeff_reason", "risk_level", "checks_passed", "checks_failed", "summary"]
-FONT = ["status", "variance_ratio", "penalty", "suspicious_blocks", "total_text_blocks", "high_frequency_anomaly",
-        "compression_inconsistency"]
+BESIDE = ["doc_id", "base_score", "quarantine_reason"]
 
 
-def verdict_columns(df, *more):
-    """The whole response as flat columns: nested parts by prefix, lists as joined text."""
-    reply, said = F.col("reply"), ("vlm_confidence", "overall_assessment", "layout_authenticity", "font_consistency",
-                                   "visible_tampering", "seal_signature_present", "reasoning", "suggested_risk_adjustment")
+def response_columns(df, *more):
+    """A nested response as flat columns: lists and maps as joined text."""
+    r = F.col("response")
+    reply, card, found, rules = (r[n] for n in ("vlm_analysis", "aadhaar_verification", "classification", "validation"))
+    said = [n for n in df.schema["response"].dataType["vlm_analysis"].dataType.names
+            if n not in ("field_validation", "logical_inconsistencies", "fraud_signals", "vlm_available")]
     check = lambda c: F.concat_ws("|", c["field_name"], c["passed"].cast("string"), c["severity"], c["message"])
-    of = lambda name, keys: [F.col(f"{name}.{k}").alias(f"{name}_{k}") for k in keys]
-    filled = lambda k: F.try_element_at("corrections", F.lit(k)).alias(f"filled_{k}")
+    lists = ("qr_fields_found", "qr_mismatches", "layout_issues")
+    names = [n for keys in report.CARD_PARTS.values() for n in keys.values()]
+    joined = lambda c, by: F.array_join(F.array_sort(c), by)
+    pairs = lambda m: joined(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    matched = F.map_keys(F.map_filter(card["qr_field_matches"], lambda k, v: v["match"]))
     return df.select(
-        *VERDICT, "quarantine_reason", reply["vlm_available"].alias("reply_available"),
-        F.col("card.total_penalty").alias("card_penalty"), F.col("report.critical_failures").alias("critical_failures"),
-        F.col("report.validation_score").alias("validation_score"), F.col("report.summary").alias("validation_summary"),
-        *field_columns(), *of("reply", said),
+        "doc_id", r["document_type"].alias("document_type"), *[r["fraud_analysis"][n].alias(n) for n in report.FRAUD],
+        *[r[n].alias(n) for n in ("risk_score", "status", "confidence", "page_count")],
+        found["primary_confidence"].alias("type_confidence"), found["is_ambiguous"].alias("is_ambiguous"),
+        *[F.try_element_at(found["all_scores"], F.lit(t)).alias(f"score_{t}") for t in DOC_TYPES],
+        *[F.array_join(F.try_element_at(found["matched_signals"], F.lit(t)), " ; ").alias(f"hits_{t}") for t in DOC_TYPES],
+        *field_columns(r["extracted_fields"]),
+        reply["vlm_available"].alias("reply_available"), *[reply[n].alias(f"reply_{n}") for n in said],
+        pairs(reply["field_validation"]).alias("reply_field_validation"),
         F.array_join(F.transform(reply["fraud_signals"], lambda s: F.concat_ws("/", s["signal"], s["severity"])), ";").alias("reply_signals"),
         F.array_join(reply["logical_inconsistencies"], "; ").alias("reply_inconsistencies"),
-        F.array_join(F.transform("checks", check), " ; ").alias("checks"),
-        *of("card", CARD), *of("font", FONT), *of("match", ["status", "penalty", "summary"]),
-        *of("card_layout", ["status", "penalty", "detail"]), filled("name"), filled("dob"),
-        F.array_join("stages", ",").alias("stages"), *more)
+        F.array_join(F.transform(rules["checks"], check), " ; ").alias("checks"),
+        rules["passed"].alias("validation_passed"), rules["failed"].alias("validation_failed"),
+        rules["critical_failures"].alias("critical_failures"), rules["validation_score"].alias("validation_score"),
+        rules["summary"].alias("validation_summary"),
+        *[(F.array_join(card[n], "; ") if n in lists else card[n]).alias("card_summary" if n == "summary" else n) for n in names],
+        joined(matched, ",").alias("qr_matches"),
+        *[F.try_element_at(card["corrected_fields"], F.lit(n)).alias(f"filled_{n}") for n in ("name", "dob")],
+        F.array_join(r["pipeline_stages"], ",").alias("stages"), *more)
+
+
+def verdict_columns(df, *more):
+    """The whole response of verified documents, and what stands beside it."""
+    return response_columns(report.with_response(df, *BESIDE, *more), *BESIDE[1:], *more)
 
 
 @query
@@ -642,12 +654,10 @@ def audit_stages(spark, sf):
 
 @query
 def verdict_json(spark, sf):
-    """Each response as one JSON text, read back key by key."""
-    flat = verdict_columns(verified(spark, sf))
-    kinds = {f.name: f.dataType.typeName() for f in flat.schema.fields}
-    keys = [k for k in flat.columns if k != "doc_id" and kinds[k] != "double"]
-    return report.verdict_json(flat).select(
-        "doc_id", *[F.get_json_object("json", f"$.{k}").alias(k) for k in keys])
+    """Each response as one nested JSON text, read back key by key."""
+    done = verified(spark, sf)
+    kind = report.with_response(done, "doc_id").schema["response"].dataType.simpleString()
+    return response_columns(report.read_json(report.verdict_json(done), kind))
 
 
 def flagship(spark, sf):

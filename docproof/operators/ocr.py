@@ -4,10 +4,11 @@ Pages and documents can be very uneven, so nothing here gathers the rows of a pa
 place unless the result itself is one cell (the text of a line, page or document).
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import let, normalise_ws, trigrams
+from ..functions.text import normalise_ws
 from ..session import checkpoint
+from .similar import PAGE, alike, first_alike, fits, grams
 
 # --- fixed values ------------------------------------------------------------------------
 Y_BAND = 12
@@ -16,8 +17,6 @@ MIN_CONFIDENCE = 0.30
 REGION_KEYS = [("roll", "roll_number"), ("name", "student_name"), ("year", "year")]
 # --- end of fixed values --------------------------------------------------------------
 
-PAGE = ["doc_id", "page_no"]
-
 
 def _in_order(order: list[str], *values: str) -> Column:
     """Rows of a group in the given order, as an array of structs."""
@@ -55,16 +54,29 @@ def assign_lines(tokens: DataFrame, y_band: int = Y_BAND) -> DataFrame:
 
     Tokens in (y, x) order join the running line while their y is within the band of its
     level, which then moves halfway to the token. x and the number of tokens on one y do not
-    matter beyond that, so the running state is folded over the distinct y values of a page
-    with their counts: at most one per pixel row, however many tokens the page holds. The
-    tokens then look their line up by (page, y).
+    matter beyond that, so all is done on the distinct y values of a page with their counts.
+    A level never passes the last y, so a gap wider than the band always opens a line: a window cuts the page into
+    islands at such gaps, and only within an island the level is walked. The tokens then look their line up by (page, y).
     """
-    levels = tokens.groupBy(*PAGE, "y0").agg(F.count("*").alias("n"))
-    per_page = levels.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct("y0", "n"))).alias("ys"))
+    page = Window.partitionBy(*PAGE).orderBy("y0")
+    gap = F.col("y0") - F.lag("y0").over(page)
+    levels = tokens.groupBy(*PAGE, "y0").agg(F.count("*").alias("n")).withColumn("_cut", F.coalesce((gap > y_band).cast("int"), F.lit(1)))
+    islands = levels.withColumn("_island", F.sum("_cut").over(page)).groupBy(*PAGE, "_island").agg(
+        F.array_sort(F.collect_list(F.struct("y0", "n"))).alias("_ys"))
+    opened = islands.select(*PAGE, F.inline(F.arrays_zip(F.col("_ys.y0").alias("y0"), _opens("_ys", y_band).alias("opens"))))
+    lines = opened.select(*PAGE, "y0", F.sum(F.col("opens").cast("int")).over(page).cast("int").alias("line_no"))
+    return tokens.join(lines, [*PAGE, "y0"])
+
+
+#: How many values a fold appends to before it starts a new list.
+CHUNK = 128
+
+
+def _opens(ys: str, y_band: int) -> Column:
+    """For each y of an island whether it opens a line. Appending copies a list, so the fold appends to short ones: linear in the island."""
     empty = F.struct(
-        F.lit(None).cast("double").alias("level"), F.lit(0).alias("line"),
-        F.array().cast("array<struct<y0:int,line_no:int>>").alias("out"))
+        F.lit(None).cast("double").alias("level"), F.array().cast("array<boolean>").alias("chunk"),
+        F.array().cast("array<array<boolean>>").alias("done"))
 
     def settle(level: Column, y: Column, times: Column) -> Column:
         # Exact without a limit on the tokens: the distance is at most the band, and halved 64 times it is below the
@@ -76,13 +88,14 @@ def assign_lines(tokens: DataFrame, y_band: int = Y_BAND) -> DataFrame:
     def step(state, s):
         y = s["y0"].cast("double")
         joins = F.coalesce(F.abs(y - state["level"]) <= y_band, F.lit(False))
-        line = F.when(joins, state["line"]).otherwise(state["line"] + 1)
         level = F.when(joins, settle(state["level"], y, s["n"])).otherwise(y)
-        return F.struct(level.alias("level"), line.alias("line"), F.concat(
-            state["out"], F.array(F.struct(s["y0"].alias("y0"), line.alias("line_no")))).alias("out"))
+        full = F.size(state["chunk"]) >= CHUNK
+        return F.struct(
+            level.alias("level"),
+            F.when(full, F.array(~joins)).otherwise(F.concat(state["chunk"], F.array(~joins))).alias("chunk"),
+            F.when(full, F.concat(state["done"], F.array(state["chunk"]))).otherwise(state["done"]).alias("done"))
 
-    lines = per_page.select(*PAGE, F.inline(F.aggregate("ys", empty, step)["out"]))
-    return tokens.join(lines, [*PAGE, "y0"])
+    return F.aggregate(ys, empty, step, lambda end: F.concat(F.flatten(end["done"]), end["chunk"]))
 
 
 def merge_tokens(tokens: DataFrame) -> DataFrame:
@@ -97,76 +110,23 @@ def merge_tokens(tokens: DataFrame) -> DataFrame:
         F.size("_t").cast("bigint").alias("tokens"))
 
 
-# --- similarity of lines within a page ----------------------------------------------------
+# --- two engines --------------------------------------------------------------------------
 
-#: Pages with at most this many distinct texts are compared inside one row.
-SMALL_PAGE = 256
+#: How many of a page's next open lines are walked in one row.
+WALK = 256
 
 
-def _sizes_fit(a: Column, b: Column, t: float) -> Column:
-    """Necessary for a Jaccard of t; the margin keeps rounding from excluding an equal case."""
-    return (a >= b * t - 1e-9) & (b >= a * t - 1e-9)
-
-
-def _alike(a: Column, b: Column, t: float) -> Column:
-    return let(F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared) >= t)
-
-
-def _similar_on_small_pages(texts: DataFrame, t: float) -> DataFrame:
-    """Compare the texts of a page inside its row; only the pairs that are alike come out."""
-    def partners(left, all_texts):
-        fits = lambda r: r["in_r"] & _sizes_fit(F.size(left["grams"]), F.size(r["grams"]), t) & _alike(
-            left["grams"], r["grams"], t)
-        return F.transform(F.filter(all_texts, fits), lambda r: F.struct(left["norm"].alias("l"), r["norm"].alias("r")))
-
-    pages = texts.withColumn("grams", trigrams(F.col("norm"))).groupBy(*PAGE).agg(
-        F.collect_list(F.struct("norm", "in_l", "in_r", "grams")).alias("ts"))
-    pairs = F.flatten(F.transform(F.filter("ts", lambda x: x["in_l"]), lambda x: partners(x, F.col("ts"))))
-    return pages.select(*PAGE, F.inline(pairs))
-
+def _with_norm(df: DataFrame) -> DataFrame:
+    return df.withColumn("norm", normalise_ws(F.col("text"), lower=True))
 
-def _similar_on_large_pages(texts: DataFrame, t: float) -> DataFrame:
-    """Prefix filter: two sets with Jaccard >= t share one of the rarest |s| - ceil(t|s|) + 1
-    trigrams of each, so only texts sharing such a trigram meet.
 
-    Rarity is counted within the page, which keeps a trigram common to every line out of the
-    keys. Both sides are ranked as one table, so that the plan holds the ranking once.
-    """
-    long = texts.withColumn("grams", trigrams(F.col("norm"))).select(
-        *PAGE, "norm", "in_l", "in_r", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    frequency = long.groupBy(*PAGE, "gram").agg(F.count("*").alias("df"))
-    ranked = long.join(frequency, [*PAGE, "gram"]).groupBy(*PAGE, "norm").agg(
-        F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"), F.max("size").alias("size"),
-        F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    keep = F.col("size") - F.ceil(F.col("size") * t - 1e-9).cast("int") + 1
-    side = lambda flag, n: ranked.where(flag).select(
-        *PAGE, F.explode(F.slice("g", F.lit(1), keep)).alias("key"), F.col("norm").alias(n),
-        F.col("size").alias(f"{n}_size")).withColumn("gram", F.col("key.gram")).drop("key")
-    candidates = side("in_l", "l").join(side("in_r", "r"), [*PAGE, "gram"]).where(
-        _sizes_fit(F.col("l_size"), F.col("r_size"), t)).select(*PAGE, "l", "r").distinct()
-    return candidates.where(_alike(trigrams(F.col("l")), trigrams(F.col("r")), t))
-
-
-def similar_texts(left: DataFrame, right: DataFrame, min_similarity: float = MIN_SIMILARITY,
-                  small_page: int = SMALL_PAGE) -> DataFrame:
-    """Pairs (page, l, r) of distinct texts of a page whose trigram sets overlap enough. Exact.
-
-    Pages are told apart by their number of distinct texts: usual ones are compared inside a
-    row of bounded size, any larger one by a join on its rarest trigrams.
-    """
-    marked = lambda df, l, r: df.where(F.col("norm") != "").select(
-        *PAGE, "norm", F.lit(l).alias("in_l"), F.lit(r).alias("in_r"))
-    texts = marked(left, True, False).unionByName(marked(right, False, True)).groupBy(*PAGE, "norm").agg(
-        F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"))
-    sized = texts.join(texts.groupBy(*PAGE).agg(F.count("*").alias("_n")), PAGE)
-    small = sized.where(F.col("_n") <= small_page).drop("_n")
-    large = sized.where(F.col("_n") > small_page).drop("_n")
-    return _similar_on_small_pages(small, min_similarity).unionByName(
-        _similar_on_large_pages(large, min_similarity))
+def _numbered(df: DataFrame) -> DataFrame:
+    """Stored, with an id of its own for each row and the trigrams of its text."""
+    return checkpoint(df.withColumn("id", F.monotonically_increasing_id()).withColumn("grams", grams(F.col("norm"))))
 
 
-def _with_norm(df: DataFrame) -> DataFrame:
-    return df.withColumn("norm", normalise_ws(F.col("text"), lower=True))
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord", "norm", "value")) - 1)
 
 
 def fuse_ocr(primary: DataFrame, secondary: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -177,65 +137,99 @@ def fuse_ocr(primary: DataFrame, secondary: DataFrame, min_similarity: float = M
     meet, so copies of a line cost nothing. Both inputs are read more than once: pass stored
     tables, or a checkpoint of anything costly.
     """
-    p, s = _with_norm(primary), _with_norm(secondary)
-    wanted = p.groupBy(*PAGE, "norm", "confidence").agg(F.count("*").alias("_n"))
-    offered = s.groupBy(*PAGE, "norm", F.col("confidence").alias("s_confidence")).agg(
-        F.min(F.struct(F.col("ord").alias("s_ord"), F.col("text").alias("s_text"))).alias("s_first"))
-    pairs = similar_texts(wanted, offered, min_similarity)
+    p = _with_norm(primary)
+    wanted = _numbered(p.where(F.col("norm") != "").select(*PAGE, "norm", F.col("confidence").alias("above")).distinct())
+    offers = _with_norm(secondary).where(F.col("norm") != "").groupBy(*PAGE, "norm", F.col("confidence").alias("value")).agg(
+        F.min(F.struct("ord", "text")).alias("_first")).select(*PAGE, "norm", "value", "_first.ord", "_first.text")
+    offered = _numbered(_ranked(offers))
     best = (
-        wanted.join(pairs.withColumnRenamed("l", "norm"), [*PAGE, "norm"])
-        .join(offered.withColumnRenamed("norm", "r"), [*PAGE, "r"])
-        .where(F.col("s_confidence") > F.col("confidence"))
-        .groupBy(*PAGE, "norm", "confidence")
-        .agg(F.min(F.struct("s_first", "s_confidence")).alias("_best"))
-    )
-    won = F.col("_best").isNotNull()
+        first_alike(wanted, offered, min_similarity).join(wanted.select("id", *PAGE, "norm", "above"), "id")
+        .join(offered.select(*PAGE, "rank", F.col("text").alias("s_text"), F.col("value").alias("s_confidence")), [*PAGE, "rank"])
+        .select(*PAGE, "norm", F.col("above").alias("confidence"), "s_text", "s_confidence"))
+    won = F.col("s_confidence").isNotNull()
     return (
         p.join(best, [*PAGE, "norm", "confidence"], "left")
         .select(
             *PAGE, "ord",
-            F.when(won, F.col("_best.s_first.s_text")).otherwise(F.col("text")).alias("text"),
-            F.when(won, F.col("_best.s_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+            F.when(won, F.col("s_text")).otherwise(F.col("text")).alias("text"),
+            F.when(won, F.col("s_confidence")).otherwise(F.col("confidence")).alias("confidence"),
             F.when(won, "fused").otherwise("primary").alias("engine"))
     )
 
 
+def _walked(texts: DataFrame, t: float) -> DataFrame:
+    """(id, keep) of a bounded number of texts per page: in rank order, each is kept that is like none kept before it."""
+    def step(kept, x):
+        fresh = ~F.exists(kept, lambda k: fits(F.size(k["grams"]), F.size(x["grams"]), t) & alike(k["grams"], x["grams"], t))
+        return F.when(fresh, F.concat(kept, F.array(x))).otherwise(kept)
+
+    rows = F.array_sort(F.collect_list(F.struct("rank", "id", "grams")))
+    none = F.array().cast("array<struct<rank:int,id:bigint,grams:array<bigint>>>")
+    pages = texts.groupBy(*PAGE).agg(rows.alias("xs")).withColumn("kept", F.transform(F.aggregate("xs", none, step), lambda k: k["id"]))
+    return pages.select(F.explode(F.transform("xs", lambda x: F.struct(
+        x["id"].alias("id"), F.array_contains("kept", x["id"]).alias("keep")))).alias("x")).select("x.*")
+
+
+def kept_in_order(texts: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """The ids of texts(doc_id, page_no, id, grams, rank), stored, that are like no earlier kept text of their page.
+
+    In rounds, until nothing is open: the next WALK open texts of every page are walked in order; open texts like one that this keeps
+    go; of the rest, those like no earlier open text are kept at once, and what is like them goes. A page of
+    unlike texts, or of texts all alike, ends after a round or two however long it is, a chain of near twins after its length / WALK.
+    """
+    t, kept = min_similarity, []
+    rank = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("rank")) - 1)
+    limits = lambda df: df.withColumn("above", F.lit(0.0))
+    values = lambda df: rank(df).withColumn("value", F.lit(1.0))
+    without = lambda df, ids: df.join(ids, "id", "left_anti")
+    open_texts = texts
+    while True:
+        numbered = rank(open_texts)
+        walked = checkpoint(_walked(numbered.where(F.col("rank") < WALK), t))
+        kept.append(walked.where("keep").select("id"))
+        later = checkpoint(without(open_texts, walked))
+        if later.isEmpty():
+            break
+        later = _unlike(later, open_texts.join(kept[-1], "id", "left_semi"), limits, values, t)
+        # Whoever is like no earlier open text: the first alike in rank order is the text itself.
+        ranked = checkpoint(values(later))
+        first = checkpoint(first_alike(limits(ranked), ranked, t))
+        alone = checkpoint(ranked.join(first.withColumnRenamed("rank", "_first"), "id").where("_first = rank").select("id"))
+        kept.append(alone)
+        open_texts = _unlike(checkpoint(without(later, alone)), later.join(alone, "id", "left_semi"), limits, values, t)
+        if open_texts.isEmpty():
+            break
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _unlike(texts: DataFrame, kept: DataFrame, limits, values, t: float) -> DataFrame:
+    """The texts like none that was kept, stored."""
+    return checkpoint(texts.join(first_alike(limits(texts), checkpoint(values(kept)), t), "id", "left_anti").select(*texts.columns))
+
+
 def secondary_only_lines(fused: DataFrame, secondary: DataFrame,
                          min_confidence: float = MIN_CONFIDENCE,
                          min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Fused lines plus the secondary lines like nothing kept so far, without the unsure ones.
 
     A secondary line is dropped if it is like a fused line or like an earlier secondary line
-    that was kept. Copies of a text stand or fall with its first occurrence. What is left is
-    decided in rounds over the similar pairs: a text with no undecided earlier neighbour is
-    kept, its later neighbours go. Every round settles all such texts of all pages at once.
+    that was kept. Copies of a text stand or fall with its first occurrence. Texts equal to a fused one go first, by a plain
+    join; the others ask the index for a fused text that is alike, and what is left is decided by ``kept_in_order``.
     """
-    # Read several times below: written once, so that no round goes back to the inputs.
-    f = checkpoint(_with_norm(fused).select(*PAGE, "norm").distinct())
-    texts = checkpoint(_with_norm(secondary).where(F.col("norm") != "").groupBy(*PAGE, "norm").agg(
-        F.min(F.struct("ord", "text", "confidence")).alias("first")))
-    like_fused = similar_texts(texts, f, min_similarity).select(*PAGE, F.col("l").alias("norm")).distinct()
-    open_texts = checkpoint(texts.join(like_fused, [*PAGE, "norm"], "left_anti"))
-    at = lambda n, o: open_texts.select(*PAGE, F.col("norm").alias(n), F.col("first.ord").alias(o))
-    edges = checkpoint(
-        similar_texts(open_texts, open_texts, min_similarity)
-        .join(at("l", "l_ord"), [*PAGE, "l"]).join(at("r", "r_ord"), [*PAGE, "r"])
-        .where(F.col("l_ord") < F.col("r_ord")).select(*PAGE, "l", "r"))
-    dropped = None
-    while not edges.isEmpty():
-        # Kept now: has later neighbours, no earlier one. Its later neighbours are dropped.
-        heads = edges.select(*PAGE, F.col("l").alias("norm")).distinct().join(
-            edges.select(*PAGE, F.col("r").alias("norm")), [*PAGE, "norm"], "left_anti")
-        gone = checkpoint(
-            edges.join(heads.withColumnRenamed("norm", "l"), [*PAGE, "l"], "left_semi")
-            .select(*PAGE, F.col("r").alias("norm")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        for end in ("l", "r"):
-            edges = edges.join(gone.withColumnRenamed("norm", end), [*PAGE, end], "left_anti")
-        edges = checkpoint(edges)
-    if dropped is not None:
-        open_texts = open_texts.join(dropped, [*PAGE, "norm"], "left_anti")
-    added = open_texts.select(
+    f = _with_norm(fused).where(F.col("norm") != "").select(*PAGE, "norm").distinct()
+    texts = _with_norm(secondary).where(F.col("norm") != "").groupBy(*PAGE, "norm").agg(
+        F.min(F.struct("ord", "text", "confidence")).alias("first"))
+    f = checkpoint(f)
+    unknown = _numbered(texts.join(f, [*PAGE, "norm"], "left_anti").withColumn("above", F.lit(0.0)))
+    known = _numbered(_ranked(f.join(unknown.select(*PAGE).distinct(), PAGE, "left_semi").withColumns(
+        {"ord": F.lit(0), "value": F.lit(1.0)})))
+    open_texts = checkpoint(
+        unknown.join(first_alike(unknown, known, min_similarity), "id", "left_anti").drop("above")
+        .withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("first.ord", "norm")) - 1))
+    added = open_texts.join(kept_in_order(open_texts, min_similarity), "id", "left_semi").select(
         *PAGE, F.col("first.ord").alias("ord"), F.col("first.text").alias("text"),
         F.col("first.confidence").alias("confidence"), F.lit("secondary_only").alias("engine"))
     return fused.select(*added.columns).unionByName(added).where(

@@ -95,6 +95,7 @@ def compare(df: DataFrame, qr: str = "qr", name: str = "name", dob: str = "dob",
             s.alias("status"),
             points[s].alias("penalty"),
             F.coalesce(F.col(f"{qr}.qr_type"), F.lit("not_found")).alias("qr_type"),
+            F.coalesce(found, F.array().cast("array<string>")).alias("fields_found"),
             F.transform(hits, lambda x: x["field"]).alias("matches"),
             F.col("_misses").alias("mismatches"),
             F.transform(p, lambda x: F.struct(x["field"].alias("field"), x["qr"].alias("qr"),

@@ -47,6 +47,51 @@ def human_summary(df: DataFrame) -> DataFrame:
     ))
 
 
-def verdict_json(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One JSON document per row, all columns in it."""
-    return df.select(key, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+#: What a card's part of the response is called, by the evidence it comes from.
+CARD_PARTS = {
+    "card": {"verhoeff_valid": "verhoeff_valid", "verhoeff_reason": "verhoeff_reason", "verhoeff_penalty": "verhoeff_penalty",
+             "total_penalty": "total_aadhaar_penalty", "risk_level": "aadhaar_risk_level", "checks_passed": "checks_passed",
+             "checks_failed": "checks_failed", "summary": "summary"},
+    "match": {"qr_type": "qr_type", "fields_found": "qr_fields_found", "status": "qr_cross_validation_status",
+              "mismatches": "qr_mismatches", "penalty": "qr_penalty", "summary": "qr_summary"},
+    "font": {"status": "font_status", "variance_ratio": "font_variance_ratio", "suspicious_blocks": "font_suspicious_blocks",
+             "high_frequency_anomaly": "font_high_frequency_anomaly", "compression_inconsistency": "font_compression_inconsistency",
+             "penalty": "font_penalty", "detail": "font_detail"},
+    "card_layout": {"status": "layout_status", "issues": "layout_issues", "penalty": "layout_penalty", "detail": "layout_detail"},
+}
+FRAUD = ["ela", "metadata", "blur", "duplicate_regions", "layout_validation", "qr_validation", "ai_artifacts", "ela_score", "blur_score"]
+
+
+def response(df: DataFrame) -> Column:
+    """The nested response of a verified document: every part under its published name, the card's part NULL for other documents."""
+    c = F.col
+    pairs = F.map_from_entries(F.transform(c("match.pairs"), lambda p: F.struct(
+        p["field"], F.struct(p["qr"].alias("qr"), p["ocr"].alias("ocr"), p["match"].alias("match")))))
+    card = F.struct(
+        *[c(part)[key].alias(name) for part, keys in CARD_PARTS.items() for key, name in keys.items()],
+        pairs.alias("qr_field_matches"), c("corrections").alias("corrected_fields"))
+    return F.struct(
+        c("document_type"), c("fields").alias("extracted_fields"), F.struct(*FRAUD).alias("fraud_analysis"),
+        c("risk_score"), c("status"), c("confidence"), c("page_count"),
+        F.struct(c("document_type").alias("primary_type"), c("type_confidence").alias("primary_confidence"),
+                 c("all_scores"), c("is_ambiguous"), c("matched_signals")).alias("classification"),
+        c("reply").alias("vlm_analysis"),
+        F.struct(c("checks"), *[c(f"report.{n}").alias(n) for n in (
+            "passed", "failed", "critical_failures", "validation_score", "summary")]).alias("validation"),
+        F.when(c("card").isNotNull(), card).alias("aadhaar_verification"),
+        c("stages").alias("pipeline_stages"))
+
+
+def with_response(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., response): through a generator, so that each part is computed once however many of its fields are read."""
+    return df.select(*keep, F.explode(F.array(response(df))).alias("response"))
+
+
+def verdict_json(df: DataFrame) -> DataFrame:
+    """Each verified document as one nested JSON text: (doc_id, json)."""
+    return with_response(df, "doc_id").select("doc_id", F.to_json("response", {"ignoreNullFields": "false"}).alias("json"))
+
+
+def read_json(texts: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, response) of (doc_id, json): the text becomes a VARIANT, and the variant a response of the given type."""
+    return texts.select("doc_id", F.explode(F.array(F.variant_get(F.parse_json("json"), "$", kind))).alias("response"))

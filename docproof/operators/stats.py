@@ -9,6 +9,7 @@ MIN_TEXT_DENSITY = 0.05
 MIN_BLOCKS, MIN_TILES = 5, 4
 SIGMAS = 2
 MIN_SPREAD = 1e-3
+TOO_FEW_BLOCKS = "Insufficient text blocks for analysis"
 # --- end of fixed values --------------------------------------------------------------
 
 
@@ -76,6 +77,19 @@ def top_blocks(blocks: DataFrame, n: int = 5) -> DataFrame:
     return blocks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def _font_detail(font: Column) -> Column:
+    """The sentence on a document's font test."""
+    yes = lambda c: F.when(c, "True").otherwise("False")
+    share = F.concat(F.lit(", suspicious_blocks="), font["suspicious_blocks"].cast("string"), F.lit("/"), font["total_text_blocks"].cast("string"))
+    start = lambda words: F.concat(F.lit(f"{words} — variance_ratio="), F.format_number(font["variance_ratio"], 3))
+    return (
+        F.when(font["status"] == "inconsistent", F.concat(
+            start("Font inconsistency DETECTED"), share, F.lit(", hf_anomaly="), yes(font["high_frequency_anomaly"]),
+            F.lit(", compression_inconsistency="), yes(font["compression_inconsistency"])))
+        .when(font["status"] == "suspicious", F.concat(start("Font rendering suspicious"), share))
+        .otherwise(start("Font rendering consistent")))
+
+
 def font_consistency(blocks: DataFrame, tiles: DataFrame) -> DataFrame:
     """font(doc_id, font): the whole block test per document, from text blocks and tiles."""
     profile = dispersion_profile(text_block_filter(blocks), "doc_id", "hf_ratio")
@@ -94,5 +108,7 @@ def font_consistency(blocks: DataFrame, tiles: DataFrame) -> DataFrame:
             F.when(F.col("enough"), F.col("n")).otherwise(0).cast("bigint").alias("total_text_blocks"),
             (F.col("enough") & (F.col("cv_edge") > SHARPNESS_ANOMALY)).alias("high_frequency_anomaly"),
             (F.col("enough") & F.col("compression_inconsistency")).alias("compression_inconsistency"),
-        ).alias("font"))
+        ).alias("font"), "enough")
+        .select("doc_id", F.col("font").withField(
+            "detail", F.when(F.col("enough"), _font_detail(F.col("font"))).otherwise(TOO_FEW_BLOCKS)).alias("font"))
     )

@@ -225,7 +225,7 @@ def compare_view(source: str) -> str:
     return f"""
 SELECT doc_id, status, CAST(CASE status WHEN 'no_qr' THEN 5 WHEN 'decode_error' THEN 8 WHEN 'suspicious' THEN 5
     WHEN 'verified' THEN -5 WHEN 'partial_match' THEN 10 ELSE 30 END AS INTEGER) AS penalty,
-  coalesce(qr_type, 'not_found') AS qr_type, matches, mismatches, name_ok, q_name, q_dob,
+  coalesce(qr_type, 'not_found') AS qr_type, matches, mismatches, name_ok, q_name, q_dob, fields_found,
   CASE WHEN status = 'no_qr' THEN 'No QR code found — cannot perform QR cross-validation'
     WHEN status = 'decode_error' THEN 'QR decode error: ' || parse_error
     WHEN fields_found = '' THEN 'QR found but no Aadhaar fields extracted — suspicious structure'
@@ -293,6 +293,7 @@ FROM (SELECT doc_id, t, CASE WHEN t = '' THEN '{}' ELSE regexp_replace(regexp_ex
 VIEWS["reply_used"] = """
 SELECT doc_id, reason, reason IS NULL AS available,
   coalesce(CASE WHEN reason IS NULL THEN conf END, 0.0) AS vlm_confidence,
+  coalesce(CASE WHEN reason IS NULL THEN j->>'$.document_type_confirmed' END, 'unknown') AS document_type_confirmed,
   coalesce(CASE WHEN reason IS NULL THEN j->>'$.overall_assessment' END, 'unknown') AS overall_assessment,
   coalesce(CASE WHEN reason IS NULL THEN j->>'$.layout_authenticity' END, 'unknown') AS layout_authenticity,
   coalesce(CASE WHEN reason IS NULL THEN j->>'$.font_consistency' END, 'unknown') AS font_consistency,
@@ -396,14 +397,19 @@ SELECT doc_id, count(blockiness) AS tiles, CASE WHEN count(blockiness) < 4 THEN
 FROM tiles GROUP BY doc_id"""
 VIEWS["edge_cv"] = "SELECT doc_id, stddev_pop(sharpness) / (avg(sharpness) + 1e-6) AS cv_edge FROM tiles GROUP BY doc_id"
 VIEWS["fonts"] = """
-SELECT doc_id, outliers, enough, CAST(CASE WHEN enough THEN n ELSE 0 END AS BIGINT) AS total_text_blocks,
+SELECT *, CASE WHEN NOT enough THEN 'Insufficient text blocks for analysis'
+  WHEN status = 'inconsistent' THEN 'Font inconsistency DETECTED — variance_ratio=' || printf('%.3f', variance_ratio) || ', suspicious_blocks=' || outliers || '/' || total_text_blocks
+    || ', hf_anomaly=' || CASE WHEN high_frequency_anomaly THEN 'True' ELSE 'False' END || ', compression_inconsistency=' || CASE WHEN compression_inconsistency THEN 'True' ELSE 'False' END
+  WHEN status = 'suspicious' THEN 'Font rendering suspicious — variance_ratio=' || printf('%.3f', variance_ratio) || ', suspicious_blocks=' || outliers || '/' || total_text_blocks
+  ELSE 'Font rendering consistent — variance_ratio=' || printf('%.3f', variance_ratio) END AS detail
+FROM (SELECT doc_id, outliers, enough, CAST(CASE WHEN enough THEN n ELSE 0 END AS BIGINT) AS total_text_blocks,
   enough AND coalesce(cv_edge > 0.8, false) AS high_frequency_anomaly, enough AND coalesce(uneven, false) AS compression_inconsistency,
   CASE WHEN NOT enough THEN 'consistent' WHEN ratio + bonus >= 0.45 THEN 'inconsistent' WHEN ratio + bonus >= 0.25 THEN 'suspicious' ELSE 'consistent' END AS status,
   CASE WHEN enough THEN ratio ELSE 0.0 END AS variance_ratio,
   CAST(CASE WHEN NOT enough THEN 0 WHEN ratio + bonus >= 0.45 THEN 20 WHEN ratio + bonus >= 0.25 THEN 10 ELSE 0 END AS INTEGER) AS penalty
 FROM (SELECT p.doc_id, p.outliers, p.enough, p.n, e.cv_edge, b.compression_inconsistency AS uneven, round_even(least(1.0, p.cv * 0.6 + coalesce(e.cv_edge, 0) * 0.4), 4) AS ratio,
   (CASE WHEN e.cv_edge > 0.8 THEN 0.15 ELSE 0.0 END)::DOUBLE + (CASE WHEN b.compression_inconsistency THEN 0.10 ELSE 0.0 END)::DOUBLE AS bonus
-  FROM profile p LEFT JOIN edge_cv e ON p.doc_id = e.doc_id LEFT JOIN blockiness b ON p.doc_id = b.doc_id) a"""
+  FROM profile p LEFT JOIN edge_cv e ON p.doc_id = e.doc_id LEFT JOIN blockiness b ON p.doc_id = b.doc_id) a) g"""
 VIEWS["distances"] = """
 SELECT a.doc_id, a.kp_id, b.kp_id AS other, CAST(list_sum(list_transform(range(1, 5), lambda w: bit_count(xor(a.bits[w], b.bits[w])))) AS INTEGER) AS d,
   sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS apart,
@@ -428,6 +434,7 @@ FROM (SELECT *, CASE WHEN total_penalty <= 5 THEN 'low' WHEN total_penalty <= 20
   (NOT verhoeff_valid)::INT + (qr_status = 'mismatch')::INT + (font_status = 'inconsistent')::INT + (layout_status = 'invalid')::INT AS checks_failed
   FROM (SELECT f.doc_id, coalesce({verhoeff_parts('f.aadhaar_number')['valid']}, false) AS verhoeff_valid,
     CASE WHEN f.aadhaar_number IS NULL THEN 'Aadhaar number not found in OCR' ELSE {verhoeff_parts('f.aadhaar_number')['reason']} END AS verhoeff_reason,
+    CAST(CASE WHEN f.aadhaar_number IS NULL THEN 15 ELSE {verhoeff_parts('f.aadhaar_number')['penalty']} END AS INTEGER) AS verhoeff_penalty,
     m.status AS qr_status, coalesce(o.status, 'consistent') AS font_status, l.status AS layout_status,
     CAST(greatest(-5, least(100, CASE WHEN f.aadhaar_number IS NULL THEN 15 ELSE {verhoeff_parts('f.aadhaar_number')['penalty']} END
       + m.penalty + coalesce(o.penalty, 0) + l.penalty)) AS INTEGER) AS total_penalty

@@ -113,7 +113,7 @@ SELECT doc_id, status, penalty, issues, 'Layout ' || status || ': ' || n || ' is
 _SQL["text_block_filter"] = "SELECT * FROM text_blocks"
 _SQL["dispersion_profile"] = ("SELECT doc_id, n, round_even(mean, 9) AS mean, round_even(sd, 9) AS sd, "
                               "round_even(cv, 9) AS cv, outliers, enough FROM profile")
-_FONT = "status, variance_ratio, penalty, outliers AS suspicious_blocks, total_text_blocks, high_frequency_anomaly, compression_inconsistency"
+_FONT = "status, variance_ratio, penalty, outliers AS suspicious_blocks, total_text_blocks, high_frequency_anomaly, compression_inconsistency, detail"
 _SQL["font_verdict"] = f"SELECT doc_id, {_FONT} FROM fonts"
 _SQL["blockiness_flag"] = "SELECT * FROM blockiness"
 _SQL["noise_uniformity"] = """
@@ -166,12 +166,17 @@ WITH RECURSIVE s AS (SELECT u.subject_id, f.doc_id, f.document_type, coalesce(f.
   WHERE f.document_type <> 'unknown' AND coalesce(f.name, f.surname, f.student_name, f.dob) IS NOT NULL),
 n AS (SELECT * FROM s WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY o, doc_id) = 1),
 d AS (SELECT * FROM s WHERE dob IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY o, doc_id) = 1),
-k AS (SELECT subject_id, count(DISTINCT {_key}) AS subject_names, count(DISTINCT {ev.digits('dob')}) AS subject_dates FROM s GROUP BY subject_id)
+k AS (SELECT subject_id, count(DISTINCT {_key}) AS subject_names, count(DISTINCT {ev.digits('dob')}) AS subject_dates FROM s GROUP BY subject_id),
+m AS (SELECT DISTINCT subject_id, {_key} AS name_key FROM s WHERE name IS NOT NULL),
+x AS (SELECT a.subject_id, a.name_key, count(*) FILTER (a.name_key <> b.name_key AND NOT {tv.token_match('a.name_key', 'b.name_key', 0.6)}) AS name_conflicts
+  FROM m a JOIN m b ON a.subject_id = b.subject_id GROUP BY ALL),
+xs AS (SELECT subject_id, CAST(sum(name_conflicts) // 2 AS BIGINT) AS subject_conflicts FROM x GROUP BY subject_id)
 SELECT s.subject_id, s.doc_id, s.document_type, n.doc_id AS name_anchor, d.doc_id AS dob_anchor,
   CASE WHEN s.name IS NOT NULL AND n.doc_id <> s.doc_id THEN {tv.token_match('n.name', 's.name', 0.6)} END AS name_agrees,
   CASE WHEN s.dob IS NOT NULL AND d.doc_id <> s.doc_id THEN {ev.digits('d.dob')} = {ev.digits('s.dob')} END AS dob_agrees,
-  k.subject_names, k.subject_dates
-FROM s JOIN k ON s.subject_id = k.subject_id LEFT JOIN n ON s.subject_id = n.subject_id LEFT JOIN d ON s.subject_id = d.subject_id"""
+  k.subject_names, k.subject_dates, x.name_conflicts, coalesce(xs.subject_conflicts, 0) AS subject_conflicts
+FROM s JOIN k ON s.subject_id = k.subject_id LEFT JOIN xs ON s.subject_id = xs.subject_id
+LEFT JOIN x ON s.subject_id = x.subject_id AND x.name_key = {_key.replace('name', 's.name')} LEFT JOIN n ON s.subject_id = n.subject_id LEFT JOIN d ON s.subject_id = d.subject_id"""
 
 _before = ",".join(STAGES[:STAGES.index(CARD_STAGE)])
 _after = ",".join(STAGES[STAGES.index(CARD_STAGE) + 1:])
@@ -185,27 +190,37 @@ _FIELDS = ", ".join(f"f.{n}" for n in (
     "passport_number", "expiry_date", "mrz_line1", "mrz_line2", "email", "phone", "student_name", "institution", "year",
     "roll_number", "percentage", "raw_text")) + ", CAST(NULL AS VARCHAR) AS given_names, CAST(NULL AS VARCHAR) AS degree, " + _LISTS
 _SCORES = ", ".join(f"t.score_{t}, t.hits_{t}" for t in DOC_TYPES)
+_TYPE_SCORES = "SELECT doc_id, " + ", ".join(
+    f"max(CASE WHEN type_ord = {i} THEN share END) AS score_{t}, max(CASE WHEN type_ord = {i} THEN signals END) AS hits_{t}"
+    for i, t in enumerate(DOC_TYPES)) + " FROM type_scores GROUP BY doc_id"
 _SQL["extract_documents"] = f"""
 SELECT c.doc_id, c.document_type, c.type_confidence, c.is_ambiguous, d.confidence, d.page_count, {_FIELDS}, {_SCORES}
 FROM classified c JOIN fields f ON c.doc_id = f.doc_id JOIN docs_rounded d ON c.doc_id = d.doc_id
-JOIN (SELECT doc_id, """ + ", ".join(
-    f"max(CASE WHEN type_ord = {i} THEN share END) AS score_{t}, max(CASE WHEN type_ord = {i} THEN signals END) AS hits_{t}"
-    for i, t in enumerate(DOC_TYPES)) + " FROM type_scores GROUP BY doc_id) t ON c.doc_id = t.doc_id"
+JOIN ({_TYPE_SCORES}) t ON c.doc_id = t.doc_id"""
 _card = lambda table, name, columns: ", ".join(f"{table}.{c} AS {name}_{c}" for c in columns)
-_font = ("CASE WHEN c.document_type = 'aadhaar' THEN coalesce(o.{0}, {1}) END AS font_{2}")
+_font = "CASE WHEN c.document_type = 'aadhaar' THEN coalesce(o.{0}, {1}) END AS font_{2}"
+_sorted = lambda x, by: f"array_to_string(list_sort(string_split({x}, '{by}')), '{by}')"
 _WHOLE = f"""
-SELECT v.*, {_FIELDS}, {_card('r', 'reply', ('vlm_confidence', 'overall_assessment', 'layout_authenticity', 'font_consistency', 'visible_tampering', 'seal_signature_present', 'reasoning'))},
+SELECT v.doc_id, v.document_type, v.ela, v.metadata, v.blur, v.duplicate_regions, v.layout_validation, v.qr_validation, v.ai_artifacts, v.ela_score, v.blur_score,
+  v.risk_score, v.status, d.confidence, d.page_count, v.type_confidence, c.is_ambiguous, {_SCORES}, {_FIELDS}, v.reply_available,
+  coalesce(z.document_type_confirmed, 'unknown') AS reply_document_type_confirmed, '' AS reply_field_validation,
+  {_card('r', 'reply', ('vlm_confidence', 'overall_assessment', 'layout_authenticity', 'font_consistency', 'visible_tampering', 'seal_signature_present', 'reasoning'))},
   r.delta AS reply_suggested_risk_adjustment, r.signals AS reply_signals, r.inconsistencies AS reply_inconsistencies, k.checks,
-  {_card('a', 'card', ('verhoeff_valid', 'verhoeff_reason', 'risk_level', 'checks_passed', 'checks_failed', 'summary'))},
+  p.passed AS validation_passed, p.failed AS validation_failed, v.critical_failures, v.validation_score, v.validation_summary,
+  a.verhoeff_valid, a.verhoeff_reason, a.verhoeff_penalty, a.total_penalty AS total_aadhaar_penalty, a.risk_level AS aadhaar_risk_level,
+  a.checks_passed, a.checks_failed, a.summary AS card_summary,
+  m.qr_type, CASE WHEN m.doc_id IS NOT NULL THEN coalesce(replace(m.fields_found, ',', '; '), '') END AS qr_fields_found, m.status AS qr_cross_validation_status,
+  {_sorted('m.matches', ',')} AS qr_matches, m.mismatches AS qr_mismatches, m.penalty AS qr_penalty, m.summary AS qr_summary,
   {', '.join(_font.format(*x) for x in (('status', "'consistent'", 'status'), ('variance_ratio', '0.0', 'variance_ratio'), ('penalty', '0', 'penalty'),
-    ('outliers', '0', 'suspicious_blocks'), ('total_text_blocks', '0', 'total_text_blocks'), ('high_frequency_anomaly', 'false', 'high_frequency_anomaly'),
-    ('compression_inconsistency', 'false', 'compression_inconsistency')))},
-  {_card('m', 'match', ('status', 'penalty', 'summary'))}, l.status AS card_layout_status, l.penalty AS card_layout_penalty,
-  'Layout ' || l.status || ': ' || l.n || ' issue(s), penalty=' || l.points || '. ' || CASE WHEN l.issues = '' THEN 'All checks passed.' ELSE l.issues END AS card_layout_detail,
+    ('outliers', '0', 'suspicious_blocks'), ('high_frequency_anomaly', 'false', 'high_frequency_anomaly'),
+    ('compression_inconsistency', 'false', 'compression_inconsistency'), ('detail', "'Insufficient text blocks for analysis'", 'detail')))},
+  l.status AS layout_status, l.issues AS layout_issues, l.penalty AS layout_penalty,
+  'Layout ' || l.status || ': ' || l.n || ' issue(s), penalty=' || l.points || '. ' || CASE WHEN l.issues = '' THEN 'All checks passed.' ELSE l.issues END AS layout_detail,
   CASE WHEN f.name IS NULL AND m.status IN ('verified', 'partial_match') THEN m.q_name END AS filled_name,
-  CASE WHEN f.dob IS NULL AND m.status IN ('verified', 'partial_match') THEN m.q_dob END AS filled_dob, {_STAGES}
-FROM verdicts v JOIN classified c ON v.doc_id = c.doc_id JOIN fields f ON v.doc_id = f.doc_id
-JOIN ({_SQL['attach_model_reply']}) r ON v.doc_id = r.doc_id
+  CASE WHEN f.dob IS NULL AND m.status IN ('verified', 'partial_match') THEN m.q_dob END AS filled_dob, {_STAGES}, v.base_score, v.quarantine_reason
+FROM verdicts v JOIN classified c ON v.doc_id = c.doc_id JOIN fields f ON v.doc_id = f.doc_id JOIN docs_rounded d ON v.doc_id = d.doc_id
+JOIN ({_TYPE_SCORES}) t ON v.doc_id = t.doc_id
+JOIN ({_SQL['attach_model_reply']}) r ON v.doc_id = r.doc_id LEFT JOIN reply_used z ON v.doc_id = z.doc_id JOIN final_report p ON v.doc_id = p.doc_id
 LEFT JOIN (SELECT doc_id, string_agg(field_name || '|' || CAST(passed AS VARCHAR) || '|' || severity || '|' || message, ' ; ' ORDER BY seq) AS checks
   FROM final_checks GROUP BY doc_id) k ON v.doc_id = k.doc_id
 LEFT JOIN cards a ON v.doc_id = a.doc_id LEFT JOIN fonts o ON v.doc_id = o.doc_id LEFT JOIN card_match m ON v.doc_id = m.doc_id
@@ -213,8 +228,7 @@ LEFT JOIN card_layouts l ON v.doc_id = l.doc_id"""
 _SQL["verify_documents"] = _WHOLE
 _SQL["analyze_documents"] = f"SELECT w.*, s.human_summary FROM ({_WHOLE}) w JOIN summaries s ON w.doc_id = s.doc_id"
 _SQL["human_summary"] = "SELECT doc_id, human_summary FROM summaries"
-_NUMBERS = ("type_confidence", "ela_score", "blur_score", "validation_score", "reply_vlm_confidence", "font_variance_ratio")
-_SQL["verdict_json"] = f"SELECT doc_id, CAST(COLUMNS(* EXCLUDE (doc_id, {', '.join(_NUMBERS)})) AS VARCHAR) FROM ({_WHOLE}) w"
+_SQL["verdict_json"] = f"SELECT * EXCLUDE (base_score, quarantine_reason) FROM ({_WHOLE}) w"
 _SQL["risk_by_type"] = """
 SELECT document_type, count(*) AS documents, round_even(avg(risk_score), 4) AS mean_risk,
   count(*) FILTER (status = 'Likely Genuine') AS genuine, count(*) FILTER (status = 'Suspicious') AS suspicious,

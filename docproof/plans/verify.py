@@ -11,7 +11,7 @@ from ..operators.layout import card_layout_score, layout_verdict
 from ..operators.qr import compare, correct_from_qr, quick_verdict
 from ..operators.report import audit_stages, human_summary
 from ..operators.risk import base_score, card_verification, final_risk
-from ..operators.stats import font_consistency
+from ..operators.stats import TOO_FEW_BLOCKS, font_consistency
 from ..schemas import ID_CARD
 from .extract import extract_documents
 
@@ -35,7 +35,7 @@ def _default_font() -> Column:
     return F.struct(F.lit("consistent").alias("status"), F.lit(0.0).alias("variance_ratio"),
                     F.lit(0).alias("penalty"), F.lit(0).cast("bigint").alias("suspicious_blocks"),
                     F.lit(0).cast("bigint").alias("total_text_blocks"), F.lit(False).alias("high_frequency_anomaly"),
-                    F.lit(False).alias("compression_inconsistency"))
+                    F.lit(False).alias("compression_inconsistency"), F.lit(TOO_FEW_BLOCKS).alias("detail"))
 
 
 def card_evidence(df: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +191,33 @@ def test_cross_check_has_an_anchor_per_field(spark):
     assert (got[99].name_agrees, got[99].dob_agrees, got[99].dob_anchor, got[99].subject_dates) == (None, None, None, 0)
 
 
+def plainly_agree(a, b):
+    x, y = set(a.lower().split()), set(b.lower().split())
+    return bool(x and y) and (len(x & y) / len(x | y) >= 0.6 or x <= y or y <= x)
+
+
+def test_all_pairs_of_names_are_judged(spark):
+    """Two names that agree with the anchor but not with each other; a subject with nine tenths of the rows; blank names."""
+    given, middle, family = "Ravi Asha Bo Devi Omar".split(), "Kumar Lal Nath Rani".split(), "Sharma Das Rao Ghosh Iyer Sen".split()
+    rng = random.Random(14)
+    rows = [(1, 1, "Ravi Kumar Sharma"), (2, 1, "Ravi Sharma"), (3, 1, "kumar  SHARMA"), (4, 2, "Asha Rao"), (5, 2, "Rao Asha"), (6, 3, None), (7, 4, ""), (8, 4, "X Y")]
+    for i in range(10, 400):
+        parts = [rng.choice(given), *rng.sample(middle, rng.randrange(3)), rng.choice(family)]
+        rng.shuffle(parts)
+        rows.append((i, 9, " ".join(parts + ["Jr"] * rng.randrange(2))))
+    df = spark.createDataFrame([(i, s, "pan", n, "01/01/1990") for i, s, n in rows], "doc_id int, subject_id int, document_type string, name string, dob string")
+    got = {r.doc_id: r for r in cross_document_check(df).collect()}
+    assert len(got) == len(rows)
+    assert [got[i].name_agrees for i in (1, 2, 3)] == [None, True, True]
+    assert [got[i].name_conflicts for i in (1, 2, 3)] == [0, 1, 1] and got[1].subject_conflicts == 1
+    assert (got[4].name_conflicts, got[4].subject_names, got[6].name_conflicts, got[6].subject_conflicts) == (0, 1, None, 0)
+    assert (got[7].name_conflicts, got[8].name_conflicts) == (1, 1)
+    different = {frozenset(n.lower().split()): n for _, s, n in rows if s == 9}
+    conflicts = {k: sum(not plainly_agree(n, m) for j, m in different.items() if j != k) for k, n in different.items()}
+    assert all(got[i].name_conflicts == conflicts[frozenset(n.lower().split())] for i, s, n in rows if s == 9)
+    assert {got[i].subject_conflicts for i, s, _ in rows if s == 9} == {sum(conflicts.values()) // 2}
+
+
 def test_files(spark, tmp_path):
     contents = {"a.PDF": b"%PDF-1.7 x", "b.jpg": b"\xff\xd8\xff\xe0", "c.png": b"\x89PNG\r\n\x1a\n", "d.tif": b"MM\x00*", "e": b"RIFF1234WEBPVP8",
                 "f.pdf": b"GIF89a", "g.txt": b"plain", "h.bin": b"\x00\x01", "i.pdf": b"%PDF-" + b"x" * 100}

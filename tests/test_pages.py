@@ -1,11 +1,12 @@
 """Operators on boxes, blocks and key points against brute force in plain Python."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from docproof.operators import copymove, ocr, stats
+from docproof.operators import copymove, ocr, similar, stats
 
 TOKENS = "doc_id long, page_no int, line int, word int, text string, confidence double, x0 int, y0 int, x1 int, y1 int"
 
@@ -36,6 +37,23 @@ def test_assign_lines_equals_the_walk(spark):
         assert {(r.line, r.word): r.line_no for r in got if (r.doc_id, r.page_no) == key} == want
 
 
+def test_a_page_of_many_rows_is_walked_in_linear_time(spark):
+    """50,000 distinct y without a gap wider than the band: one island, and a second page with a gap after every third y."""
+    rng, y, pages = random.Random(4), 0, []
+    for i in range(50_000):
+        y += rng.choice([1, 2, 3, 5, 9, 12])
+        pages.append((1, 1, i, 0, "w", 0.5, 0, y, 9, 9))
+    pages += [(1, 2, i, 0, "w", 0.5, 0, 20 * (i // 3) + i % 3, 9, 9) for i in range(3000)]
+    tokens = spark.createDataFrame(pages, TOKENS)
+    start = time.time()
+    got = ocr.assign_lines(tokens).select("page_no", "line", "line_no").collect()
+    taken = time.time() - start
+    for page in (1, 2):
+        want = walk([t for t in pages if t[1] == page])
+        assert {(r.line, 0): r.line_no for r in got if r.page_no == page} == want
+    assert taken < 60
+
+
 def test_merge_tokens(spark):
     rows = [(1, 1, 0, 1, "b", 0.5, 10, 2, 20, 9), (1, 1, 0, 0, "a", 1.0, 0, 2, 8, 12), (1, 1, 0, 2, "c", 0.3, 30, 0, 40, 8)]
     r = ocr.merge_tokens(spark.createDataFrame(rows, TOKENS).withColumn("line_no", F.lit(1))).first()
@@ -83,9 +101,14 @@ def random_lines(rng, pages, base):
 LINES = "doc_id long, page_no int, ord int, text string, confidence double"
 
 
-@pytest.mark.parametrize("small_page", [256, 0])
-def test_fusing_equals_brute_force_on_either_path(spark, monkeypatch, small_page):
-    monkeypatch.setattr(ocr.similar_texts, "__defaults__", (ocr.MIN_SIMILARITY, small_page))
+@pytest.mark.parametrize("small", [False, True])
+def test_fusing_equals_brute_force(spark, monkeypatch, small):
+    """Once as it is, once with waves, walks and common trigrams so small that pages of 24 lines go through all of them."""
+    if small:
+        monkeypatch.setattr(similar, "COMMON", 3)
+        monkeypatch.setattr(similar, "FIRST_WAVE", 2)
+        monkeypatch.setattr(similar, "WAVE_GROWTH", 3)
+        monkeypatch.setattr(ocr, "WALK", 2)
     rng = random.Random(5)
     base = ["permanent account number card", "permanent account numbers", "name of the holder here", "Total Marks five hundred", "abcdef"]
     first, second = random_lines(rng, 6, base), random_lines(rng, 6, base)
@@ -109,6 +132,52 @@ def test_fusing_equals_brute_force_on_either_path(spark, monkeypatch, small_page
     assert sorted(got) == sorted(k for k in kept if k[4] >= 0.3 and k[3])
 
 
+def jobs_of(spark, run):
+    """What run() returns, and how many jobs it started."""
+    tracker, group = spark.sparkContext.statusTracker(), f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def letters(seed, n):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def test_a_page_of_near_equal_lines(spark):
+    """5,000 lines of one page, each other alike: the first sure one wins for each, and one second line at most is left."""
+    base = letters(1, 200)
+    near = lambda i, extra: f"{base[:40]}{extra}{i:05d}{base[40:]}"
+    first = [(1, 1, i, near(i, "p"), 0.5) for i in range(5000)]
+    second = [(1, 1, i, near(i, "s"), 0.4 if i < 7 else 0.9) for i in range(5000)]
+    fused = ocr.fuse_ocr(spark.createDataFrame(first, LINES), spark.createDataFrame(second, LINES)).collect()
+    assert len(fused) == 5000 and {r.text for r in fused} == {near(7, "s")}
+    other = [(1, 1, 0, letters(2, 60), 0.5)]
+    (got, jobs) = jobs_of(spark, lambda: ocr.secondary_only_lines(
+        spark.createDataFrame(other, LINES).withColumn("engine", F.lit("primary")), spark.createDataFrame(second, LINES)).collect())
+    assert {(r.ord, r.engine) for r in got} == {(0, "primary"), (0, "secondary_only")}
+    assert jobs < 150
+
+
+def test_a_chain_of_near_twins_and_a_page_of_unlike_lines(spark, monkeypatch):
+    """Each line of the chain is like its neighbours only, so every other one stays; 3,000 unlike lines all stay."""
+    tape = letters(3, 4000)
+    chain = [(1, 1, i, tape[10 * i:10 * i + 100], 0.9) for i in range(200)]
+    assert alike(chain[0][3], chain[1][3]) and not alike(chain[0][3], chain[2][3])
+    unlike = [(1, 2, i, letters(1000 + i, 40), 0.9) for i in range(3000)]
+    none = spark.createDataFrame([], LINES).withColumn("engine", F.lit("primary"))
+    got, jobs = jobs_of(spark, lambda: ocr.secondary_only_lines(none, spark.createDataFrame(chain + unlike, LINES)).collect())
+    assert sorted(r.ord for r in got if r.page_no == 1) == list(range(0, 200, 2))
+    assert len([r for r in got if r.page_no == 2]) == 3000
+    assert jobs < 250
+    monkeypatch.setattr(ocr, "WALK", 50)  # the chain then takes several rounds
+    got = ocr.secondary_only_lines(none, spark.createDataFrame(chain, LINES)).collect()
+    assert sorted(r.ord for r in got) == list(range(0, 200, 2))
+
+
 def test_label_regions_last_box_wins(spark):
     rows = [(1, 1, 0, "Name: A", 0.5), (1, 1, 1, "Roll name year", 0.5), (1, 2, 0, "NAME: B", 0.6), (1, 1, 2, "other", 0.5), (2, 1, 0, "Year", 0.1)]
     got = {(r.doc_id, r.region): r.text for r in ocr.label_regions(spark.createDataFrame(rows, LINES)).collect()}
