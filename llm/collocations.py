@@ -6,8 +6,8 @@ one Misra-Gries summary of more counters than mass / ``LEAST``: when it overflow
 is taken off all. At most mass / (counters + 1) < LEAST is taken off any n-gram in all, so each that occurs LEAST times
 survives. A survivor whose count cannot have reached LEAST goes. Summaries merge in any order and hold a bounded number of
 counters, whatever the number of distinct n-grams. Second pass: each bucket learns which of its n-grams survive and writes those out
-as phrases with their counts, one row of lists for each hash partition; there they are added up exactly by the phrase itself, so hashes
-never decide a count.
+as phrases with their counts, one packed row for each language and hash partition; there they are added up exactly by the phrase itself, so
+hashes never decide a count.
 
 Words are cut out as the contract of ``phrases`` says; counts are per language. Exact arithmetic of scores is done in decimals of 38 digits.
 
@@ -24,6 +24,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,7 +45,7 @@ BETWEEN[[0x20, 0x09]] = True
 
 ASK = "segment int, bucket int, kind int, mass long, grams binary, times binary"
 TELL = "bucket int, segment int, kept binary"
-FOUND = "part int, lang array<string>, words array<int>, phrase array<string>, n array<long>"
+FOUND = "part int, lang string, phrases binary, times binary"
 
 
 class Pieces:
@@ -150,8 +151,8 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     of 0 words with the number of all its words."""
     n_bytes = text_bytes(docs)
     rows, n_buckets = dealt(docs, n_bytes)
-    # Six bits more than n-grams need: a rare n-gram seldom shares a frequent one's bits, and if so, the exact count drops it.
-    bits = min(64, max(16, math.ceil(math.log2(max(2, n_bytes)))) + 6)
+    # 16 values or more for each byte of text: a rare n-gram seldom shares a frequent one's bits, and if so, the exact count drops it.
+    bits = min(64, max(16, math.ceil(math.log2(max(2, n_bytes)))) + 4)
     n_segments = power_of_two(max(1, n_buckets // SEGMENT_BUCKETS))
 
     def ask(group: pa.Table) -> pa.Table:
@@ -192,11 +193,11 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
         flags = [np.unpackbits(np.frombuffer(told[s], np.uint8), count=b - a)
                  for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         kept = found[np.concatenate(flags) > 0] if flags else found[:0]
-        out: dict[tuple, int] = {}
+        out: dict[str, dict[bytes, int]] = {lang: {} for lang in group.column("lang").unique().to_pylist()}
         for rows in parts(group):
             pieces, langs = Pieces(rows), rows.column("lang").to_pylist()
             for lang, n in zip(langs, np.bincount(pieces.row, minlength=rows.num_rows).tolist(), strict=True):
-                out[lang, 0, b""] = out.get((lang, 0, b""), 0) + n
+                out[lang][b""] = out[lang].get(b"", 0) + n
             for n in range(1, LONGEST + 1) if len(kept) else ():
                 at, keys = pieces.grams(n)
                 place = np.minimum(np.searchsorted(kept, keys >> np.uint64(64 - bits)), len(kept) - 1)
@@ -210,8 +211,8 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 counts = np.diff(np.append(first, len(at)))
                 at = at[first]
                 for lang, a, b, c in zip(pieces.row[at].tolist(), pieces.start[at].tolist(), pieces.end[at + n - 1].tolist(), counts.tolist(), strict=True):
-                    key = (langs[lang], n, pieces.text[a:b])
-                    out[key] = out.get(key, 0) + c
+                    own, phrase = out[langs[lang]], pieces.text[a:b]
+                    own[phrase] = own.get(phrase, 0) + c
         return by_part(out, n_segments)
 
     asked = rows.groupBy("bucket").applyInArrow(ask, ASK)
@@ -221,28 +222,33 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def total(group: pa.Table) -> pa.Table:
         return add_up(group, least)
 
-    return found.groupBy("part").applyInArrow(total, "lang string, words int, phrase string, n long")
+    return found.groupBy("part", "lang").applyInArrow(total, "lang string, words int, phrase string, n long")
 
 
-COLUMNS = (("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()))
-EMPTY = pa.table({"part": pa.array([], pa.int32()), **{name: pa.array([], pa.list_(kind)) for name, kind in COLUMNS}})
+EMPTY = pa.table({"part": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "phrases": pa.array([], pa.binary()), "times": pa.array([], pa.binary())})
 
 
-def by_part(counts: dict[tuple, int], n_parts: int) -> pa.Table:
-    """{(lang, words, phrase): n} as a row of lists for each part that a phrase's hash names."""
-    split: dict[int, list[tuple]] = {}
-    for (lang, words, phrase), n in counts.items():
-        split.setdefault(zlib.crc32(phrase) % n_parts, []).append((lang, words, phrase.decode(), n))
-    lists = [list(zip(*rows, strict=True)) for rows in split.values()]
-    return pa.table({"part": pa.array(list(split), pa.int32()), **{
-        name: pa.array([list(x[k]) for x in lists], pa.list_(kind)) for k, (name, kind) in enumerate(COLUMNS)}})
+def by_part(counts: dict[str, dict[bytes, int]], n_parts: int) -> pa.Table:
+    """{lang: {phrase: n}} as a packed row for each language and part that a phrase's hash names. The empty phrase stands for all words."""
+    out = []
+    for lang, own in counts.items():
+        split: dict[int, list[bytes]] = {}
+        for phrase in sorted(own):
+            split.setdefault(zlib.crc32(phrase) % n_parts, []).append(phrase)
+        out += [(part, lang, zstandard.ZstdCompressor(level=1).compress(b"\n".join(phrases)), pack(np.array([own[x] for x in phrases])))
+                for part, phrases in split.items()]
+    return pa.table({f.name: pa.array([x[k] for x in out], f.type) for k, f in enumerate(EMPTY.schema)})
 
 
 def add_up(group: pa.Table, least: int) -> pa.Table:
     """The exact sums of a part's phrases that reach ``least``, and of the numbers of words."""
-    rows = pa.table({name: pa.chunked_array([x.flatten() for x in group.column(name).chunks], kind) for name, kind in COLUMNS})
-    sums = rows.group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "words", "phrase", "n"])
-    return sums.filter(pc.or_(pc.greater_equal(sums.column("n"), least), pc.equal(sums.column("words"), 0)))
+    phrases = [pa.array(zstandard.ZstdDecompressor().decompress(x).split(b"\n"), pa.binary()).cast(pa.string()) for x in group.column("phrases").to_pylist()]
+    times = [pa.array(unpack(x).astype(np.int64)) for x in group.column("times").to_pylist()]
+    sums = pa.table({"phrase": pa.chunked_array(phrases), "n": pa.chunked_array(times)}).group_by("phrase").aggregate([("n", "sum")])
+    phrase, n = sums.column("phrase"), sums.column("n_sum")
+    words = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+    found = pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(sums), pa.string()), "words": words, "phrase": phrase, "n": n})
+    return found.filter(pc.or_(pc.greater_equal(n, least), pc.equal(words, 0)))
 
 
 def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
