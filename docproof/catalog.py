@@ -105,6 +105,54 @@ def stream_extract(spark, sf):
     return extract_columns(spark.read.parquet(out))
 
 
+ARRIVALS_FROM = datetime.datetime(2025, 1, 1, tzinfo=datetime.timezone.utc)
+
+
+def after(seconds):
+    """The first arrival and so many seconds."""
+    return F.timestamp_seconds(F.lit(int(ARRIVALS_FROM.timestamp())) + seconds)
+
+
+def arriving(df, path, seconds, last, mark=-1):
+    """df with its times of arrival, stored, and a last row (doc_id ``mark``) that moves the watermark past all of them; read as a stream."""
+    timed = df.withColumn("arrived", after(seconds))
+    timed.write.parquet(path)
+    end = df.sparkSession.range(1).select(*[F.lit(mark).cast("bigint").alias("doc_id") if f.name == "doc_id" else after(F.lit(last)).alias("arrived")
+                                            if f.name == "arrived" else F.lit(None).cast(f.dataType).alias(f.name) for f in timed.schema.fields])
+    end.write.mode("append").parquet(path)
+    return intake.read_arrivals(df.sparkSession, path, timed.schema)
+
+
+@query
+def stream_verify_awaiting(spark, sf):
+    """Documents, QR contents and replies as three streams, the evidence 20 to 30 minutes behind its document: every document waits
+    for its evidence or the end of the time allowed, so rows equal those of the batch plan."""
+    minutes = lambda low, spread: 60 * low + F.pmod(F.col("doc_id"), F.lit(60 * spread))
+    stream = lambda name, df, seconds, mark: arriving(df, scratch_path(spark, name), seconds, 36_000, mark)
+    docs = stream("arrivals", ocr.pages_to_document(fixture(spark, sf, "page_lines")), minutes(0, 30), -1)
+    awaited = {"qr": stream("qr", fixture(spark, sf, "qr"), minutes(20, 30), -2),
+               "reply": stream("replies", replies(spark, sf), minutes(30, 30), -3)}
+    tables = {n: fixture(spark, sf, n) for n in ("signals", "blocks", "tiles", "descriptors")}
+
+    def verify(batch, own):
+        return verdict_columns(plan.verify_documents(
+            batch, own["signals"], own["qr"], own["reply"], own["blocks"], own["tiles"], own["descriptors"], F.lit(AS_OF)))
+
+    out = scratch_path(spark, "streamed")
+    intake.stream_verify_awaiting(docs, awaited, tables, out, scratch_path(spark, "marks"), verify).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query
+def stream_level_counts(spark, sf):
+    """Levels of the verified documents counted by the hour of their arrival, over a day."""
+    verdicts = verified(spark, sf).select("doc_id", "document_type", "ela_score", *risk.SIGNALS)
+    stream = arriving(verdicts, scratch_path(spark, "verdicts"), F.pmod(F.col("doc_id") * 97, F.lit(86_400)), 3 * 86_400)
+    out = scratch_path(spark, "counts")
+    intake.stream_level_counts(stream, out, scratch_path(spark, "marks")).awaitTermination()
+    return spark.read.parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
 # --- text and classification ---------------------------------------------------------------
 
 @query

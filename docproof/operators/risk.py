@@ -38,9 +38,9 @@ def clamp(c: Column, low: int = 0, high: int = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
-def signals_long(df: DataFrame) -> DataFrame:
-    """Unpivot the seven verdict columns to (doc_id, document_type, ela_score, signal, value)."""
-    return df.unpivot(["doc_id", "document_type", "ela_score"], SIGNALS, "signal", "value")
+def signals_long(df: DataFrame, *keep: str) -> DataFrame:
+    """Unpivot the seven verdict columns to (doc_id, document_type, ela_score, keep..., signal, value)."""
+    return df.unpivot(["doc_id", "document_type", "ela_score", *keep], SIGNALS, "signal", "value")
 
 
 def penalty_lookup(long: DataFrame, points: dict = POINTS) -> DataFrame:
@@ -55,11 +55,11 @@ def penalty_lookup(long: DataFrame, points: dict = POINTS) -> DataFrame:
         "points", F.when(counts, F.coalesce("_p", F.lit(0))).otherwise(0)).drop("_p")
 
 
-def signal_levels(df: DataFrame) -> DataFrame:
-    """(doc_id, signal, value, level) for monitoring counts; an unlisted value has level none."""
+def signal_levels(df: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, keep..., signal, value, level) for monitoring counts; an unlisted value has level none."""
     dim = df.sparkSession.createDataFrame(list(LEVELS.items()), "value string, level string")
-    return signals_long(df).join(F.broadcast(dim), "value", "left").select(
-        "doc_id", "signal", "value", F.coalesce("level", F.lit("none")).alias("level"))
+    return signals_long(df, *keep).join(F.broadcast(dim), "value", "left").select(
+        "doc_id", *keep, "signal", "value", F.coalesce("level", F.lit("none")).alias("level"))
 
 
 def ela_share(ela_score: Column) -> Column:

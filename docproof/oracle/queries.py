@@ -153,6 +153,9 @@ _long = " UNION ALL ".join(
 _SQL["penalty_lookup"] = _long
 _level = "CASE value " + " ".join(f"WHEN '{v}' THEN '{l}'" for v, l in LEVELS.items()) + " ELSE 'none' END"
 _SQL["signal_levels"] = f"SELECT doc_id, signal, value, {_level} AS level FROM ({_long}) l"
+_SQL["stream_level_counts"] = f"""
+SELECT strftime(TIMESTAMP '2025-01-01' + to_hours((doc_id * 97) % 86400 // 3600), '%Y-%m-%d %H:%M') AS start, signal, level, count(*) AS n
+FROM (SELECT doc_id, signal, {_level} AS level FROM ({_long}) l) x GROUP BY ALL"""
 _SQL["base_risk"] = "SELECT doc_id, base_score FROM base_scores"
 _SQL["card_verification"] = ("SELECT doc_id, verhoeff_valid, verhoeff_reason, total_penalty, risk_level, "
                              "checks_passed, checks_failed, summary FROM cards")
@@ -235,7 +238,7 @@ SELECT document_type, count(*) AS documents, round_even(avg(risk_score), 4) AS m
   count(*) FILTER (status = 'Likely Fake / Tampered') AS fake FROM verdicts GROUP BY document_type"""
 
 _SQL["sink_extracted"] = _SQL["stream_extract"] = _SQL["extract_documents"]
-_SQL["sink_verdicts"] = _SQL["stream_verify"] = _WHOLE
+_SQL["sink_verdicts"] = _SQL["stream_verify"] = _SQL["stream_verify_awaiting"] = _WHOLE
 _mime = """CASE doc % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/tiff'
   WHEN 4 THEN 'image/webp' WHEN 5 THEN 'image/gif' ELSE 'text/plain' END"""
 _SQL["validate_files"] = f"""

@@ -1,13 +1,19 @@
 """Documents arriving as files, verified in micro-batches by the batch plan itself."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
+from ..operators.risk import signal_levels
 from ..plans.extract import extract_documents
 from ..schemas import DOCS
 
 
+def read_arrivals(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def read_documents(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    return (spark.readStream.schema(DOCS).option("maxFilesPerTrigger", files_per_batch).parquet(path))
+    return read_arrivals(spark, path, DOCS, files_per_batch)
 
 
 def stream_extract(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_dir: str):
@@ -43,3 +49,64 @@ def stream_verify(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_dir
         .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True).start())
+
+
+#: How long a document waits for its evidence, and by how much rows may come out of order.
+WAIT, DELAY = "1 hour", "10 minutes"
+
+
+def await_evidence(docs: DataFrame, evidence: dict[str, DataFrame], wait: str = WAIT, delay: str = DELAY) -> DataFrame:
+    """Streams docs(doc_id, arrived, ...) and evidence(doc_id, arrived, ...) -> docs and a struct per kind of evidence.
+
+    A document is held in state until every kind has come, or until the watermark says that none within ``wait`` of its
+    arrival can come any more; what is missing then is NULL. Of several rows of a kind for a document the first counts. Rows behind the
+    watermark, which follows the slowest stream by ``delay``, are dropped: evidence that late changes no verdict, and a document that late is
+    not verified. State is bounded by what arrives within wait + delay.
+    """
+    out = docs.withWatermark("arrived", delay)
+    for name, table in evidence.items():
+        own = [c for c in table.columns if c not in ("doc_id", "arrived")]
+        held = table.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["doc_id"]).select(
+            F.col("doc_id").alias(f"_{name}_id"), F.col("arrived").alias(f"_{name}_at"), F.struct(*own).alias(name))
+        out = out.join(held, F.expr(
+            f"doc_id = _{name}_id AND _{name}_at BETWEEN arrived - INTERVAL {wait} AND arrived + INTERVAL {wait}"), "leftOuter")
+    return out.drop(*[f"_{name}_{c}" for name in evidence for c in ("id", "at")])
+
+
+def stream_verify_awaiting(docs: DataFrame, awaited: dict[str, DataFrame], at_hand: dict[str, DataFrame], out_dir: str,
+                           checkpoint_dir: str, verify, wait: str = WAIT, delay: str = DELAY):
+    """Run ``verify(batch, {name: evidence}) -> DataFrame`` once for each document, when its awaited evidence is there or overdue.
+
+    ``awaited`` are streams, ``at_hand`` tables; verify gets the rows of both that belong to the batch. Each batch overwrites its own folder.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            if batch.isEmpty():  # nothing is due yet
+                return
+            ids = batch.select("doc_id").distinct()
+            own = {name: batch.where(F.col(name).isNotNull()).select("doc_id", f"{name}.*") for name in awaited}
+            own |= {name: table.join(ids, "doc_id", "left_semi") for name, table in at_hand.items()}
+            verify(batch.drop("arrived", *awaited), own).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return (
+        await_evidence(docs, awaited, wait, delay).writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+
+
+def count_levels(verdicts: DataFrame, window: str = "1 hour", delay: str = DELAY) -> DataFrame:
+    """A stream of verified documents(arrived, ...) -> (start, signal, level, n): how often each level was raised in each window of time.
+
+    A window comes out once, when the watermark has passed its end; rows of documents behind the watermark are not counted.
+    """
+    levels = signal_levels(verdicts.withWatermark("arrived", delay), "arrived")
+    return levels.groupBy(F.window("arrived", window), "signal", "level").agg(F.count("*").alias("n")).select(
+        F.col("window.start").alias("start"), "signal", "level", "n")
+
+
+def stream_level_counts(verdicts: DataFrame, out_dir: str, checkpoint_dir: str, window: str = "1 hour", delay: str = DELAY):
+    return (
+        count_levels(verdicts, window, delay).writeStream.format("parquet").outputMode("append")
+        .option("path", out_dir).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
