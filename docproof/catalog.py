@@ -493,12 +493,12 @@ def top_blocks(spark, sf):
 
 @query
 def copy_move_pairs(spark, sf):
-    return copymove.copy_move_pairs(fixture(spark, sf, "descriptors"))
+    return copymove.copy_move_pairs(checkpoint(fixture(spark, sf, "descriptors")))
 
 
 @query
 def copy_move_verdict(spark, sf):
-    return copymove.copy_move_verdict(fixture(spark, sf, "descriptors"), min_pairs=1)
+    return copymove.copy_move_verdict(checkpoint(fixture(spark, sf, "descriptors")), min_pairs=1)
 
 
 # --- OCR boxes -----------------------------------------------------------------------------

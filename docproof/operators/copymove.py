@@ -5,6 +5,8 @@ A descriptor of 256 bits (32 bytes) is an array of four BIGINT words.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
+
 # --- fixed values ------------------------------------------------------------------------
 MAX_HAMMING = 40
 MAX_RATIO = 0.75
@@ -16,27 +18,30 @@ TILE_ROWS = 512
 FAR = 1 << 30  # beyond any distance
 
 
+WORDS = ["w0", "w1", "w2", "w3"]
+
+
 def _distance(a: Column, b: Column) -> Column:
-    """Differing bits of two descriptors, over all their words."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    """Differing bits of two points, over their words."""
+    return sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in WORDS[1:]), F.bit_count(a[WORDS[0]].bitwiseXOR(b[WORDS[0]])))
 
 
 def _two_nearest(query: Column, others: Column) -> Column:
-    """The two smallest (distance, twin) against a tile, never the point itself."""
+    """The two smallest distances (d1, d2) against a tile, and the bits of the nearest, never the point itself (which alone is at 0).
+
+    One lambda per pair, which only adds four counts; the rest are array functions over the distances. A nearest
+    point of several copies, or two at one distance, are the second nearest as well."""
     far = F.lit(FAR)
-    start = F.struct(far.alias("d1"), F.lit(None).cast("array<bigint>").alias("b1"), far.alias("d2"))
+    least = lambda ds: F.coalesce(F.array_min(ds), far)
 
-    def step(best, other):
-        d = _distance(query["bits"], other["bits"])
-        itself = query["bits"] == other["bits"]
-        nearer = ~itself & (d < best["d1"])
-        return F.struct(
-            F.when(nearer, d).otherwise(best["d1"]).alias("d1"),
-            F.when(nearer, other["bits"]).otherwise(best["b1"]).alias("b1"),
-            F.when(nearer, F.when(other["copies"] > 1, d).otherwise(best["d1"]))
-             .when(~itself & (d < best["d2"]), d).otherwise(best["d2"]).alias("d2"))
+    def summed(ds, rest, d1):
+        more = F.array_remove(rest, d1)
+        return let(F.get(others, (F.array_position(ds, d1) - 1).cast("int")), lambda near: F.struct(
+            d1.alias("d1"), near["bits"].alias("b1"),
+            F.when((near["copies"] > 1) | (F.size(rest) - F.size(more) > 1), d1).otherwise(least(more)).alias("d2")))
 
-    return F.aggregate(others, start, step)
+    return let(F.transform(others, lambda o: _distance(query, o)), lambda ds: let(
+        F.array_remove(ds, F.lit(0)), lambda rest: let(least(rest), lambda d1: summed(ds, rest, d1))))
 
 
 def nearest_pairs(descriptors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -47,7 +52,7 @@ def nearest_pairs(descriptors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFra
     nearest. What remains is distributed over tiles of bounded size. Tiles of a document meet
     pairwise and hand on only the two nearest per point, so no pair of points is ever a row
     and no task holds a whole document. The work is quadratic in the different descriptors of one document, as exact
-    nearest neighbours need: about a second per 5,000 of them on one core.
+    nearest neighbours need: about a second per 5,000 of them on one core. ``descriptors`` is read several times: pass a stored table.
     """
     point = F.struct("kp_id", "x", "y")
     distinct = descriptors.groupBy("doc_id", "bits").agg(
@@ -57,7 +62,7 @@ def nearest_pairs(descriptors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFra
         distinct.join(sizes, "doc_id")
         .withColumn("tile", F.pmod(F.xxhash64("bits"), F.col("tiles")).cast("int"))
         .groupBy("doc_id", "tile", "tiles")
-        .agg(F.collect_list(F.struct("bits", "copies")).alias("points"))
+        .agg(F.collect_list(F.struct("bits", "copies", *[F.col("bits")[k].alias(w) for k, w in enumerate(WORDS)])).alias("points"))
     )
     # Each tile is sent to every tile of its document under that tile's number.
     sent = tiled.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"),
