@@ -58,13 +58,16 @@ SIZE_LIMIT = 4096  # small enough that the prose documents fall on both sides
 @query
 def scan_files(spark, sf):
     """The documents written out as files, then scanned as whole files: bytes and lines by language, however the files
-    were cut."""
+    were cut. A file of zero bytes is among them, and refused like the others, which are no images."""
     path = scratch_path(spark, "files")
-    fixture(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 10_000).text(path)
+    texts = fixture(spark, sf, "documents").select("lang", "text")
+    texts.write.partitionBy("lang").option("maxRecordsPerFile", 10_000).text(path)
+    texts.where("false").select("text").coalesce(1).write.text(f"{path}/lang=none")
     breaks = F.octet_length("content") - F.octet_length(F.replace(F.decode("content", "UTF-8"), F.lit("\n"), F.lit("")))
-    return files.scan_files(spark, path).groupBy(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")).agg(
+    return files.scan_uploads(spark, path).groupBy(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")).agg(
         F.sum("length").alias("bytes"), F.sum(breaks.cast("long")).alias("lines"),
-        F.max("suffix").alias("suffix"), F.bool_or("is_pdf").alias("any_pdf"))
+        F.max("suffix").alias("suffix"), F.bool_or("is_pdf").alias("any_pdf"), F.max("mime").alias("mime"), F.max("verdict").alias("verdict"),
+        F.count_if(F.col("length") == 0).alias("empty"))
 
 
 @query
@@ -87,6 +90,34 @@ def sink_verdicts(spark, sf):
     return response_columns(spark.read.parquet(path), *BESIDE[1:])
 
 
+@query
+def sink_json(spark, sf):
+    """The nested responses written as JSON lines, and read back as variants."""
+    path = scratch_path(spark, "json")
+    done = verified(spark, sf)
+    kind = report.with_response(done, "doc_id").schema["response"].dataType.simpleString()
+    files.write_verdict_json(done, path)
+    lines = spark.read.text(path).withColumnRenamed("value", "json").withColumn("doc_id", F.lit(None).cast("bigint"))
+    scores = report.read_json(lines, kind).select("response.*")
+    return scores.groupBy("document_type", "status").agg(
+        F.count("*").alias("n"), F.sum("risk_score").cast("bigint").alias("risk"), F.bround(F.sum("confidence"), 6).alias("confidence"),
+        F.sum(F.size("validation.checks")).cast("bigint").alias("checks"), F.count("aadhaar_verification").alias("cards"))
+
+
+BUCKETS = 8
+
+
+@query
+def verify_bucketed(spark, sf):
+    """Documents and evidence written in buckets of doc_id, then verified: the joins of a verdict need no exchange."""
+    docs = ocr.pages_to_document(fixture(spark, sf, "page_lines"))
+    run = scratch_path(spark, "buckets")
+    name = run.rsplit("-", 1)[1]
+    stored = [files.write_bucketed(df, f"{kind}_{name}", BUCKETS, f"{run}/{kind}") for kind, df in zip(
+        ("docs", "signals", "qr", "replies", "blocks", "tiles", "descriptors"), [docs, *evidence(spark, sf)], strict=True)]
+    return verdict_columns(plan.verify_documents(*stored, F.lit(AS_OF)))
+
+
 @query
 def stream_verify(spark, sf):
     """The documents as an arriving stream; rows equal those of the batch plan."""
@@ -321,7 +352,8 @@ def parse_model_json(spark, sf):
     return RP.parse_model_json(texts).select(
         "doc_id", "reply_error", j["vlm_confidence"].alias("vlm_confidence"),
         j["overall_assessment"].alias("overall_assessment"), j["visible_tampering"].alias("visible_tampering"),
-        j["suggested_risk_adjustment"].cast("int").alias("delta"), j["reasoning"].alias("reasoning"))
+        j["suggested_risk_adjustment"].cast("int").alias("delta"), j["reasoning"].alias("reasoning"),
+        F.array_join(F.array_sort(F.map_keys("reply_extra")), ",").alias("extra_keys"))
 
 
 def reply_columns(df):

@@ -18,11 +18,14 @@ def json_text(c: Column) -> Column:
 
 
 def parse_model_json(df: DataFrame, text: str = "reply_text") -> DataFrame:
-    """Add reply_json (struct) and reply_error: NULL, 'empty', 'no JSON' or 'bad JSON'.
+    """Add reply_json (struct), reply_extra and reply_error: NULL, 'empty', 'no JSON' or 'bad JSON'.
 
-    A blank text is an empty object, all of whose keys take their defaults; NULL is no reply.
+    A blank text is an empty object, all of whose keys take their defaults; NULL is no reply. Keys that the struct does not
+    know are kept in reply_extra, a map from key to VARIANT, so nothing a model says is lost.
     """
     valid = F.try_parse_json(F.col("_json"))
+    known = [f.name for f in REPLY_JSON.fields]
+    extra = F.map_filter(F.try_variant_get(valid, "$", "map<string,variant>"), lambda k, _: ~k.isin(*known))
     return (
         df.withColumn("_json", F.when(F.col(text) == "", "{}").otherwise(json_text(F.col(text))))
         .withColumn("reply_error",
@@ -31,6 +34,7 @@ def parse_model_json(df: DataFrame, text: str = "reply_text") -> DataFrame:
                     .when(valid.isNull(), "bad JSON"))
         .withColumn("reply_json", F.when(F.col("reply_error").isNull(), F.from_json(
             F.col("_json"), REPLY_JSON)))
+        .withColumn("reply_extra", F.when(F.col("reply_error").isNull(), extra))
         .drop("_json")
     )
 
@@ -90,7 +94,7 @@ def coalesce_model_reply(replies: DataFrame) -> DataFrame:
         .transform(parse_model_json)
         .withColumn("quarantine_reason", F.coalesce(*reason))
         .withColumn("reply", neutral_reply(r, F.col("quarantine_reason")))
-        .drop("content", "reasoning", "reasoning_content", "parts", "reply_text", "reply_json", "reply_error")
+        .drop("content", "reasoning", "reasoning_content", "parts", "reply_text", "reply_json", "reply_extra", "reply_error")
     )
 
 

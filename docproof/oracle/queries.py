@@ -72,7 +72,9 @@ _SQL["trigram_similarity"] = (
 _SQL["parse_model_json"] = """
 SELECT doc_id, reply_error, CAST(j->>'$.vlm_confidence' AS DOUBLE) AS vlm_confidence, j->>'$.overall_assessment' AS overall_assessment,
   CAST(j->>'$.visible_tampering' AS BOOLEAN) AS visible_tampering, CAST(j->>'$.suggested_risk_adjustment' AS INTEGER) AS delta,
-  j->>'$.reasoning' AS reasoning FROM reply_json"""
+  j->>'$.reasoning' AS reasoning, CASE WHEN reply_error IS NULL THEN array_to_string(list_sort(list_filter(json_keys(j), lambda k: k NOT IN (
+    'document_type_confirmed', 'vlm_confidence', 'field_validation', 'logical_inconsistencies', 'fraud_signals', 'font_consistency', 'layout_authenticity',
+    'seal_signature_present', 'visible_tampering', 'overall_assessment', 'reasoning', 'suggested_risk_adjustment'))), ',') END AS extra_keys FROM reply_json"""
 _reply = ("reason AS quarantine_reason, available, vlm_confidence, overall_assessment, layout_authenticity, font_consistency, "
           "visible_tampering, seal_signature_present, reasoning, delta, signals, inconsistencies")
 _SQL["coalesce_model_reply"] = f"SELECT doc_id, {_reply} FROM reply_used"
@@ -130,7 +132,8 @@ _SQL["scan_boxes"] = ("SELECT doc_id, page_no, CAST(line * 10000 + word AS INTEG
                       "x0, y0, x1, y1 FROM tokens")
 _SQL["scan_files"] = """
 SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines,
-  '.txt' AS suffix, false AS any_pdf FROM documents GROUP BY lang"""
+  '.txt' AS suffix, false AS any_pdf, 'text/plain' AS mime, 'UnsupportedFileTypeError' AS verdict, CAST(0 AS BIGINT) AS empty FROM documents GROUP BY lang
+UNION ALL SELECT 'none', 0, 0, '.txt', false, 'application/x-empty', 'UnsupportedFileTypeError', 1"""
 _SQL["pages_to_document"] = "SELECT doc_id, text, round_even(confidence, 9) AS confidence, page_count FROM docs"
 _SQL["assign_lines"] = "SELECT doc_id, page_no, line, word, line_no FROM token_lines"
 _SQL["merge_tokens"] = "SELECT * FROM merged_lines"
@@ -238,7 +241,11 @@ SELECT document_type, count(*) AS documents, round_even(avg(risk_score), 4) AS m
   count(*) FILTER (status = 'Likely Fake / Tampered') AS fake FROM verdicts GROUP BY document_type"""
 
 _SQL["sink_extracted"] = _SQL["stream_extract"] = _SQL["extract_documents"]
-_SQL["sink_verdicts"] = _SQL["stream_verify"] = _SQL["stream_verify_awaiting"] = _WHOLE
+_SQL["sink_verdicts"] = _SQL["stream_verify"] = _SQL["stream_verify_awaiting"] = _SQL["verify_bucketed"] = _WHOLE
+_SQL["sink_json"] = f"""
+SELECT w.document_type, w.status, count(*) AS n, CAST(sum(risk_score) AS BIGINT) AS risk, round_even(sum(confidence), 6) AS confidence,
+  CAST(coalesce(sum(k.n), 0) AS BIGINT) AS checks, count(*) FILTER (w.document_type = 'aadhaar') AS cards
+FROM ({_WHOLE}) w LEFT JOIN (SELECT doc_id, count(*) AS n FROM final_checks GROUP BY doc_id) k ON w.doc_id = k.doc_id GROUP BY w.document_type, w.status"""
 _mime = """CASE doc % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/tiff'
   WHEN 4 THEN 'image/webp' WHEN 5 THEN 'image/gif' ELSE 'text/plain' END"""
 _SQL["validate_files"] = f"""

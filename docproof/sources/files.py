@@ -2,7 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators import report
 from ..schemas import BOXES
+from .listing import list_files
 
 # --- fixed values: limits and leading bytes ------------------------------------------------
 MAX_BYTES = 20 * 1024 * 1024
@@ -32,6 +34,19 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def scan_uploads(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Every upload under a path, checked: the columns of scan_files with mime, verdict and message.
+
+    Files of zero bytes, which Spark's file source leaves out, and files over the limit come from the listing alone and
+    are never opened; their content is empty or NULL.
+    """
+    listed = list_files(spark, path)
+    unread = listed.where((F.col("length") == 0) | (F.col("length") > max_bytes)).withColumn(
+        "content", F.when(F.col("length") == 0, F.lit(b""))).transform(with_file_columns)
+    read = scan_files(spark, path).where(F.col("length") <= max_bytes)
+    return validate_files(read.unionByName(unread), max_bytes)
+
+
 def with_file_columns(files: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return files.select(
@@ -41,14 +56,14 @@ def with_file_columns(files: DataFrame) -> DataFrame:
 
 
 def sniff_mime(content: Column) -> Column:
-    """MIME type from the leading bytes; text and anything else are told apart only roughly."""
+    """MIME type from the leading bytes; text and anything else are told apart only roughly. NULL where nothing was read."""
     head = F.hex(F.substring(content, 1, SNIFF_BYTES))
     mime = None
     for name, pattern in LEADING_BYTES:
         mime = (F if mime is None else mime).when(head.rlike(pattern), name)
     binary = head.rlike(r"^(?:..)*?0[0-8]")
-    return (mime.when(F.length(content) == 0, "application/x-empty")
-            .when(binary, "application/octet-stream").otherwise("text/plain"))
+    return F.when(content.isNotNull(), mime.when(F.length(content) == 0, "application/x-empty")
+                  .when(binary, "application/octet-stream").otherwise("text/plain"))
 
 
 def validate_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -94,5 +109,18 @@ def write_verdicts(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.write.mode(mode).parquet(path)
 
 
-def write_verdict_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_bucketed(df: DataFrame, table: str, buckets: int, path: str, key: str = "doc_id") -> DataFrame:
+    """A table in buckets of the key, sorted, at a path; returns it as the session's catalog reads it.
+
+    Tables with the same number of buckets join on the key, and group by it, without an exchange: the documents and each kind of evidence are
+    dealt once, when they are written, however often they are verified. Choose the number so that a bucket's
+    documents with all their evidence fit a task, about one per 100 MB of the largest table, and not below the session's
+    shuffle partitions, as Spark otherwise deals the tables anew into more parts.
+    """
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def write_verdict_json(verdicts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The nested responses as JSON lines, one file a partition."""
+    report.verdict_json(verdicts).select("json").write.mode(mode).text(path)

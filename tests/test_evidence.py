@@ -191,6 +191,15 @@ def test_cross_check_has_an_anchor_per_field(spark):
     assert (got[99].name_agrees, got[99].dob_agrees, got[99].dob_anchor, got[99].subject_dates) == (None, None, None, 0)
 
 
+def test_unknown_keys_of_a_reply_are_kept(spark):
+    texts = ['{"vlm_confidence": 0.5, "model": {"name": "m", "v": [1, 2]}, "note": null}', "{}", "no object", None]
+    got = RP.parse_model_json(spark.createDataFrame([(t,) for t in texts], "reply_text string")).select(
+        "reply_json.vlm_confidence", F.transform_values("reply_extra", lambda k, v: F.to_json(v)).alias("extra"), "reply_error").collect()
+    assert got[0].vlm_confidence == 0.5 and set(got[0].extra) == {"model", "note"} and '"v":[1,2]' in got[0].extra["model"]
+    assert (got[1].extra, got[1].reply_error) == ({}, None)
+    assert [(r.extra, r.reply_error) for r in got[2:]] == [(None, "no JSON"), (None, "empty")]
+
+
 def plainly_agree(a, b):
     x, y = set(a.lower().split()), set(b.lower().split())
     return bool(x and y) and (len(x & y) / len(x | y) >= 0.6 or x <= y or y <= x)
@@ -233,6 +242,22 @@ def test_files(spark, tmp_path):
     assert (good.count(), bad.count()) == (5, 4)
 
 
+def test_every_upload_is_listed_and_large_ones_are_not_opened(spark, tmp_path):
+    for name, data in {"a.pdf": b"%PDF-1.7 x", "in/b.jpg": b"", "in/deep/c.png": b"\x89PNG\r\n\x1a\n", "d.txt": b"", "in/e.pdf": b"%PDF-" + b"x" * 100,
+                       "_part/f.pdf": b"%PDF-", ".g.pdf": b"%PDF-", "lang=_x/h.pdf": b"%PDF-2"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "in/e.pdf").chmod(0)  # may not be opened; its length is enough
+    got = {r.path.split(str(tmp_path))[1]: r for r in files.scan_uploads(spark, str(tmp_path), 50).collect()}
+    assert {n: (r.mime, r.verdict) for n, r in got.items()} == {
+        "/a.pdf": ("application/pdf", "accepted"), "/in/deep/c.png": ("image/png", "accepted"), "/lang=_x/h.pdf": ("application/pdf", "accepted"),
+        "/in/b.jpg": ("application/x-empty", "UnsupportedFileTypeError"), "/d.txt": ("application/x-empty", "UnsupportedFileTypeError"),
+        "/in/e.pdf": (None, "FileTooLargeError")}
+    # The same id as when Spark itself lists the file.
+    assert {r.doc_id for r in got.values()} >= {r.doc_id for r in files.scan_files(spark, str(tmp_path)).where("length < 50").select("doc_id").collect()}
+    assert files.list_files(spark, str(tmp_path / "nothing")).count() == 0
+
+
 def test_empty_upload_is_refused(spark):
     df = spark.createDataFrame([("up/j.pdf", 0, bytearray())], "path string, length long, content binary")
     r = files.validate_files(files.with_file_columns(df)).first()

@@ -1,6 +1,7 @@
 """Whole plans: shape of the physical plan, batch against stream, and every query against its SQL."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -123,3 +124,28 @@ def test_two_batches_equal_one_plan(spark):
     streamed = spark.read.parquet(out)
     assert streamed.select("batch_id").distinct().count() == 2
     assert comparable(shown, streamed.select(*shown).collect()) == comparable(shown, verify(docs, *catalog.evidence(spark, SF)).collect())
+
+
+def test_bucketed_tables_need_no_exchange_of_documents(spark):
+    """Documents and evidence in buckets of doc_id: what is left are the exchanges inside the copy-move search, and one of its result."""
+    from docproof.plans.verify import verify_documents
+    from docproof.sources import files
+    some = lambda df: df.where("doc_id % 25 = 0")
+    run, old = scratch_path(spark, "buckets"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else small tables are broadcast and show nothing
+    try:
+        tables = [some(df) for df in [ocr.pages_to_document(catalog.fixture(spark, SF, "page_lines")), *catalog.evidence(spark, SF)]]
+        plain = [checkpoint(df) for df in tables]
+        stored = [files.write_bucketed(df, f"t{k}_{run[-8:]}", 8, f"{run}/{k}") for k, df in enumerate(plain)]
+        verify = lambda side: catalog.verdict_columns(verify_documents(*side, F.lit(catalog.AS_OF)))
+        exchanges = lambda df: len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, \d+\)", df._jdf.queryExecution().executedPlan().toString()))
+        assert exchanges(verify(stored)) <= 1 and exchanges(verify(plain)) > 6
+        assert comparable(["doc_id", "risk_score"], verify(stored).select("doc_id", "risk_score").collect()) == comparable(
+            ["doc_id", "risk_score"], verify(plain).select("doc_id", "risk_score").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_the_whole_response_stays_in_the_plan(spark):
+    plan = entry.queries()["verify_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(name in plan for name in ("all_scores", "matched_signals", "fields_found", "verhoeff_penalty", "pipeline_stages"))
