@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,9 +52,10 @@ NOT_CONTENT = {
 #: These count only outside an article or main element, where they belong to the page.
 PAGE_ONLY = {"header"}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+START = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)")
+#: What follows a tag's name, to its end; possessive, so that a try without success is one scan.
+ATTRIBUTES = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+MARK = re.compile(r"[>\"']")
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true)", re.I)
 PART = re.compile(r"[a-z]+")
@@ -77,6 +79,48 @@ def not_content(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+class Closing:
+    """Where a tag that starts has an end, a > outside quotes: found for all places at once, as a broken page may start tags
+    without end at every place, and a search from each would be quadratic. Made when a first tag turns out to have no end."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in MARK.finditer(page)]
+        self.ends = [False] * (len(self.at) + 1)
+        last: dict[str, int] = {}
+        for k in range(len(self.at) - 1, -1, -1):
+            mark = page[self.at[k]]
+            self.ends[k] = mark == ">" or (mark in last and self.ends[last[mark] + 1])
+            last[mark] = k
+
+    def __call__(self, place: int) -> bool:
+        return self.ends[bisect_left(self.at, place)]
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, stop, name, closing, attributes) of each piece of markup, in one forward scan, which a place sent in moves on. The name is None for comments and declarations,
+    and "" for character data, whose text comes in the place of the attributes. A tag without an end is text."""
+    size, at, closing = len(page), 0, None
+    while m := START.search(page, at):
+        start, at = m.start(), m.end()
+        if m["name"] is not None:
+            tag = None
+            if closing is None or closing(at):
+                tag = ATTRIBUTES.match(page, at)
+                closing = closing or (None if tag else Closing(page))
+            if not tag:
+                continue
+            at = tag.end()
+            moved = yield start, at, m["name"].lower(), bool(m["close"]), tag[1]
+        else:
+            data = m[0] == "<![CDATA["
+            what = "-->" if m[0] == "<!--" else "]]>" if data else ">"
+            found = page.find(what, at)
+            stop = size if found < 0 else found + len(what)
+            moved = yield start, stop, "" if data else None, False, page[at:size if found < 0 else found] if data else ""
+            at = stop
+        at = at if moved is None else moved
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(feature, text, inside a region) of each run of text and each tag outside the elements passed over.
 
@@ -84,34 +128,36 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     element passed over inside one."""
     at = links = regions = 0
     skip, depth = "", 0  # the element passed over and how many of its name are open
-    size = len(page)
+    size, last = len(page), page.rfind(">") + 1
+    scan, moved = markup(page), None
     while at < size:
-        m = TOKEN.search(page, at)
-        start, stop = (m.start(), m.end()) if m else (size, size)
+        try:
+            start, stop, name, closing, attrs = scan.send(moved)
+        except StopIteration:
+            start = stop = size
+            name = None
+        moved = None
         if start > at and not skip:
             yield ("linked" if links else "word"), page[at:start], regions > 0
         at = stop
-        if not m:
-            return
-        if m["cdata"] is not None:
+        if name == "":
             if not skip:
-                yield ("linked" if links else "word"), m["cdata"], regions > 0
+                yield ("linked" if links else "word"), attrs, regions > 0
             continue
-        if m["name"] is None:
+        if name is None:
             continue
-        name, closing = m["name"].lower(), bool(m["close"])
         if not closing and name in RAW:  # its content is not markup
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at, max(at, last))
+            at = moved = end.end() if end else size
             continue
-        alone = name in VOID or m["attrs"].endswith("/") and name in SKIPPED
+        alone = name in VOID or attrs.endswith("/") and name in SKIPPED
         if skip:
             if name == skip and not alone:
                 depth += -1 if closing else 1
                 if not depth:
                     skip = ""
             continue
-        if not closing and not_content(name, m["attrs"], regions > 0):
+        if not closing and not_content(name, attrs, regions > 0):
             if not alone:
                 skip, depth = name, 1
             if name not in INLINE:
