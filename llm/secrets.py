@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.graph import stored
 from llm.words import slices
 
 # The patterns and least lengths of the contract.
@@ -141,7 +142,17 @@ def digest(docs: DataFrame, ledger: DataFrame) -> DataFrame:
         F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def update_ledger(versions: DataFrame, ledger: DataFrame | None, rules: str = RULES_VERSION) -> DataFrame:
+    """The ledger with the rows of what ``versions`` brings that it lacks under ``rules``; the new rows are stored."""
+    fresh = stored(scan_unseen(versions, ledger, rules), "ledger")
+    return fresh if ledger is None else ledger.unionByName(fresh)
+
+
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in two halves; the second one is scanned only where the ledger of the first lacks its blobs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ledger = scan_unseen(docs.select(F.col("doc_id").alias("path"), "text"), None)
+    half = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0))
+    ledger = None
+    for k in (0, 1):
+        ledger = update_ledger(docs.where(half == k).select(F.col("doc_id").alias("path"), "text"), ledger)
     return digest(docs, ledger)

@@ -2,11 +2,14 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from llm import decontaminate, packing, pages, quality, secrets, tokens, toxicity
@@ -158,6 +161,21 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert {30, 31, 32, 33, 34} <= paths
 
 
+def test_a_ledger_kept_over_two_arrivals(spark, monkeypatch):
+    """The second arrival scans the texts that the first did not bring; new rules scan all of them again; results are those of one run."""
+    versions = lambda rows: documents(spark, rows).select(F.col("doc_id").alias("path"), "text")
+    first, second = SECRET_ROWS[:-3], SECRET_ROWS[:5] + SECRET_ROWS[-3:] + [(900, SECRET_ROWS[0][1])]
+    ledger = secrets.update_ledger(versions(first), None)
+    both = secrets.update_ledger(versions(second), ledger)
+    scanned = both.count() - ledger.count()
+    assert scanned == len({t or "" for _, t in first + second}) - len({t or "" for _, t in first}) and scanned > 0
+    assert secrets.update_ledger(versions(second), both).count() == both.count()
+    assert secrets.update_ledger(versions(first), both, "next").where("rules = 'next'").count() == ledger.count()
+    docs = documents(spark, first + second)
+    once = secrets.scan_unseen(docs.select(F.col("doc_id").alias("path"), "text"), None)
+    assert sorted(map(key, secrets.digest(docs, both).collect())) == sorted(map(key, secrets.digest(docs, once).collect()))
+
+
 def test_redaction_keeps_every_row(spark):
     docs = documents(spark, SECRET_ROWS)
     out = secrets.redact_all(docs, secrets.scan_unseen(docs.select(F.col("doc_id").alias("path"), "text"), None))
@@ -302,6 +320,29 @@ def test_packed_ids_are_the_tokenizers(spark):
 
 # --- pages -------------------------------------------------------------------------------------------------------
 
+#: Markup in one pattern, which is quadratic on broken pages: the plain statement of what the scan yields.
+PLAIN_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "/", '"', "'", "a", "p ", "<a ", "<p title=", "</b>", "<!--", "-->", "<![CDATA[", "]]>", "<!x", "<?", " = ", "é"]), max_size=24).map("".join))
+def test_markup_equals_the_plain_pattern(page):
+    want = [(m.start(), m.end(), "" if m["cdata"] is not None else m["name"] and m["name"].lower(), bool(m["close"]), m["cdata"] or m["attrs"] or "")
+            for m in PLAIN_MARKUP.finditer(page)]
+    assert list(pages.markup(page)) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p title="', "<p title='x", "</script", "<script", "<!--", "<![CDATA[", "<", "<textarea></textarea", '<p "\'', "<b>x"])
+def test_a_broken_page_of_a_megabyte_takes_seconds(piece):
+    page = "<script>" * (piece == "</script") + piece * (1_000_000 // len(piece))
+    start = time.time()
+    for end in ("", ">"):
+        sum(1 for _ in pages.tokens(page + end))
+    assert time.time() - start < 20
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>bad</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">menu item</a></li></ul></nav><!-- ad --><div class="ad">buy this now</div>
 %s<h1>Big &amp; small</h1><p>First <b>bold
