@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over words is trained from confirmed toxic texts (P) and texts without any label (U). With the class
+A linear classifier over words is trained from confirmed toxic texts (P) and from a sample of all training rows, whether they carry a label or
+not and P's among them (U): the case-control scenario, in which U is drawn from the whole mixture and its labels are not looked at. With the class
 prior q, the risk is q R+(P) + max(0, R-(U) - q R-(P)): the second part estimates the risk on clean texts from U less the
 toxic share in it, and may not go below zero; where it would, it counts as zero and has no slope. Losses are logistic, so the logistic
 function of the output estimates the chance that a text is toxic.
@@ -123,6 +124,19 @@ def choose_terms(rows: DataFrame, n_p: int, n_u: int, bounds: Bounds) -> np.ndar
     return np.sort(found.column("term").to_numpy().view(np.uint64))
 
 
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of outputs z, and its slope along each of them (0.0 for U's part where that is at its bound)."""
+    share = np.where(positive, 1 / max(1, positive.sum()), 1 / max(1, (~positive).sum()))
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    clean = share * np.logaddexp(0, z)  # loss of calling a row clean
+    toxic = share * np.logaddexp(0, -z)  # loss of calling it toxic
+    negative_part = clean[~positive].sum() - prior * clean[positive].sum()
+    whole = prior * toxic[positive].sum() + max(0.0, negative_part)
+    if negative_part >= 0:
+        return whole, share * np.where(positive, prior * (s - 1) - prior * s, s)
+    return whole, share * np.where(positive, prior * (s - 1), 0.0)  # only the confirmed texts count
+
+
 def train(row: np.ndarray, term: np.ndarray, positive: np.ndarray, n_terms: int, prior: float, rounds: int = 500,
           rate: float = 0.1, decay: float = 2e-3) -> tuple[np.ndarray, float]:
     """Weights and intercept by full-batch Adam on the non-negative risk, from (row, term) pairs.
@@ -132,16 +146,9 @@ def train(row: np.ndarray, term: np.ndarray, positive: np.ndarray, n_terms: int,
     w = np.zeros(n_terms + 1)
     w[-1] = np.log(prior / (1 - prior))
     mean, square, kept = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
-    share = np.where(positive, 1 / max(1, positive.sum()), 1 / max(1, (~positive).sum()))
     for t in range(1, rounds + 1):
         z = w[-1] + np.bincount(row, w[term], minlength=n)
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = share * np.logaddexp(0, z)  # loss of calling a row clean
-        negative_part = clean[~positive].sum() - prior * clean[positive].sum()
-        if negative_part >= 0:
-            slope = share * np.where(positive, prior * (s - 1) - prior * s, s)
-        else:  # the estimate is at its bound: only the confirmed texts count
-            slope = share * np.where(positive, prior * (s - 1), 0.0)
+        _, slope = risk(z, positive, prior)
         grad = np.append(np.bincount(term, slope[row], minlength=n_terms), slope.sum())
         grad[:-1] += decay * w[:-1]
         mean += 0.1 * (grad - mean)

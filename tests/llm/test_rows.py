@@ -41,6 +41,36 @@ def test_quality_counts_and_verdicts(spark):
     assert all(not r.kept for r in got if r.base_failed)
 
 
+def plain_verdict(text):
+    """The verdict restated from the limits' text: base rule, the whole text's ratio, and at most a tenth of the chunks outside theirs."""
+    import zstandard
+    raw, words = (text or "").encode(), SPACE.findall(text or "")
+    runs = [tuple(words[k:k + 5]) for k in range(len(words) - 4)]
+    covered = {k + j for k, r in enumerate(runs) if runs.count(r) > 1 for j in range(5)}
+    if len(words) < 10 or 100 * len(covered) > 20 * len(words):
+        return False
+    ratio = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+    limits = [(200, 0.35, 0.90), (300, 0.35, 0.83), (500, 0.35, 0.80), (700, 0.35, 0.77), (1000, 0.30, 0.73), (2000, 0.30, 0.68), (4000, 0.25, 0.64), (20000, 0.20, 0.62)]
+
+    def fine(b):
+        own = [x for x in limits if x[0] <= len(b)]
+        return not own or own[-1][1] <= ratio(b) <= own[-1][2]
+
+    chunks = [raw[k:k + 2048] for k in range(0, len(raw), 2048)]
+    bad = [not 0.25 <= ratio(c) <= 0.68 if len(c) == 2048 else not fine(c) for c in chunks if len(c) >= 200]
+    return fine(raw) and 10 * sum(bad) <= len(bad)
+
+
+def test_quality_verdicts_equal_the_plain_rule(spark):
+    rng = random.Random(31)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(n))
+    rows = [(k, rng.choice([prose(k, rng.randrange(1, 700)), noise(rng.randrange(1, 9000)), prose(k, 300) + noise(rng.randrange(4000)),
+                            prose(k, 40) * rng.randrange(1, 6), prose(k, 2000) + " " + noise(3000), prose(k, 9) + " é" * rng.randrange(60)])) for k in range(150)]
+    got = {r.doc_id: r.kept for r in quality.assess(documents(spark, rows)).collect()}
+    want = {i: plain_verdict(t) for i, t in rows}
+    assert got == want and 20 < sum(want.values()) < 130
+
+
 def test_quality_bands_reject_both_ends(spark):
     rng = random.Random(1)
     noise = " ".join("".join(chr(rng.randrange(33, 0x2FFF)) for _ in range(9)) for _ in range(400))
@@ -286,6 +316,40 @@ def test_pack_fills_every_sequence():
         assert all(r == length or r & (r - 1) == 0 for r in room) and len(cost) == len(room)
 
 
+def plain_packing(sizes, length, cost):
+    """Each longest piece into the cheapest sequence with room for it, of equal ones the first; none has room: the widest takes what fits."""
+    total = sum(sizes)
+    room = [length] * (total // length) + [1 << b for b in range(length.bit_length() - 1, -1, -1) if total % length >> b & 1]
+    free, spent, out = list(room), [0.0] * len(room), []
+    whole = [(d, s) for d, n in enumerate(sizes) for s in range(0, n - length + 1, length)]
+    for k, (d, s) in enumerate(whole):
+        out.append((d, s, length, k, 0))
+        free[k], spent[k] = 0, cost.of(length)
+    rest = [(n % length, d, n - n % length) for d, n in enumerate(sizes) if n % length]
+    while rest:
+        n, d, s = min(rest, key=lambda x: (-x[0], x[1], x[2]))
+        rest.remove((n, d, s))
+        fits = [k for k in range(len(room)) if free[k] >= n]
+        k = min(fits, key=lambda k: (spent[k], k)) if fits else min((k for k in range(len(room)) if free[k]), key=lambda k: (-free[k], k))
+        take = min(n, free[k])
+        out.append((d, s, take, k, room[k] - free[k]))
+        free[k] -= take
+        spent[k] += cost.of(take)
+        if take < n:
+            rest.append((n - take, d, s + take))
+    return out, room, spent
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_pack_equals_the_plain_loop(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, rng.randrange(1, 64), rng.randrange(1, 300)]) for _ in range(rng.randrange(1, 80))]
+    cost = packing.Cost(quadratic=rng.choice([0.0, 0.01, 1.0]))
+    pieces, room, spent = packing.pack(sizes, 64, cost)
+    want = plain_packing(sizes, 64, cost)
+    assert pieces == want[0] and room == want[1] and spent == pytest.approx(want[2])
+
+
 def test_pack_balances_cost():
     rng = random.Random(5)
     sizes = [rng.choice([30, 200, 900]) for _ in range(2000)]
@@ -406,6 +470,29 @@ def test_toxicity_learns_from_confirmed_and_unlabelled(spark):
     assert {r.score for r in toxicity.score(documents(spark), None).collect()} == {0.0}
 
 
+def plain_risk(z, positive, prior):
+    """q R+(P) + max(0, R-(U) - q R-(P)) as plain means of logistic losses."""
+    loss = lambda out, sign: np.mean([np.log1p(np.exp(-sign * x)) for x in out])
+    p, u = [x for x, y in zip(z, positive) if y], [x for x, y in zip(z, positive) if not y]
+    return prior * loss(p, 1) + max(0.0, loss(u, -1) - prior * loss(p, -1))
+
+
+@pytest.mark.parametrize("shift", [0.0, -6.0])  # the second part above its bound, and at it
+def test_risk_and_slope_equal_plain_sums(shift):
+    rng = np.random.default_rng(13)
+    positive = rng.random(60) < 0.4
+    z = rng.normal(0, 2, 60) + np.where(positive, 3, shift)
+    whole, slope = toxicity.risk(z, positive, 0.3)
+    assert abs(whole - plain_risk(z, positive, 0.3)) < 1e-12
+    for k in range(60):
+        step = np.zeros(60)
+        step[k] = 1e-6
+        change = (plain_risk(z + step, positive, 0.3) - plain_risk(z - step, positive, 0.3)) / 2e-6
+        assert abs(change - slope[k]) < 1e-7
+    if shift:
+        assert plain_risk(z, positive, 0.3) == pytest.approx(0.3 * np.mean(np.log1p(np.exp(-z[positive])))) and not slope[~positive].any()
+
+
 def test_risk_is_kept_above_zero():
     rng = np.random.default_rng(8)
     n = 300
