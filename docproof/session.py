@@ -29,17 +29,27 @@ def builder(app: str = "docproof") -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate data: spark.checkpoint.dir, or else a folder in the session's warehouse."""
+    """The shared folder for intermediate data: spark.checkpoint.dir, or else a folder in the session's warehouse.
+
+    On a cluster that folder has to be one that all executors see: a warehouse in a local folder is refused there.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current is not None:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not usable(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 
+def usable(master: str, folder: str) -> bool:
+    """Whether all executors under this master see the folder; a path without a scheme, or of file:, is one machine's."""
+    return master.startswith("local[") or master == "local" or not (folder.startswith("file:") or "://" not in folder)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

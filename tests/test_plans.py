@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from docproof import catalog
 from docproof.operators import ocr
-from docproof.session import checkpoint, scratch_path
+from docproof.session import checkpoint, scratch_path, usable
 
 SF = os.environ.get("DOCPROOF_TEST_SF", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -102,6 +102,13 @@ def test_shared_folder_is_taken_from_the_session(spark):
     assert checkpoint(spark.range(3)).count() == 3
 
 
+@pytest.mark.parametrize("master, folder, ok", [
+    ("local[4]", "file:/tmp/w", True), ("local", "/tmp/w", True), ("yarn", "file:/tmp/w", False), ("spark://h:7077", "/tmp/w", False),
+    ("k8s://h", "s3a://bucket/w", True), ("yarn", "hdfs://n/w", True)])
+def test_a_local_folder_is_refused_on_a_cluster(master, folder, ok):
+    assert usable(master, folder) is ok
+
+
 def test_scores_stay_in_range(spark):
     r = catalog.verified(spark, SF).agg(F.min("risk_score"), F.max("risk_score"), F.count("*"), F.countDistinct("doc_id")).first()
     assert r[0] >= 0 and r[1] <= 100 and r[2] == r[3] == catalog.fixture(spark, SF, "corpus").count()
