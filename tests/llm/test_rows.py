@@ -603,6 +603,41 @@ def test_every_passage_within_the_edits_is_found(n, kind):
     assert all(r[i][0] <= most for i, r in enumerate(found))
 
 
+def test_walks_find_what_a_hash_of_the_window_misses(monkeypatch):
+    """With the words themselves in place of what the walk writes, passages whose words are shifted are lost."""
+    rng = random.Random(14)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(15)] for _ in range(40)]
+    texts = pa.array([f"{prose(i, 40)} {' '.join(edits_of('mixed', x, 3, rng))} {prose(i + 1, 40)}" for i, x in enumerate(items)])
+
+    def found():
+        return sum(i in r for i, r in enumerate(decontaminate.Index.of(list(range(40)), [" ".join(x) for x in items]).search(texts)))
+
+    assert found() >= 39
+    monkeypatch.setattr(decontaminate, "walks_needed", lambda length, edits: 12)
+    monkeypatch.setattr(decontaminate, "embed", lambda symbols, walk, steps: np.tile(decontaminate.combine(symbols.T, symbols.shape[1]), (len(steps), 1)))
+    assert found() == 0
+
+
+@pytest.mark.parametrize("n", [300, 500])
+def test_long_items_are_found_by_their_segments(n):
+    rng = random.Random(n)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for _ in range(8)]
+    index = decontaminate.Index.of(list(range(8)), [" ".join(x) for x in items])
+    for kind in ("deleted", "swapped", "even", "run", "mixed"):
+        found = index.search(pa.array([f"{prose(i, 40)} {' '.join(edits_of(kind, x, n // 5, rng))} {prose(i + 1, 40)}" for i, x in enumerate(items)]))
+        assert [list(r) for r in found] == [[i] for i in range(8)]
+
+
+def test_short_items_are_looked_up_whole(spark):
+    benchmark = spark.createDataFrame([(1, "Who wrote it?"), (2, "why"), (3, " ?! "), (4, "東京の人口は何人ですか"), (5, None), (6, "who wrote IT")], "item_id long, text string")
+    docs = documents(spark, [(1, "He asked: who wrote it, and why not?"), (2, "who wrote that"), (3, "問題。東京の人口は何人ですか？"), (4, "東京の人は何人"), (5, None)])
+    got = {r.doc_id: r for r in decontaminate.find(docs, benchmark).collect()}
+    assert got[1].item_ids == [1, 2, 6] and got[1].edits == [0, 0, 0] and got[1].starts == [2, 6, 2] and got[1].ends == [5, 7, 5]
+    assert got[3].item_ids == [4] and got[3].edits == [0] and got[3].ends[0] - got[3].starts[0] == 11
+    assert not got[2].item_ids and not got[4].item_ids and not got[5].item_ids
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()) == [1, 2, 4, 5]
+
+
 def test_search_equals_all_passages():
     """Few different words, so that many passages lie near the limit on both sides."""
     rng = random.Random(12)
