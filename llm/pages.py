@@ -4,7 +4,9 @@ A page is a sequence of words and tags. Words score positive (less inside links)
 found in one scan, is the content. The weights are log odds of standing inside against outside the content region of
 labelled pages: pages that mark their region with an ``article`` or ``main`` element. Elements that are never content
 (menus, footers, sidebars, forms, scripts, adverts, notices, reader comments; by name, role, class or id) are passed over
-first and their words take no part. A region does not cross the edge of an ``article`` or ``main`` element.
+first and their words take no part. A region does not cross the edge of an outermost ``article`` or ``main`` element; edges
+within it score nothing. Of a page with such elements, each one whose words are mostly not links gives its best run, and the runs
+are joined in page order; without such an element the best run of the page is taken.
 
 Defined results: a null or empty page, or one without words, gives an empty text. Of regions with equal scores the first
 is taken, of those with one start the longest. An element that is never closed ends with the page. Rows are read one by
@@ -124,8 +126,8 @@ def markup(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(feature, text, inside a region) of each run of text and each tag outside the elements passed over.
 
-    feature: word or linked for text, the name for a tag, region for the edge of an article or main element, gap for an
-    element passed over inside one."""
+    feature: word or linked for text, the name for a tag, region for the edge of an outermost article or main element, gap for an
+    edge within one, an edge without an opposite, or an element passed over inside one."""
     at = links = regions = 0
     skip, depth = "", 0  # the element passed over and how many of its name are open
     size, last = len(page), page.rfind(">") + 1
@@ -166,8 +168,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         if name == "a":
             links = 0 if closing else 1
         if name in REGION:
+            outer = regions == (1 if closing else 0)
             regions = max(0, regions + (-1 if closing else 1))
-            yield BARRIER, "", regions > 0
+            yield BARRIER if outer else "gap", "", regions > 0
         else:
             yield name, "", regions > 0
 
@@ -234,17 +237,26 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     scores = [
         -math.inf if f == BARRIER else 0.0 if f == "gap" else n_words(t) * weights[f] if f in ("word", "linked") else weights.get(f, weights["tag"])
         for f, t, _ in seen]
-    start, stop = best_run(scores)
-    blocks, now = [], []
-    for feature, text, _ in seen[start:stop]:
-        if feature in ("word", "linked"):
-            now.append(text)
-        elif feature == "br":
-            now.append(" ")
-        elif feature not in INLINE:
-            blocks.append("".join(now))
-            now = []
-    blocks.append("".join(now))
+    edges = [-1, *(i for i, (f, _, _) in enumerate(seen) if f == BARRIER), len(seen)]
+    runs = []
+    for low, high in zip(edges, edges[1:]):
+        part = seen[low + 1:high]
+        words = {f: sum(n_words(t) for g, t, _ in part if g == f) for f in ("word", "linked")} if part and part[0][2] else None
+        if words and words["word"] > words["linked"]:
+            start, stop = best_run(scores[low + 1:high])
+            runs.append((low + 1 + start, low + 1 + stop))
+    blocks = []
+    for start, stop in runs or [best_run(scores)]:
+        now: list[str] = []
+        for feature, text, _ in seen[start:stop]:
+            if feature in ("word", "linked"):
+                now.append(text)
+            elif feature == "br":
+                now.append(" ")
+            elif feature not in INLINE:
+                blocks.append("".join(now))
+                now = []
+        blocks.append("".join(now))
     clean = (SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
     return "\n".join(b for b in clean if b)
 

@@ -430,6 +430,20 @@ def test_best_run_equals_all_runs():
         assert abs(sum(scores[start:stop]) - max(0, best)) < 1e-9
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<main><h1>Title</h1><article><p>one two three</p></article><p>tail words</p></main><p>out side text</p>", "Title\none two three\ntail words"),
+    ("<p>before</p><article><p>one two</p><article><p>three</p></article><p>four</p></article><p>after it all</p>", "one two\nthree\nfour"),
+    ("<article><p>one two three</p></article><p>between</p><article><p>four five</p></article>", "one two three\nfour five"),
+    ("<article><p>one two three</p></article><article><a>more to read</a></article>", "one two three"),
+    ("<article><a>all of it is a link</a></article>", "all of it is a link"),
+    ("<article><p>never closed<p>goes on", "never closed\ngoes on"),
+    ("<p>one two</main></p><p>three</article></p>", "one two\nthree"),
+    ("<main></main>", ""),
+])
+def test_nested_and_split_regions(page, text):
+    assert pages.main_text(page, dict(pages.DEFAULT)) == text
+
+
 def test_pages_of_a_table(spark):
     rows = [(1, "u", PAGE % ("<article>", "</article>"), 1), (2, None, None, 1), (3, "u", "", 1), (3, "u", "", 1), (None, "u", "plain words", 1),
             (5, "u", "<p>" + "word " * 50000, 1), (6, "u", "<nav>menu", 1), (7, "u", "<script>x", 1)]
